@@ -25,6 +25,10 @@ UNKNOWN_CLASS = "__UNKNOWN__"
 SPECIES_KEY = "species"
 
 
+def _field(name: str):
+    return lambda entry: entry[name]
+
+
 def event_tags(
     label: Column, event: Column, individual: Column,
     label_key: str = "class", event_key: str = "event", individual_key: str = "individual",
@@ -134,7 +138,7 @@ def annotation_groups(
     out = rows.withColumns(
         {
             ("class_ids" if f == "class_id" else f + "s"): F.coalesce(
-                F.transform("_events", lambda e, f=f: e[f]), F.array()
+                F.transform("_events", _field(f)), F.array()
             )
             for f in fields
         }
@@ -256,5 +260,5 @@ def drop_padding(files: DataFrame, arrays: Sequence[str], valid: str = "is_valid
     """Remove padded entries of aligned arrays by their validity flag."""
     zipped = F.filter(F.arrays_zip(valid, *arrays), lambda x: x[valid] == 1)
     return files.withColumn("_z", zipped).withColumns(
-        {a: F.transform("_z", lambda x, a=a: x[a]) for a in arrays}
+        {a: F.transform("_z", _field(a)) for a in arrays}
     ).drop("_z", valid)

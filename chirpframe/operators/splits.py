@@ -44,12 +44,12 @@ def group_folds(
     """Fold per file, with classes spread evenly and every file on one side.
 
     Files are dealt to folds by random rank inside their stratum (majority
-    class), each stratum starting at the fold where a running deal would stand.
-    Nothing is decided in one task: ranks come from draw buckets.
+    class), each stratum starting at a random fold. Nothing is decided in one
+    task: ranks come from draw buckets.
     """
     files = majority_class(events, key, column).withColumn("_u", draw(seed, F.col(key)))
     ranked = hashed_rank(files, [column], "_u", key, "_rank")
-    shift = F.pmod(F.crc32(F.encode(F.col(column), "UTF-8")), F.lit(n_splits))
+    shift = F.floor(draw(f"{seed}-shift", F.col(column)) * n_splits)
     return ranked.select(key, column, F.pmod(F.col("_rank") + shift, F.lit(n_splits)).cast("int").alias("fold"))
 
 
