@@ -61,10 +61,14 @@ def mix_weights(pairs: DataFrame, low: float = 0.3, high: float = 0.7, seed: str
     return pairs.withColumn("weight", uniform(seed, F.col(key), low, high))
 
 
-def mix_samples(samples: DataFrame, pairs: DataFrame, key: str = CLIP) -> DataFrame:
-    """weight·own + (1-weight)·partner; the partner is cut or zero-padded to the own length."""
+def mix_samples(samples: DataFrame, pairs: DataFrame, partner_samples: DataFrame | None = None, key: str = CLIP) -> DataFrame:
+    """weight·own + (1-weight)·partner; the partner is cut or zero-padded to the own length.
+
+    Partners come from the same table unless ``partner_samples`` is given.
+    """
     own = samples.join(pairs.select(key, "partner_id", "weight"), key)
-    other = samples.select(F.col(key).alias("partner_id"), "idx", F.col("x").alias("_y"))
+    source = samples if partner_samples is None else partner_samples
+    other = source.select(F.col(key).alias("partner_id"), "idx", F.col("x").alias("_y"))
     mixed = F.col("weight") * F.col("x") + (1 - F.col("weight")) * F.coalesce("_y", F.lit(0.0))
     return own.join(other, ["partner_id", "idx"], "left").select(key, "idx", mixed.alias("x"))
 

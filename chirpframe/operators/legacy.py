@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as class_scores
+from ..plans.session import cut_lineage
 from . import curves
 from .curves import nan, ratio
 from .matching import nearest_pairs
@@ -83,9 +84,10 @@ def observations(
         rows = rows.where(~(matched & (F.col("class_id") == -1)))
     right = matched & (F.col("class_id") == F.col("pred_class")) if mode == "top_class" else matched
     group = [k for k in keys if k != "file_id"]
-    return rows.select(
+    obs = rows.select(
         *group, F.col("det_id").alias("row_id"), "score", F.coalesce(right, F.lit(False)).alias("is_true")
-    ), positives
+    )
+    return obs, positives
 
 
 def precision_recall(
@@ -94,6 +96,7 @@ def precision_recall(
     """Average precision and recall at 0.95 precision, rounded to 5; NaN without positives."""
     obs, positives = observations(gts, dets, files, mode, num_classes, **kwargs)
     keys = ["class_of_interest"] if mode == "per_class" else []
+    obs = cut_lineage(obs)  # read by two curves
     ap = curves.average_precision(obs, keys, positives)
     at = curves.recall_at_precision(curves.pr_curve(obs, keys, positives), keys)
     joined = curves.attach(curves.attach(positives, ap, keys), at, keys, "left") if keys else (

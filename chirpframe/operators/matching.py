@@ -190,18 +190,24 @@ def match_rows(
     dets: DataFrame, gts: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("clip_id",),
     score: str = "score", det_columns: Sequence[str] = (), gt_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Matched, false-positive and false-negative rows. Missed ground truth scores 0."""
+    """Matched, false-positive and false-negative rows. Missed ground truth scores 0.
+
+    The pairs are attached to the ground truth first, then one full outer join
+    with the detections gives all three kinds. Unmatched ground truth joins on
+    its own id (on a side of its own), so the keys stay spread.
+    """
     keys = list(keys)
+    side = [*keys, "_matched", "_id"]
     link = pairs.select(*keys, "det_id", "ann_id")
-    truth = gts.select(*keys, "ann_id", *gt_columns)
-    found = (
-        dets.select(*keys, "det_id", F.col(score).alias("score"), *det_columns)
-        .join(link, [*keys, "det_id"], "left")
+    truth = gts.select(*keys, "ann_id", *gt_columns).join(link, [*keys, "ann_id"], "left").withColumns(
+        {"_matched": F.col("det_id").isNotNull(), "_id": F.coalesce("det_id", "ann_id")}
+    ).drop("det_id")
+    found = dets.select(*keys, "det_id", F.col(score).alias("score"), *det_columns).withColumns(
+        {"_matched": F.lit(True), "_id": F.col("det_id")}
     )
-    found = found.join(truth, [*keys, "ann_id"], "left") if gt_columns else found
-    missed = truth.join(link, [*keys, "ann_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return found.unionByName(missed, allowMissingColumns=True).withColumns(
+    return found.join(truth, side, "full").drop("_matched", "_id").withColumns(
         {
+            "score": F.coalesce("score", F.lit(0.0)),
             "is_prediction": F.col("det_id").isNotNull(),
             "is_ground_truth": F.col("ann_id").isNotNull(),
         }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import is_true
+from ..plans.session import cut_lineage
 from . import curves
 from .curves import nan, ratio
 
@@ -86,7 +87,11 @@ def _threshold_metrics(matches: DataFrame, right: Column, threshold: float) -> D
 
 
 def detection_metrics(matches: DataFrame, threshold: float = 0.5, ignore_non_predictions: bool = True) -> DataFrame:
-    """Average precision, ROC AUC, and recall and precision at a threshold."""
+    """Average precision, ROC AUC, and recall and precision at a threshold.
+
+    Reads the match rows several times: give a checkpointed match table
+    (``plans.session.cut_lineage``) when they are not stored yet.
+    """
     obs, positives = detection_observations(matches, ignore_non_predictions)
     at = _threshold_metrics(matches, F.col("is_ground_truth"), threshold)
     return union_all([
@@ -234,7 +239,7 @@ def clip_class_scores(
 
 
 def clip_detection_metrics(scored: DataFrame, threshold: float = 0.5, key: str = "clip_id") -> DataFrame:
-    obs = scored.select(F.col(key).alias("row_id"), "score", "is_true")
+    obs = cut_lineage(scored.select(F.col(key).alias("row_id"), "score", "is_true"))
     at = _threshold_metrics(
         obs.withColumn("is_ground_truth", F.col("is_true")), F.col("is_true"), threshold
     )
@@ -248,7 +253,9 @@ def clip_detection_metrics(scored: DataFrame, threshold: float = 0.5, key: str =
 
 def clip_classification_metrics(scored: DataFrame, key: str = "clip_id") -> DataFrame:
     """NaN classes are left out of the listing and of the mean."""
-    obs = scored.select(F.col("class_name").alias("task_class"), F.col(key).alias("row_id"), "score", "is_true")
+    obs = cut_lineage(
+        scored.select(F.col("class_name").alias("task_class"), F.col(key).alias("row_id"), "score", "is_true")
+    )
     keys = ["task_class"]
     frames = []
     for name, frame in (

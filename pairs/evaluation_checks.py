@@ -8,6 +8,8 @@ from chirpframe.functions import geometry as g
 from chirpframe.functions import scores
 from chirpframe.operators import curves, filters, legacy, matching, reports
 
+from chirpframe.plans.session import cut_lineage
+
 from .base import CLASSES, pair, scored
 from .dataset_checks import duck_draw
 
@@ -190,7 +192,8 @@ def _(i):
     return rows.select("clip_id", "det_id", "ann_id", F.round("score", 6).alias("score"))
 
 
-IOU = "(" + BOX_AREA.replace("de", "dx.end_time").replace("ge,", "ax.end_time,").replace("ge)", "ax.end_time)").replace("ds", "dx.start_time").replace("gs", "ax.start_time").replace("dh", "dx.high_freq").replace("gh", "ax.high_freq").replace("dl", "dx.low_freq").replace("gl", "ax.low_freq") + ")"
+IOU = """(greatest(least(dx.end_time, ax.end_time) - greatest(dx.start_time, ax.start_time), 0)
+    * greatest(least(dx.high_freq, ax.high_freq) - greatest(dx.low_freq, ax.low_freq), 0))"""
 IOU_SHARE = f"{IOU} / ((dx.end_time-dx.start_time)*(dx.high_freq-dx.low_freq) + (ax.end_time-ax.start_time)*(ax.high_freq-ax.low_freq) - {IOU})"
 
 
@@ -220,8 +223,10 @@ def _(i):
     return rows.select("task_class", "clip_id", "det_id", "ann_id", "true_class", F.round("score", 6).alias("score"), "is_generic")
 
 
-def _top(i):
-    return matching.top_class_matches(detections_in_bounds(i), targets_in_bounds(i), CLASSES, AFFINITY)
+def _top(i, keep: bool = True):
+    """Match table of the top-class task; several metrics read it, so it is written once."""
+    rows = matching.top_class_matches(detections_in_bounds(i), targets_in_bounds(i), CLASSES, AFFINITY)
+    return cut_lineage(rows) if keep else rows
 
 
 @pair(
@@ -230,7 +235,7 @@ def _top(i):
     "ann det",
 )
 def _(i):
-    return _top(i).select("clip_id", "det_id", "ann_id", "pred_class", "true_class", F.round("score", 6).alias("score"))
+    return _top(i, keep=False).select("clip_id", "det_id", "ann_id", "pred_class", "true_class", F.round("score", 6).alias("score"))
 
 
 @pair("mat05_assign_classes")
@@ -248,14 +253,14 @@ def _(i):
     "ann det",
 )
 def _(i):
-    return matching.grouped_outcomes(_top(i), 0.6).groupBy("outcome", "group_class").agg(F.count(F.lit(1)).alias("n"))
+    return matching.grouped_outcomes(_top(i, keep=False), 0.6).groupBy("outcome", "group_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @pair(
     "mat07_binned_sample",
     f"""with {TOP_MATCH}, rows as (select pred_class, det_id, score from mr where det_id is not null),
     e as (select pred_class, quantile_cont(score, [0, 0.2, 0.4, 0.6, 0.8, 1]) as q from rows group by 1),
-    b as (select r.*, greatest(len(list_filter(list_distinct(q), x -> x < score)), 1) as bin from rows r join e using (pred_class)),
+    b as (select r.*, greatest(len(list_filter(list_distinct(q), lambda x: x < score)), 1) as bin from rows r join e using (pred_class)),
     c as (select *, row_number() over (partition by pred_class, bin order by {duck_draw('sample', 'det_id')}, det_id) as r from b)
     select pred_class, cast(bin as integer) as bin, det_id from c where r = 1""",
     "ann det",
@@ -268,11 +273,11 @@ def _(i):
 # --- curves ----------------------------------------------------------------
 
 def _detection(i):
-    return matching.detection_matches(detections_in_bounds(i), targets_in_bounds(i), AFFINITY)
+    return cut_lineage(matching.detection_matches(detections_in_bounds(i), targets_in_bounds(i), AFFINITY))
 
 
 def _classification(i):
-    return matching.per_class_matches(detections_in_bounds(i), targets_in_bounds(i), CLASSES, AFFINITY)
+    return cut_lineage(matching.per_class_matches(detections_in_bounds(i), targets_in_bounds(i), CLASSES, AFFINITY))
 
 
 @pair(
@@ -348,7 +353,7 @@ def _(i):
     "ann det",
 )
 def _(i):
-    return reports.balanced_accuracy(_top(i)).select(F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+    return reports.balanced_accuracy(_top(i, keep=False)).select(F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
 
 
 @pair(
