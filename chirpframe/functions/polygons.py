@@ -35,7 +35,8 @@ def _levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         s = (gap[..., 0] * db[None, :, 1] - gap[..., 1] * db[None, :, 0]) / cross
         u = (gap[..., 0] * da[:, None, 1] - gap[..., 1] * da[:, None, 0]) / cross
     hit = (cross != 0) & (s >= 0) & (s <= 1) & (u >= 0) & (u <= 1)
-    levels.append((a[:, None, 1] + s * da[:, None, 1])[hit])
+    rows, _ = np.nonzero(hit)
+    levels.append(a[rows, 1] + s[hit] * da[rows, 1])
     return np.unique(np.concatenate(levels))
 
 

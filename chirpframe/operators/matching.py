@@ -153,23 +153,25 @@ def serial_choice(
     receiver keeps the proposer of highest priority, refused pairs are struck
     out. All receivers rank proposers alike, so this equals the sequential
     scan. ``preference`` and ``priority`` sort ascending and must be total.
-    Runs one small count and one checkpoint per round; the number of rounds is
-    the longest chain of refusals.
+    Runs one checkpoint and one count per round; the number of rounds is the
+    longest chain of refusals.
     """
     cols = pairs.columns
     left = cut_lineage(pairs.withColumns({"_want": preference, "_rank": priority}))
+    size = left.count()
     while True:
         asked = left.groupBy(*proposer).agg(
             F.min_by(F.struct(*[c for c in left.columns if c not in proposer]), F.col("_want")).alias("_a")
         ).select(*proposer, "_a.*")
         held = asked.groupBy(*receiver).agg(F.min("_rank").alias("_held"))
-        refused = cut_lineage(
-            asked.join(held, list(receiver)).where(F.col("_rank") != F.col("_held"))
-            .select(*dict.fromkeys([*proposer, *receiver]))
+        refused = asked.join(held, list(receiver)).where(F.col("_rank") != F.col("_held")).select(
+            *dict.fromkeys([*proposer, *receiver])
         )
-        if refused.isEmpty():
+        rest = cut_lineage(left.join(refused, refused.columns, "left_anti"))
+        remaining = rest.count()
+        if remaining == size:
             return asked.select(*cols)
-        left = cut_lineage(left.join(refused, refused.columns, "left_anti"))
+        left, size = rest, remaining
 
 
 def free_choice_pairs(

@@ -113,7 +113,9 @@ def query(name: str, sql: str | None = None, needs: str = ""):
         if sql is not None:
             heads = [f"{v} as ({VIEWS[v]})" for v in needs.split()]
             body = sql.strip()
-            if heads and body.lower().startswith("with "):
+            if heads and body.lower().startswith("with recursive "):
+                body = "with recursive " + ", ".join(heads) + ", " + body[15:]
+            elif heads and body.lower().startswith("with "):
                 body = "with " + ", ".join(heads) + ", " + body[5:]
             elif heads:
                 body = "with " + ", ".join(heads) + " " + body

@@ -207,10 +207,29 @@ def _(i):
     return rows.select("clip_id", "det_id", "ann_id", F.round("score", 6).alias("score"))
 
 
-@pair("mat02_free_choice")
+def serial_ctes(chooser: str, chosen: str, rank: str, candidates: str) -> str:
+    """Sequential choice inside each clip, one chooser per step, over table ``cand``."""
+    return f"""ch as (select clip_id, {chooser} as who, row_number() over (partition by clip_id order by {rank}) as n,
+        list({chosen} order by {candidates}) as wish from cand group by clip_id, {rank.replace(' desc', '')}{'' if chooser in rank else ', ' + chooser}),
+    st as (select distinct clip_id, cast(0 as bigint) as n, cast([] as bigint[]) as taken, cast(null as bigint) as who, cast(null as bigint) as pick from ch
+      union all select clip_id, n, case when pick is null then taken else list_append(taken, pick) end, who, pick from (
+        select ch.clip_id, ch.n, st.taken, ch.who, list_filter(ch.wish, lambda x: not list_contains(st.taken, x))[1] as pick
+        from st join ch on ch.clip_id = st.clip_id and ch.n = st.n + 1) q),
+    won as (select clip_id, who, pick from st where pick is not null)"""
+
+
+@pair(
+    "mat02_free_choice",
+    f"""with recursive {BASE}, {DETECTED}, cand as (select dx.clip_id, dx.det_id, dx.score, ax.ann_id, abs(dx.start_time - ax.start_time) as gap
+      from dx join ax using (clip_id) where 1 - abs(dx.start_time - ax.start_time)/cast(0.05 as double) > 0),
+    {serial_ctes('det_id', 'ann_id', 'score desc, det_id', 'gap, ann_id')}
+    select dx.clip_id, det_id, pick as ann_id, round(score, 6) as score from dx left join won on who = det_id
+    union all select ax.clip_id, null, ann_id, 0 from ax left join won on pick = ann_id where who is null""",
+    "ann det",
+)
 def _(i):
     rows = matching.detection_matches(detections_in_bounds(i), targets_in_bounds(i), AFFINITY, strict=False)
-    return rows.select("clip_id", "det_id", "ann_id", "score")
+    return rows.select("clip_id", "det_id", "ann_id", F.round("score", 6).alias("score"))
 
 
 @pair(
@@ -238,7 +257,15 @@ def _(i):
     return _top(i, keep=False).select("clip_id", "det_id", "ann_id", "pred_class", "true_class", F.round("score", 6).alias("score"))
 
 
-@pair("mat05_assign_classes")
+@pair(
+    "mat05_assign_classes",
+    f"""with recursive dx as (select * from det), ax as (select * from ann), cand as (select dx.clip_id, dx.det_id, ax.ann_id, {IOU_SHARE} as iou
+      from dx join ax using (clip_id) where {IOU_SHARE} > 0.01),
+    {serial_ctes('ann_id', 'det_id', 'ann_id', 'iou desc, det_id')}
+    select det.clip_id, det_id, case when who is null then 'Not Bat' else coalesce(class_name, 'Not Bat') end as class_name
+    from det left join won on pick = det_id left join ann on ann_id = who""",
+    "ann det",
+)
 def _(i):
     dets = i.det.withColumn("class_name", F.lit("Not Bat"))
     return matching.assign_truth_classes(i.ann, dets, 0.01).select("clip_id", "det_id", "class_name")
@@ -660,9 +687,26 @@ def _(i):
     }))
 
 
-@pair("met19_legacy_report")
+LEGACY_NAMES = "lx lg lp won obs pos cu pr2 env ap rx"
+
+
+def _legacy_task(mode: str, mark: str) -> str:
+    text = legacy_ctes(mode).replace(" / max(n_pos) as ap from", " / max(n_pos) as value from")
+    return renamed(text, mark, LEGACY_NAMES)
+
+
+@pair(
+    "met19_legacy_report",
+    f"""with {_legacy_task('detection', 'd')}, {_legacy_task('top_class', 't')}, {_legacy_task('per_class', 'c')},
+    one as (select clip_id, min(coalesce(class_name, '-')) as c from ann group by 1 having count(distinct coalesce(class_name, '-')) = 1 and c <> '-')
+    select 'avg_prec' as name, round(value, 5) as value from ap_d union all select 'top_class', round(value, 5) from ap_t
+    union all select 'avg_prec_class', round(avg(round(value, 5)), 5) from ap_c
+    union all select 'class_pr/' || case k when 0 then 'click' when 1 then 'purchase' else 'signup' end, round(value, 5) from ap_c
+    union all select 'file_acc', case when count(*) > 0 then cast('nan' as double) end from one""",
+    "ann det",
+)
 def _(i):
-    return legacy.report(*_legacy(i), CLASSES)
+    return legacy.report(*_legacy(i), CLASSES, **REACH)
 
 
 @pair(
