@@ -63,27 +63,53 @@ def pr_curve(obs: DataFrame, keys: Sequence[str] = (), positives: DataFrame | No
     return _curve(obs, keys, positives).clean().drop("hit", "n_pos")
 
 
-def average_precision(
-    obs: DataFrame, keys: Sequence[str] = (), positives: DataFrame | None = None
+def curve_areas(
+    obs: DataFrame, keys: Sequence[str] = (), positives: DataFrame | None = None, level: float = 0.95
 ) -> DataFrame:
-    """Area under the precision envelope per key.
+    """Average precision, ROC AUC and recall at ``level`` precision per key, from one ordering.
 
-    NaN when given positives are zero, 0 when derived positives are zero.
-    Keys of ``positives`` without observations score 0.
+    Average precision is the area under the precision envelope: NaN when given
+    positives are zero, 0 when derived positives are zero. AUC counts pairs of
+    true and false observations in the right order, ties half; NaN when one
+    kind is missing. Keys of ``positives`` without observations give 0, NaN, 0.
     """
-    curve = _curve(obs, keys, positives)
-    envelope = running(curve, maxima={"envelope": F.col("precision")}, reverse=True)
-    area = envelope.rows.where(F.col("hit") == 1).groupBy(*keys).agg(F.sum("envelope").alias("_area"))
-    n_pos = positives if positives is not None else count_positives(obs, keys)
-    empty = nan() if positives is not None else F.lit(0.0)
-    joined = attach(n_pos, area, keys, "left")
-    return joined.select(
-        *keys,
-        F.when(F.col("n_pos") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("n_pos"))
-        .otherwise(empty).alias("average_precision"),
+    envelope = running(_curve(obs, keys, positives), maxima={"envelope": F.col("precision")}, reverse=True)
+    hit = F.col("hit") == 1
+    good = F.col("precision") > F.lit(float(level))
+    tied = envelope.rows.groupBy(*keys, "score").agg(
+        F.sum("hit").alias("_p"),
+        F.sum(1 - F.col("hit")).alias("_n"),
+        F.max("fp").alias("_fp"),
+        F.sum(F.when(hit, F.col("envelope"))).alias("_area"),
+        F.max(F.when(good, F.col("recall"))).alias("_good"),
+    )
+    # recall never falls along the curve, so its maximum is the last good point
+    sums = tied.groupBy(*keys).agg(
+        F.sum("_area").alias("_area"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"),
+        F.sum(F.col("_p") * (F.col("_n") / 2 - F.col("_fp"))).alias("_pairs"), F.max("_good").alias("_good"),
+    )
+    if positives is None:
+        rows = sums.withColumn("n_pos", F.coalesce("_p", F.lit(0)))
+    else:
+        rows = attach(positives, sums, keys, "left")
+    all_pairs = F.col("_p").cast("double") * F.col("_n")
+    empty = F.lit(0.0) if positives is None else nan()
+    return rows.select(
+        *keys, "n_pos",
+        F.when(F.col("n_pos") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("n_pos")).otherwise(empty)
+        .alias("average_precision"),
+        F.coalesce(ratio(F.col("_pairs") + all_pairs, all_pairs), nan()).alias("roc_auc"),
+        F.coalesce("_good", F.lit(0.0)).alias("recall_at_x"),
     )
 
 
+def average_precision(
+    obs: DataFrame, keys: Sequence[str] = (), positives: DataFrame | None = None
+) -> DataFrame:
+    """Average precision per key, see :func:`curve_areas`."""
+    return curve_areas(obs, keys, positives).select(*keys, "average_precision")
+
+
 def recall_at_precision(curve: DataFrame, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """Recall of the last point whose precision exceeds ``level``, 0 when none does."""
     good = F.col("precision") > F.lit(level)
@@ -146,7 +172,7 @@ def roc_curve(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def roc_auc(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Tie-aware area: share of (true, false) pairs in the right order, ties half. NaN with one class only."""
+    """Tie-aware area alone, from counts per distinct score: scores are reduced before they are ordered."""
     ordered = order_rows(_score_counts(obs, keys), keys, [("score", False)])
     rows = running(ordered, sums={"below": F.col("neg")}).rows
     good = F.col("pos") * (F.col("below") - F.col("neg") / 2)

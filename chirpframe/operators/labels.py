@@ -41,24 +41,34 @@ def heatmaps(cells: DataFrame, height: int, width: int, sigma: float = 2.0, key:
     """Non-zero cells (clip, layer, f, t, value) of the detection and class heatmaps.
 
     The maximum of Gaussians is the Gaussian of the nearest event, found in two
-    passes: along time inside each event row, then across rows. Each pass
-    reduces before the next, so dense clips do not multiply. Cells whose value
-    is 0 in single precision are not emitted; all others are exact.
+    passes. Along time, every event row keeps its distance to the nearest event
+    per column. Then one column (at most ``height`` entries) takes the minimum
+    over its event rows for each cell, without another shuffle. Cells whose
+    value is 0 in single precision are not emitted; all others are exact.
     """
     reach = int(math.ceil(REACH_SIGMAS * sigma))
     layers = F.array_compact(F.array(F.lit(DETECTION), F.col("class_name")))
     spots = cells.select(key, F.explode(layers).alias("layer"), "f0", "t0").distinct()
     along = spread(
         spots, "t", F.greatest(F.col("t0") - reach, F.lit(0)), F.least(F.col("t0") + reach, F.lit(width - 1))
-    ).groupBy(key, "layer", "f0", "t").agg(F.min(F.abs(F.col("t") - F.col("t0"))).alias("_dt"))
-    across = spread(
-        along, "f", F.greatest(F.col("f0") - reach, F.lit(0)), F.least(F.col("f0") + reach, F.lit(height - 1))
-    ).withColumn("_d", F.col("_dt") * F.col("_dt") + (F.col("f") - F.col("f0")) * (F.col("f") - F.col("f0")))
-    nearest = across.where(F.col("_d") <= F.lit(reach * reach)).groupBy(key, "layer", "f", "t").agg(
-        F.min("_d").alias("_d")
+    ).groupBy(key, "layer", "t", "f0").agg(F.min(F.abs(F.col("t") - F.col("t0"))).alias("_dt"))
+    column = along.groupBy(key, "layer", "t").agg(
+        F.collect_list(F.struct("f0", (F.col("_dt") * F.col("_dt")).alias("d"))).alias("_e"),
+        F.min("f0").alias("_lo"), F.max("f0").alias("_hi"),
     )
-    return nearest.select(
-        key, "layer", "f", "t", F.exp(-F.col("_d") / F.lit(2.0 * sigma * sigma)).alias("value")
+
+    def nearest(f):
+        return F.aggregate(
+            "_e", F.lit(reach * reach + 1),
+            lambda best, e: F.least(best, e["d"] + (f - e["f0"]) * (f - e["f0"])),
+        )
+
+    rows = F.sequence(F.greatest(F.col("_lo") - reach, F.lit(0)), F.least(F.col("_hi") + reach, F.lit(height - 1)))
+    found = column.select(
+        key, "layer", "t", F.explode(F.transform(rows, lambda f: F.struct(f.alias("f"), nearest(f).alias("d")))).alias("_c")
+    ).where(F.col("_c.d") <= reach * reach)
+    return found.select(
+        key, "layer", F.col("_c.f").alias("f"), "t", F.exp(-F.col("_c.d") / F.lit(2.0 * sigma * sigma)).alias("value")
     )
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as class_scores
-from ..plans.session import cut_lineage
 from . import curves
 from .curves import nan, ratio
 from .matching import nearest_pairs
@@ -96,14 +95,9 @@ def precision_recall(
     """Average precision and recall at 0.95 precision, rounded to 5; NaN without positives."""
     obs, positives = observations(gts, dets, files, mode, num_classes, **kwargs)
     keys = ["class_of_interest"] if mode == "per_class" else []
-    obs = cut_lineage(obs)  # read by two curves
-    ap = curves.average_precision(obs, keys, positives)
-    at = curves.recall_at_precision(curves.pr_curve(obs, keys, positives), keys)
-    joined = curves.attach(curves.attach(positives, ap, keys), at, keys, "left") if keys else (
-        positives.crossJoin(F.broadcast(ap)).crossJoin(F.broadcast(at))  # one row each
-    )
-    recall = F.when(F.col("n_pos") > 0, F.coalesce("recall_at_x", F.lit(0.0))).otherwise(nan())
-    return joined.select(
+    areas = curves.curve_areas(obs, keys, positives)
+    recall = F.when(F.col("n_pos") > 0, F.col("recall_at_x")).otherwise(nan())
+    return areas.select(
         *keys, F.col("n_pos").alias("num_gt"),
         F.round("average_precision", 5).alias("avg_prec"), F.round(recall, 5).alias("rec_at_x"),
     )

@@ -58,7 +58,7 @@ def nearest_pairs(
         .groupBy(*keys, "_at")
         .agg(F.min("ann_id").alias("_ann"))
     )
-    width = max(reach * 16, 1e-9)
+    width = max(reach * 8, 1e-9)
     tiled = with_halo(g, "_at", width, reach * 1.001).withColumn("_gt", F.struct("_at", "_ann")).drop("_ann")
     points = with_halo(d, "_at", width, 0.0).unionByName(tiled, allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_tile")

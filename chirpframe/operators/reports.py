@@ -21,6 +21,17 @@ def _metric(df: DataFrame, name: str, value: str, class_column: str | None = Non
     )
 
 
+def _spread_metrics(areas: DataFrame, at: DataFrame) -> DataFrame:
+    """One row per metric from two one-row tables."""
+    one = areas.crossJoin(F.broadcast(at))  # one row each
+    names = ("average_precision", "roc_auc", "recall", "precision")
+    pairs = F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.lit(None).cast("string").alias("class_name"), F.col(n).cast("double").alias("value"))
+        for n in names
+    ])
+    return one.select(F.explode(pairs).alias("_m")).select("_m.*")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -94,12 +105,7 @@ def detection_metrics(matches: DataFrame, threshold: float = 0.5, ignore_non_pre
     """
     obs, positives = detection_observations(matches, ignore_non_predictions)
     at = _threshold_metrics(matches, F.col("is_ground_truth"), threshold)
-    return union_all([
-        _metric(curves.average_precision(obs, positives=positives), "average_precision", "average_precision"),
-        _metric(curves.roc_auc(obs), "roc_auc", "roc_auc"),
-        _metric(at, "recall", "recall"),
-        _metric(at, "precision", "precision"),
-    ])
+    return _spread_metrics(curves.curve_areas(obs, positives=positives), at)
 
 
 # --- classification --------------------------------------------------------
@@ -125,12 +131,9 @@ def classification_metrics(
     """Average precision and ROC AUC per class and their means over classes that have one."""
     obs, positives = classification_observations(matches, class_names, ignore_non_predictions, ignore_generic)
     keys = ["task_class"]
-    ap = curves.average_precision(obs, keys, positives)
-    auc = positives.select("task_class").join(curves.roc_auc(obs, keys), keys, "left").withColumn(
-        "roc_auc", F.coalesce("roc_auc", nan())
-    )
-    return _per_class_report(ap, "average_precision", "average_precision", include, exclude).unionByName(
-        _per_class_report(auc, "roc_auc", "roc_auc", include, exclude)
+    areas = cut_lineage(curves.curve_areas(obs, keys, positives))  # one row per class
+    return _per_class_report(areas, "average_precision", "average_precision", include, exclude).unionByName(
+        _per_class_report(areas, "roc_auc", "roc_auc", include, exclude)
     )
 
 
@@ -144,12 +147,7 @@ def top_class_metrics(
     at = _threshold_metrics(
         matches, F.col("pred_class").eqNullSafe(F.col("true_class")), threshold
     )
-    return union_all([
-        _metric(curves.average_precision(obs, positives=positives), "average_precision", "average_precision"),
-        _metric(curves.roc_auc(obs), "roc_auc", "roc_auc"),
-        _metric(at, "recall", "recall"),
-        _metric(at, "precision", "precision"),
-    ])
+    return _spread_metrics(curves.curve_areas(obs, positives=positives), at)
 
 
 def balanced_accuracy(matches: DataFrame, exclude_noise: bool = False, noise_class: str = "noise") -> DataFrame:
@@ -239,30 +237,21 @@ def clip_class_scores(
 
 
 def clip_detection_metrics(scored: DataFrame, threshold: float = 0.5, key: str = "clip_id") -> DataFrame:
-    obs = cut_lineage(scored.select(F.col(key).alias("row_id"), "score", "is_true"))
+    obs = scored.select(F.col(key).alias("row_id"), "score", "is_true")
     at = _threshold_metrics(
         obs.withColumn("is_ground_truth", F.col("is_true")), F.col("is_true"), threshold
     )
-    return union_all([
-        _metric(curves.average_precision(obs), "average_precision", "average_precision"),
-        _metric(curves.roc_auc(obs), "roc_auc", "roc_auc"),
-        _metric(at, "recall", "recall"),
-        _metric(at, "precision", "precision"),
-    ])
+    return _spread_metrics(curves.curve_areas(obs), at)
 
 
 def clip_classification_metrics(scored: DataFrame, key: str = "clip_id") -> DataFrame:
     """NaN classes are left out of the listing and of the mean."""
-    obs = cut_lineage(
-        scored.select(F.col("class_name").alias("task_class"), F.col(key).alias("row_id"), "score", "is_true")
-    )
-    keys = ["task_class"]
+    obs = scored.select(F.col("class_name").alias("task_class"), F.col(key).alias("row_id"), "score", "is_true")
+    areas = cut_lineage(curves.curve_areas(obs, ["task_class"]))  # one row per class
     frames = []
-    for name, frame in (
-        ("average_precision", curves.average_precision(obs, keys)), ("roc_auc", curves.roc_auc(obs, keys))
-    ):
-        frames.append(_metric(_mean_over_classes(frame, name), f"mean_{name}", name))
-        frames.append(_metric(frame.where(~F.isnan(name)), name, name, "task_class"))
+    for name in ("average_precision", "roc_auc"):
+        frames.append(_metric(_mean_over_classes(areas, name), f"mean_{name}", name))
+        frames.append(_metric(areas.where(~F.isnan(name)), name, name, "task_class"))
     return union_all(frames)
 
 

@@ -126,14 +126,15 @@ def with_previous(ordered: Ordered, name: str, value: str) -> Ordered:
 
 
 def hashed_rank(
-    df: DataFrame, keys: Sequence[str], draw: str, tie: str, name: str = "rank", buckets: int = 64
+    df: DataFrame, keys: Sequence[str], draw: str, tie: str, name: str = "rank", buckets: int | None = None
 ) -> DataFrame:
     """Rank by a uniform draw in [0, 1) inside each key.
 
     The draw is uniform, so equal-width buckets are balanced by construction
     and neither sampling nor a checkpoint is needed.
     """
-    cut = df.withColumn("_bucket", F.floor(F.col(draw) * buckets).cast("int"))
+    n = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = df.withColumn("_bucket", F.floor(F.col(draw) * n).cast("int"))
     group = [*keys, "_bucket"]
     counts = cut.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     across = (
