@@ -6,6 +6,7 @@ from . import (  # noqa: F401  (registration)
     dataset_checks,
     detection_checks,
     evaluation_checks,
+    file_checks,
     filter_checks,
     target_checks,
 )
