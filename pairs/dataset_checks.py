@@ -27,7 +27,7 @@ LONG = """lng as (select clip_id as recording_id, det_id, detection_score, 0 as
 @pair(
     "agg01_class_summary",
     """with per as (select distinct class_name, recording_id from rec_ann),
-    d as (select class_name, count(*) as num_recordings, sum(duration) as duration from per join recordings using (recording_id) group by 1),
+    d as (select class_name, count(*) as num_recordings, sum(duration) as duration from per left join recordings using (recording_id) group by 1),
     n as (select class_name, count(*) as num_calls from rec_ann group by 1)
     select class_name, num_calls, num_recordings, round(duration, 6) as duration, round(num_calls / duration, 6) as call_rate from n join d using (class_name)""",
     "rec_ann recordings",
