@@ -124,8 +124,17 @@ class GeometricIOU(BBoxIOU):
 
     shapes: bool = False
 
+    def band(self, row: Row) -> tuple[Column, Column]:
+        low, high = super().band(row)
+        if not self.shapes:
+            return low, high
+        # time-only shapes meet every frequency
+        timed = row("geom_type").isin(*TIME_ONLY)
+        top = F.lit(5000000.0)
+        return F.when(timed, zero()).otherwise(low), F.when(timed, top).otherwise(high)
+
     def column(self, det: Row, gt: Row) -> Column:
-        boxes = super().column(det, gt)
+        boxes = BBoxIOU(self.time_buffer, self.freq_buffer).column(det, gt)
         if not self.shapes:
             return boxes
         from .polygons import shape_iou

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as class_scores
 from ..functions.geometry import TimeAffinity, point_in_time, scaled_box_iou
-from ..plans.intervals import overlap_join
+from ..plans.intervals import Axis, range_join
 from ..plans.session import cut_lineage
 from ..plans.tiles import core_only, with_halo
 
@@ -102,8 +102,12 @@ def candidate_pairs(
     threshold: float = 0.0,
     score: str = "score",
     slot: float = 0.1,
+    band: float = 20000.0,
 ) -> DataFrame:
-    """Detection–ground-truth pairs above the affinity threshold (which must be ≥ 0)."""
+    """Detection–ground-truth pairs above the affinity threshold (which must be ≥ 0).
+
+    Joined on time slots, for box affinities on frequency bands too.
+    """
     if threshold < 0:
         raise ValueError("affinity threshold must be non-negative")
     left = dets.select(*keys, "det_id", score, *_box_columns(dets))
@@ -111,9 +115,10 @@ def candidate_pairs(
         *keys, "ann_id", *[F.col(c).alias(f"g_{c}") for c in _box_columns(gts)]
     )
     gt_row = lambda n: F.col(f"g_{n}")
-    pairs = overlap_join(
-        left, right, keys, affinity.span(F.col, "det"), affinity.span(gt_row, "gt"), slot
-    )
+    axes = [Axis(affinity.span(F.col, "det"), affinity.span(gt_row, "gt"), slot)]
+    if hasattr(affinity, "band"):
+        axes.append(Axis(affinity.band(F.col), affinity.band(gt_row), band))
+    pairs = range_join(left, right, keys, axes)
     return (
         pairs.withColumn("affinity", affinity.column(F.col, gt_row))
         .where(F.col("affinity") > F.lit(float(threshold)))
@@ -136,7 +141,14 @@ def strict_pairs(
         near = nearest_pairs(dets, gts, keys, affinity.ratio, affinity.max_distance, score)
         near = near.withColumn("affinity", affinity.from_distance(F.col("distance")))
         return _winner(near.where(F.col("affinity") > F.lit(float(threshold))), keys, score)
-    pairs = candidate_pairs(dets, gts, affinity, keys, threshold, score, slot)
+    # equal boxes share their best ground truth, so only the best detection of a box
+    # can win, and of equal ground-truth boxes only the lowest id is ever asked
+    shape = _box_columns(dets)
+    one_det = dets.groupBy(*keys, *shape).agg(
+        F.min(F.struct((-F.col(score)).alias("neg"), F.col("det_id").alias("id"))).alias("_d")
+    ).select(*keys, *shape, (-F.col("_d.neg")).alias(score), F.col("_d.id").alias("det_id"))
+    one_gt = gts.groupBy(*keys, *_box_columns(gts)).agg(F.min("ann_id").alias("ann_id"))
+    pairs = candidate_pairs(one_det, one_gt, affinity, keys, threshold, score, slot)
     best = pairs.groupBy(*keys, "det_id").agg(
         F.min_by(F.struct("ann_id", "affinity", score), F.struct(-F.col("affinity"), F.col("ann_id"))).alias("_b")
     ).select(*keys, "det_id", "_b.*")
@@ -285,6 +297,7 @@ def assign_truth_classes(
     """
     class _Scaled:
         span = staticmethod(lambda row, side: (row("start_time"), row("end_time")))
+        band = staticmethod(lambda row: (row("low_freq"), row("high_freq")))
         column = staticmethod(scaled_box_iou)
 
     pairs = candidate_pairs(

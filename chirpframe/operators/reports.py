@@ -236,6 +236,23 @@ def clip_class_scores(
     )
 
 
+def clip_class_observations(
+    clips: DataFrame, scored: DataFrame, targets: DataFrame, class_names: Sequence[str], key: str = "clip_id"
+) -> DataFrame:
+    """Observations of the clip-classification curves: every clip and class, 0 where nothing was detected."""
+    every = clips.select(key, F.explode(F.array(*[F.lit(c) for c in class_names])).alias("class_name"))
+    truth = targets.where(F.col("class_name").isNotNull()).select(key, "class_name").distinct()
+    best = scored.select(key, "class_name", "score")
+    return (
+        every.join(best, [key, "class_name"], "left")
+        .join(truth.withColumn("_hit", F.lit(True)), [key, "class_name"], "left")
+        .select(
+            F.col("class_name").alias("task_class"), F.col(key).alias("row_id"),
+            F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("_hit", F.lit(False)).alias("is_true"),
+        )
+    )
+
+
 def clip_detection_metrics(scored: DataFrame, threshold: float = 0.5, key: str = "clip_id") -> DataFrame:
     obs = scored.select(F.col(key).alias("row_id"), "score", "is_true")
     at = _threshold_metrics(

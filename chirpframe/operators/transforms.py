@@ -135,7 +135,7 @@ def shift_to_clip_start(dets: DataFrame, clips: DataFrame | None = None, key: st
 DetectionStep = Callable[[DataFrame], DataFrame]
 
 
-def output_pipeline(
+def output_steps(
     dets: DataFrame,
     clips: DataFrame,
     detection_steps: Sequence[DetectionStep] = (),

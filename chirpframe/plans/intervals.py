@@ -1,46 +1,59 @@
-"""Range joins as equi-joins on (keys, time slot)."""
+"""Range joins as equi-joins on (keys, slots)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOT = "_slot"
+Span = tuple[Column, Column]
 
 
-def _slots(df: DataFrame, start: Column, end: Column, width: float, first: str) -> DataFrame:
-    w = F.lit(float(width))
-    return (
-        df.withColumn(first, F.floor(start / w))
-        .where(start <= end)
-        .withColumn(SLOT, F.explode(F.sequence(F.col(first), F.floor(end / w))))
-    )
+@dataclass(frozen=True)
+class Axis:
+    """One axis of a range join: the spans of both sides and the slot width."""
 
+    left: Span
+    right: Span
+    width: float
 
-def overlap_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_span: tuple[Column, Column],
-    right_span: tuple[Column, Column],
-    width: float,
-) -> DataFrame:
-    """Pairs with touching time spans inside the same key, each exactly once.
+
+def _slotted(df: DataFrame, spans: Sequence[Span], widths: Sequence[float], side: str) -> DataFrame:
+    for n, ((start, end), width) in enumerate(zip(spans, widths)):
+        low, high, first = f"_{side}s{n}", f"_{side}e{n}", f"_{side}f{n}"
+        w = F.lit(float(width))
+        df = (
+            df.withColumns({low: start, high: end})
+            .where(F.col(low) <= F.col(high))
+            .withColumn(first, F.floor(F.col(low) / w))
+            .withColumn(f"_slot{n}", F.explode(F.sequence(F.col(first), F.floor(F.col(high) / w))))
+        )
+    return df
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[Axis]) -> DataFrame:
+    """Pairs of the same key whose spans touch on every axis, each exactly once.
 
     Both sides are copied into every slot they touch; a pair is kept only in
-    the first slot both share. A hot key is split by its slots. The span
-    columns refer to columns of their own side; the two sides must not share
-    column names other than ``keys``.
+    the first slot both share. A hot key is split by its slots. Span columns
+    refer to their own side; the sides share no column names but ``keys``.
     """
-    ls, le = left_span
-    rs, re_ = right_span
-    lhs = _slots(left.withColumns({"_ls": ls, "_le": le}), F.col("_ls"), F.col("_le"), width, "_lf")
-    rhs = _slots(right.withColumns({"_rs": rs, "_re": re_}), F.col("_rs"), F.col("_re"), width, "_rf")
-    return (
-        lhs.join(rhs, [*keys, SLOT])
-        .where(F.col(SLOT) == F.greatest("_lf", "_rf"))
-        .where((F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le")))
-        .drop(SLOT, "_lf", "_rf", "_ls", "_le", "_rs", "_re")
-    )
+    widths = [a.width for a in axes]
+    lhs = _slotted(left, [a.left for a in axes], widths, "l")
+    rhs = _slotted(right, [a.right for a in axes], widths, "r")
+    numbers = range(len(axes))
+    out = lhs.join(rhs, [*keys, *[f"_slot{n}" for n in numbers]])
+    for n in numbers:
+        out = out.where(F.col(f"_slot{n}") == F.greatest(f"_lf{n}", f"_rf{n}")).where(
+            (F.col(f"_ls{n}") <= F.col(f"_re{n}")) & (F.col(f"_rs{n}") <= F.col(f"_le{n}"))
+        )
+    return out.drop(*[f"_{c}{n}" for n in numbers for c in ("slot", "ls", "le", "lf", "rs", "re", "rf")])
+
+
+def overlap_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: Span, right_span: Span, width: float
+) -> DataFrame:
+    """Range join on time alone."""
+    return range_join(left, right, keys, [Axis(left_span, right_span, width)])

@@ -17,6 +17,10 @@ def six(frame, *names):
     return frame.withColumns({n: F.round(n, 6) for n in names or ("value",)})
 
 
+def resized(n_in: str, n_out: str, axis: str) -> str:
+    return f"""greatest(({axis} + cast(0.5 as double)) * ({n_in} / cast({n_out} as double)) - 0.5, 0)"""
+
+
 # --- waveform --------------------------------------------------------------
 
 @pair("sig01_center", "select clip_id, idx, round(x - avg(x) over (partition by clip_id), 6) as x from samples", "samples")
@@ -71,10 +75,6 @@ def _(i):
     return six(signal.frequency_crop(i.cells, 256000, 38, 15000, 100000))
 
 
-def resized(n_in: str, n_out: str, axis: str) -> str:
-    return f"""greatest(({axis} + cast(0.5 as double)) * ({n_in} / cast({n_out} as double)) - 0.5, 0)"""
-
-
 @pair(
     "sig06_resize",
     f"""with g as (select clip_id, a.f, b.t from (select distinct clip_id from cells), (select unnest(range(0, 32)) as f) a, (select unnest(range(0, 25)) as t) b),
@@ -131,11 +131,30 @@ def _(i):
     return six(signal.max_scale(signal.log_scale(i.cells, 0.25))).select("clip_id", "f", "t", "value")
 
 
-@pair("sig11_preprocess")
+SMOOTH = signal.pcen_smoothing(16000)
+CHAIN = STFT.replace("from samples", "from centred")
+
+
+@pair(
+    "sig11_preprocess",
+    f"""with centred as (select clip_id, idx, x - avg(x) over (partition by clip_id) as x from samples), {CHAIN},
+    cr as (select clip_id, f - 2 as f, t, sqrt(re*re + im*im) * 2147483648 as s from sp where f >= 2 and f < 14),
+    m as (select a.clip_id, a.f, a.t, max(a.s) as s, sum(cast({SMOOTH!r} as double) * pow(cast({(1 - SMOOTH)!r} as double), a.t - b.t) * b.s) as m
+      from cr a join cr b on b.clip_id = a.clip_id and b.f = a.f and b.t <= a.t group by all),
+    pc as (select clip_id, f, t, sqrt(cast(2 as double)) * (sqrt(1 + s * exp(-0.98 * (ln(cast(1e-6 as double)) + ln(1 + m / cast(1e-6 as double)))) / 2) - 1) as v from m),
+    ms as (select clip_id, f, t, greatest(v - avg(v) over (partition by clip_id, f), 0) as value from pc),
+    g as (select clip_id, a.f, b.t from (select distinct clip_id from ms), (select unnest(range(0, 16)) as f) a, (select unnest(range(0, 63)) as t) b),
+    sg as (select *, {resized('12', '16', 'f')} as sf, {resized('126', '63', 't')} as st from g),
+    w as (select *, cast(floor(sf) as bigint) as f0, least(cast(floor(sf) as bigint) + 1, 11) as f1, cast(floor(st) as bigint) as t0, least(cast(floor(st) as bigint) + 1, 125) as t1 from sg)
+    select w.clip_id, w.f, w.t, round((1-(sf-f0))*((1-(st-t0))*a.value + (st-t0)*b.value) + (sf-f0)*((1-(st-t0))*c.value + (st-t0)*d.value), 4) as value
+    from w join ms a on a.clip_id = w.clip_id and a.f = f0 and a.t = t0 join ms b on b.clip_id = w.clip_id and b.f = f0 and b.t = t1
+    join ms c on c.clip_id = w.clip_id and c.f = f1 and c.t = t0 join ms d on d.clip_id = w.clip_id and d.f = f1 and d.t = t1""",
+    "samples",
+)
 def _(i):
     """Whole chain on a small window (16 kHz, n_fft 32): centre, STFT, crop, PCEN, mean subtraction, resize."""
     out = signal.preprocess(i.samples, 16000, [signal.center], min_freq=1000, max_freq=7000, height=16)
-    return six(out)
+    return out.withColumn("value", F.round("value", 4))
 
 
 @pair(

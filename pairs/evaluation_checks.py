@@ -523,6 +523,44 @@ def _(i):
     return out.select("row_id", "rank", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+@pair(
+    "met13_clip_detection_curve",
+    f"""with {BASE}, {CLIP_SCORE}, obs as (select 'all' as k, * from cs), pos as (select 'all' as k, count(*) filter (where is_true) as n_pos from cs), {CURVE}
+    select row_id as clip_id, cast(rank as bigint) as rank, round(prec, 6) as precision, round(rec, 6) as recall from pr2""",
+    "ann det clips",
+)
+def _(i):
+    obs = _clip_scored(i).withColumnRenamed("clip_id", "row_id")
+    out = curves.pr_curve(obs)
+    return out.select(F.col("row_id").alias("clip_id"), "rank", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@pair(
+    "met13_clip_class_curve",
+    f"""with {BASE}, {CLIP_CLASS}, obs as (select q.k, c_custkey as row_id, coalesce(cb.score, 0) as score, c_custkey in (select clip_id from ct where class_name = q.k) as is_true
+      from customer cross join (select unnest(['click','purchase','signup']) as k) q left join cb on cb.clip_id = c_custkey and cb.class_name = q.k),
+    pos as (select k, count(*) filter (where is_true) as n_pos from obs group by 1), {CURVE}
+    select k as task_class, row_id as clip_id, cast(rank as bigint) as rank, round(prec, 6) as precision, round(rec, 6) as recall from pr2""",
+    "ann det",
+)
+def _(i):
+    clips = i.customer.select(F.col("c_custkey").alias("clip_id"))
+    truth = targets_in_bounds(i).where("(ann_id + clip_id) % 37 = 0")
+    obs = reports.clip_class_observations(clips, _clip_classes(i), truth, CLASSES)
+    out = curves.pr_curve(obs, ["task_class"])
+    return out.select(
+        "task_class", F.col("row_id").alias("clip_id"), "rank", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")
+    )
+
+
+@pair(
+    "mat07_random_clips",
+    f"select c_custkey as clip_id from customer order by {duck_draw('examples', 'c_custkey')}, c_custkey limit 5",
+)
+def _(i):
+    return curves.random_rows(i.customer.select(F.col("c_custkey").alias("clip_id")), 5, "clip_id")
+
+
 # --- older evaluation ------------------------------------------------------
 
 def _legacy(i):

@@ -597,7 +597,7 @@ def _(i):
 
 
 @pair(
-    "trf06_output_pipeline",
+    "trf06_output_steps",
     """with shifted as (select d.*, start_time + 2.5 as s, end_time + 2.5 as e from det d)
     select det_id, round(s, 6) as start_time, round(e, 6) as end_time from shifted
     where e - s between 0.0035 and 1 and (low_freq >= 30000 or high_freq <= 25000) and s >= 2.6 and e <= 12.4""",
@@ -605,7 +605,7 @@ def _(i):
 )
 def _(i):
     clips = i.clips.withColumns({"clip_start": F.col("clip_start") + 2.5, "clip_end": F.col("clip_end") + 2.5})
-    out = transforms.output_pipeline(
+    out = transforms.output_steps(
         i.det, clips,
         [lambda d: filters.by_duration(d, 0.0035, 1.0), lambda d: filters.by_frequency(d, 30000, 25000)],
         [lambda d: filters.away_from_edges(d, clips, 0.1)],
