@@ -59,11 +59,7 @@ def file_species(files: DataFrame, class_names: Sequence[str], only_accepted: bo
     return files.select(
         "Filename",
         F.coalesce(F.element_at(codes, code), missing).alias("class_name"),
-        F.when(prob == "x", F.lit(0.0)).otherwise(F.expr("try_cast(NULL as double)")).alias("_x"),
-        prob.alias("_prob"),
-    ).select(
-        "Filename", "class_name",
-        F.coalesce("_x", F.when(F.col("_prob") != "x", F.col("_prob")).cast("double")).alias("class_prob"),
+        F.when(prob == "x", F.lit(0.0)).otherwise(prob.cast("double")).alias("class_prob"),
     )
 
 
