@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, warc
+from . import bpe, exact_dedup, mixing, piece_counts, sharding, warc
 from .common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,32 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def vocabulary(name: str) -> tuple[str, str]:
+    """Path and pattern of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark, sf_dir):
+    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op2_piece_counts")
+def op2_piece_counts(spark, sf_dir):
+    path, _ = vocabulary("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_counts.count_tokens(docs, path).select("doc_id", "n_words", "n_tokens")
+
+
 @query("op3_exact_dedup", """
 with rows as (
   select doc_id, length(coalesce(text, '')) as cp,
