@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, mixing, piece_counts, quality, sharding, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, piece_counts, quality, sharding, warc
 from .common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op5_warc_index(spark, sf_dir):
     )
 
 
+@query("op6_imatch")
+def op6_imatch(spark, sf_dir):
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark, sf_dir):
     found = jaccard_join.joined(table(spark, sf_dir, "documents"), size=3, percent=90)
