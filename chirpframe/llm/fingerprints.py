@@ -79,7 +79,7 @@ def subset_hashes(rows: DataFrame, text: str, lexicon: Column, name: str) -> Dat
     def top(draws: str) -> Column:
         """Largest draw with as many leading zeros as the smallest one."""
         digits = F.length(F.bin(F.array_min(draws)))
-        return F.shiftrightunsigned(F.lit(-1).cast("long"), 64 - digits)
+        return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - digits)
 
     def sparsest(replicate: int) -> Column:
         """Hash of the last subset of the chain that has a term."""
