@@ -83,8 +83,8 @@ def subset_hashes(rows: DataFrame, text: str, lexicon: Column, name: str) -> Dat
 
     def sparsest(replicate: int) -> Column:
         """Hash of the last subset of the chain that has a term."""
-        bound = F.col(f"_t{replicate}")
-        return F.hash(F.sort_array(F.filter(f"_d{replicate}", lambda v: v <= bound)))
+        bound = F.col(f"_t{replicate}")  # named twice below, else the plan moves its formula into the lambda
+        return F.hash(F.sort_array(F.filter(f"_d{replicate}", lambda v: (v <= bound) & bound.isNotNull())))
 
     out = rows.withColumn("_all", term_hashes(F.col(text)))
     out = out.withColumn("_kept", F.filter("_all", inside))
