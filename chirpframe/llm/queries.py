@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, piece_counts, quality, sharding, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, passages, piece_counts, quality, sharding, warc
 from .common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,11 @@ def op8_source_mixing(spark, sf_dir):
     })
 
 
+@query("op9_repeated_passages")
+def op9_repeated_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op10_shards")
 def op10_shards(spark, sf_dir):
     rows = sharding.sharded(spark, table(spark, sf_dir, "documents"), n_shards=24)
