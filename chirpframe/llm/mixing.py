@@ -2,9 +2,11 @@
 
 Documents fall into cells (source, language, topic) with token totals. Raking
 scales the cells' weights so that weighted tokens meet the target share of every
-source, language and topic in turn, until all three agree. A document is kept
-with probability weight / largest weight, so the kept tokens have the target
-shares in expectation. Cells are aggregated inside the scan's tasks first; the
+source, language and topic in turn, again and again; after each round weights are
+cut to ``LIMIT`` (weights average 1), so that a rare cell cannot dictate how little
+the others keep. A document is kept with probability weight / LIMIT: about
+1 / LIMIT of the tokens stay, with the target shares in expectation as far as
+the limit allows. Cells are aggregated inside the scan's tasks first; the
 loop then works on cells only, and the rows meet their cell's weight again by a
 join that broadcasts cells after counting them.
 
@@ -29,6 +31,7 @@ from .common import WORD, join_checked, keep_decided, stored, text_of
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 12
+LIMIT = 1.5
 TEMPERATURE = 0.8
 
 
@@ -66,9 +69,9 @@ def shares(cells: DataFrame, dim: str, targets: Mapping[str, float] | None, temp
 
 def rake(
     cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE,
-    rounds: int = ROUNDS,
+    rounds: int = ROUNDS, limit: float = LIMIT,
 ) -> DataFrame:
-    """``weight`` per cell (source, lang, topic, tokens); cells without tokens have weight 1."""
+    """``weight`` (0 to ``limit``) per cell (source, lang, topic, tokens); cells without tokens have weight 1."""
     targets = targets or {}
     raw = cells.withColumn("_w", F.lit(1.0))
     for dim in DIMS:
@@ -85,6 +88,7 @@ def rake(
         for dim in DIMS:
             have = F.sum(F.col("_w") * F.col("tokens")).over(Window.partitionBy(dim))
             state = state.withColumn("_w", F.when(have > 0, F.col("_w") * F.col(f"_t_{dim}") / have).otherwise(F.col("_w")))
+        state = state.withColumn("_w", F.least("_w", F.lit(float(limit))))
         if done % 4 == 3:
             state = stored(state, "raked")
     return state.withColumnRenamed("_w", "weight").drop(*[f"_t_{d}" for d in DIMS])
@@ -92,14 +96,13 @@ def rake(
 
 def mixed(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE,
-    seed: str = "mix",
+    limit: float = LIMIT, seed: str = "mix",
 ) -> DataFrame:
     """Per document: its cell, tokens, weight, probability and whether it is sampled."""
     rows = stored(attributes(docs, seed), "attributes")
     cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
-    weights = stored(rake(cells, targets, temperature), "weights")
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
-    by_cell = weights.select(*DIMS, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(top)).alias("probability"))
+    weights = stored(rake(cells, targets, temperature, limit=limit), "weights")
+    by_cell = weights.select(*DIMS, "weight", (F.col("weight") / F.lit(float(limit))).alias("probability"))
     joined = join_checked(rows, by_cell, list(DIMS), "inner")
     return joined.select(
         "doc_id", *DIMS, "tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled")
