@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw, integer, uniform
 from ..plans.ordered import hashed_rank
+from ..plans.session import cut_lineage
 from ..plans.stats import with_group_stats
 from ..plans.tiles import spread
 from .signal import resize_axis
@@ -144,14 +145,30 @@ def apply_masks(cells: DataFrame, masks: DataFrame, axis: str, value: float = 0.
 Step = Callable[[DataFrame], DataFrame]
 
 
-def maybe_apply(df: DataFrame, step: Step, probability: float = 0.2, seed: str = "maybe", key: str = CLIP) -> DataFrame:
-    """Apply ``step`` to the clips whose draw is at most ``probability``; the rest pass through."""
-    chosen = draw(seed, F.col(key)) <= F.lit(float(probability))
-    return step(df.where(chosen)).unionByName(df.where(~chosen), allowMissingColumns=True)
-
+def maybe_apply(
+    df: DataFrame, step: Step, probability: float = 0.2, seed: str = "maybe", key: str = CLIP, same_rows: bool = True
+) -> DataFrame:
+    """Apply ``step`` to the clips whose draw is at most ``probability``; the rest pass through.
 
-def augment(df: DataFrame, steps: Sequence[tuple[Step, float]], seed: str = "augment", key: str = CLIP) -> DataFrame:
+    A step that keeps the rows and passes other columns on runs once over all rows, and each row
+    then takes its new or its old values, so the input is read once. For a step
+    that adds or removes rows (``same_rows=False``) the input is stored first and split in two.
+    """
+    chosen = draw(seed, F.col(key)) <= F.lit(float(probability))
+    if not same_rows:
+        whole = cut_lineage(df)
+        return step(whole.where(chosen)).unionByName(whole.where(~chosen), allowMissingColumns=True)
+    values = [c for c in df.columns if c != key]
+    done = step(df.withColumns({f"_old_{c}": F.col(c) for c in values}))
+    return done.withColumns({
+        c: F.when(chosen, F.col(c)).otherwise(F.col(f"_old_{c}")) if c in values else F.when(chosen, F.col(c))
+        for c in done.columns if c != key and not c.startswith("_old_")
+    }).drop(*[f"_old_{c}" for c in values])
+
+
+def augment(df: DataFrame, steps: Sequence[tuple], seed: str = "augment", key: str = CLIP) -> DataFrame:
+    """Steps (step, probability[, same_rows]) in order, each with its own draw per clip."""
     out = df
-    for number, (step, probability) in enumerate(steps):
-        out = maybe_apply(out, step, probability, f"{seed}-{number}", key)
+    for number, (step, probability, *same_rows) in enumerate(steps):
+        out = maybe_apply(out, step, probability, f"{seed}-{number}", key, *same_rows)
     return out

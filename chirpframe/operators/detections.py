@@ -208,18 +208,33 @@ def score_clips(
     return kept.mapInPandas(run, f"{head}, {schema}")
 
 
-def pack_grids(cells: DataFrame, n_f: int, key: str = CLIP, window: int = 1024) -> DataFrame:
-    """Model input per clip: rows × columns arrays. A clip is a bounded window of a recording
-    (``window`` columns at most); longer clips fail and have to be tiled first."""
-    column = cells.groupBy(key, "t").agg(
+def pack_grids(
+    cells: DataFrame, n_f: int, key: str = CLIP, columns: int | None = None, border: int = 0
+) -> DataFrame:
+    """Model input per clip: rows × columns arrays, of any width.
+
+    With ``columns`` a long clip is cut into tiles of so many columns, each with
+    ``border`` columns of its neighbours on both sides: one row per (clip, tile), where ``first``
+    is the column of the clip that the tile's array starts with.
+    """
+    group = [key]
+    if columns is not None:
+        home = F.floor(F.col("t") / columns)
+        near = F.sequence(F.floor((F.col("t") - border) / columns), F.floor((F.col("t") + border) / columns))
+        last = F.max(home).over(Window.partitionBy(key))
+        cells = cells.withColumn("_last", last).withColumn("tile", F.explode(near)).where(
+            (F.col("tile") >= 0) & (F.col("tile") <= F.col("_last"))
+        ).drop("_last")
+        group = [key, "tile"]
+    column = cells.groupBy(*group, "t").agg(
         F.array_sort(F.collect_list(F.struct("f", "value"))).alias("_c")
     ).withColumn("_c", F.transform("_c", lambda x: x["value"]))
-    sized = column.where(F.when(F.col("t") >= window, F.raise_error(F.lit("clip too long for one model input")).cast("boolean")).otherwise(F.lit(True)))
-    packed = sized.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "_c"))).alias("_g"))
+    packed = column.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("t", "_c"))).alias("_g"))
     rows = F.transform(
         F.sequence(F.lit(0), F.lit(n_f - 1)), lambda i: F.transform("_g", lambda g: F.get(g["_c"], i))
     )
-    return packed.select(key, rows.alias("spec"))
+    first = [F.array_min(F.transform("_g", lambda g: g["t"])).alias("first")] if columns is not None else []
+    return packed.select(*group, *first, rows.alias("spec"))
 
 
 __all__ = [

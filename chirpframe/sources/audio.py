@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = "recording_id string, chunk_idx bigint, samplerate int, samples array<float>"
@@ -17,84 +19,141 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _little(content: Column, at: Column, size: int) -> Column:
-    raw = F.hex(F.substring(content, at, size)) if isinstance(at, int) else F.hex(content.substr(at, F.lit(size)))
-    flipped = F.concat(*[F.substring(raw, 2 * (size - i) - 1, 2) for i in range(size)])
-    return F.conv(flipped, 16, 10).cast("bigint")
+@dataclass(frozen=True)
+class WavFormat:
+    """What the header of a WAV file says; ``data_start`` is the 0-based place of the first sample byte."""
+
+    format_code: int
+    channels: int
+    samplerate: int
+    bits: int
+    data_bytes: int
+    data_start: int
+
+    @property
+    def frame(self) -> int:
+        return self.channels * self.bits // 8
+
+    @property
+    def n_samples(self) -> int:
+        return self.data_bytes // self.frame
+
+
+#: (format code, bits) → full scale. 8-bit samples are unsigned around 128.
+FULL_SCALE = {(1, 8): 2.0**7, (1, 16): 2.0**15, (1, 24): 2.0**23, (1, 32): 2.0**31, (3, 32): 1.0, (3, 64): 1.0}
+EXTENSIBLE = 0xFFFE
+
+
+def parse_wav(content: bytes) -> WavFormat:
+    """Walk the RIFF chunks by id and size; ValueError names what is wrong.
+
+    Chunks may come in any order and number before the samples. An extensible
+    format names its code in the first two bytes of its sub-format. A data chunk
+    that claims more than the file holds ends with the file.
+    """
+    if content[:4] not in (b"RIFF", b"RF64") or content[8:12] != b"WAVE":
+        raise ValueError("not a RIFF WAVE file")
+    at, kind, data = 12, None, None
+    while at + 8 <= len(content) and (kind is None or data is None):
+        tag, size = struct.unpack_from("<4sI", content, at)
+        body = at + 8
+        if tag == b"fmt " and size >= 16 and body + 16 <= len(content):
+            code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, body)
+            if code == EXTENSIBLE and size >= 26:
+                code = struct.unpack_from("<H", content, body + 24)[0]
+            kind = (code, channels, rate, bits)
+        elif tag == b"data":
+            data = (min(size, len(content) - body), body)
+        at = body + size + size % 2
+    if kind is None:
+        raise ValueError("no format chunk")
+    if data is None:
+        raise ValueError("no data chunk")
+    code, channels, rate, bits = kind
+    if (code, bits) not in FULL_SCALE or not channels or not rate:
+        raise ValueError(f"unsupported format: code {code}, {bits} bits, {channels} channels, {rate} Hz")
+    return WavFormat(code, channels, rate, bits, *data)
+
+
+def first_channel(content: bytes, form: WavFormat, begin: int, end: int):
+    """float32 samples [begin, end) of channel 0."""
+    import numpy as np
+
+    raw = np.frombuffer(content, np.uint8, (end - begin) * form.frame, form.data_start + begin * form.frame)
+    raw = raw.reshape(end - begin, form.frame)[:, : form.bits // 8]
+    if form.bits == 8:
+        values = raw[:, 0].astype(np.float64) - 128
+    elif form.bits == 24:
+        wide = np.zeros((end - begin, 4), np.uint8)
+        wide[:, 1:] = raw
+        values = wide.view("<i4")[:, 0] / 256.0
+    else:
+        values = np.ascontiguousarray(raw).view(("<f" if form.format_code == 3 else "<i") + str(form.bits // 8))[:, 0]
+    return (values / FULL_SCALE[form.format_code, form.bits]).astype(np.float32)
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: path, hash, header fields, and ``error`` for files that cannot be read."""
+    import hashlib
+
+    import pandas as pd
+
+    names = ["format_code", "channels", "samplerate", "bits", "data_bytes", "data_start"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"]):
+                try:
+                    form, error = parse_wav(content), None
+                except ValueError as wrong:
+                    form, error = None, str(wrong)
+                fields = [getattr(form, n) if form else -1 for n in names]
+                rows.append((name, hashlib.md5(content).hexdigest(), *fields, error))
+            yield pd.DataFrame(rows, columns=["path", "hash", *names, "error"])
+
+    schema = "path string, hash string, " + ", ".join(
+        f"{n} {'bigint' if n.startswith('data') else 'int'}" for n in names) + ", error string"
+    return audio_files(spark, path).select("path", "content").mapInPandas(run, schema)
 
 
 def catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(recordings, unreadable files). Each path once.
+    """(recordings, unreadable files with their ``error``).
 
-    Header fields come from the bytes themselves: the format chunk is expected
-    first, the data chunk is found by its tag.
+    The bytes of a file are read where they lie and never shuffled. Whatever
+    ``sample_chunks`` cannot decode is in the second table.
     """
-    files = audio_files(spark, path).dropDuplicates(["path"])
-    head = F.col("content")
-    tag = lambda at, n: F.hex(F.substring(head, at, n))
-    magic = (tag(1, 4) == F.hex(F.lit("RIFF"))) & (tag(9, 4) == F.hex(F.lit("WAVE"))) & (tag(13, 4) == F.hex(F.lit("fmt ")))
-    text = F.hex(F.substring(head, 1, 512))
-    data_at = (F.instr(text, "64617461") + 1) / 2  # 1-based place of "data"
-    rows = files.select(
-        "path", "length", "content", (F.coalesce(magic, F.lit(False)) & (F.instr(text, "64617461") > 0)).alias("_ok"),
-        data_at.cast("int").alias("_data"),
-    )
-    good = rows.where("_ok").select(
-        "path",
-        F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file_name"),
-        F.md5("content").alias("hash"),
-        _little(head, 21, 2).cast("int").alias("format_code"),
-        _little(head, 23, 2).cast("int").alias("channels"),
-        _little(head, 25, 4).cast("int").alias("samplerate"),
-        _little(head, 35, 2).cast("int").alias("bits"),
-        _little(head, F.col("_data") + 4, 4).alias("data_bytes"),
-        (F.col("_data") + 7).alias("data_start"),
-    )
-    frame = F.col("channels") * F.col("bits") / 8
-    good = good.withColumn("n_samples", F.floor(F.col("data_bytes") / frame)).withColumn(
+    rows = _headers(spark, path).dropDuplicates(["path"])
+    frame = F.floor(F.col("channels") * F.col("bits") / 8)
+    good = rows.where(F.col("error").isNull()).drop("error").withColumn(
+        "file_name", F.url_decode(F.element_at(F.split("path", "/"), -1))
+    ).withColumn("n_samples", F.floor(F.col("data_bytes") / frame)).withColumn(
         "duration", F.col("n_samples") / F.col("samplerate")
     )
-    return good, rows.where(~F.col("_ok")).select("path")
+    return good, rows.where(F.col("error").isNotNull()).select("path", "error")
 
 
 def sample_chunks(spark: SparkSession, path: str, chunk_seconds: float = 1.0) -> DataFrame:
     """Channel 0 as float32 chunks: (recording_id = path, chunk_idx, samplerate, samples).
 
-    Files that do not decode give no rows. Files are the unit of reading; a
-    chunk is the unit of everything after it.
+    Files are the unit of reading; a chunk is the unit of everything after it, and is
+    decoded by itself. Files that do not decode give no rows; ``catalogue`` lists them.
     """
-    import numpy as np
     import pandas as pd
 
-    def decode(content: bytes) -> tuple[int, np.ndarray] | None:
-        at = content.find(b"data")
-        if content[:4] != b"RIFF" or content[8:12] != b"WAVE" or at < 0:
-            return None
-        code, channels = np.frombuffer(content, "<u2", 2, 20)
-        rate = int(np.frombuffer(content, "<u4", 1, 24)[0])
-        bits = int(np.frombuffer(content, "<u2", 1, 34)[0])
-        size = int(np.frombuffer(content, "<u4", 1, at + 4)[0])
-        body = content[at + 8 : at + 8 + size]
-        kinds = {(1, 16): ("<i2", 32768.0), (1, 32): ("<i4", 2147483648.0), (3, 32): ("<f4", 1.0), (3, 64): ("<f8", 1.0)}
-        if (int(code), bits) not in kinds:
-            return None
-        dtype, scale = kinds[(int(code), bits)]
-        width = np.dtype(dtype).itemsize * int(channels)
-        values = np.frombuffer(body[: len(body) // width * width], dtype).reshape(-1, int(channels))[:, 0]
-        return rate, (values / scale).astype(np.float32)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                found = decode(content)
-                if found is None:
+                try:
+                    form = parse_wav(content)
+                except ValueError:
                     continue
-                rate, samples = found
-                step = max(1, int(rate * chunk_seconds))
-                parts = [samples[i : i + step] for i in range(0, len(samples), step)]
-                yield pd.DataFrame(
-                    {"recording_id": name, "chunk_idx": range(len(parts)), "samplerate": rate, "samples": parts}
-                )
+                step = max(1, int(form.samplerate * chunk_seconds))
+                for number, begin in enumerate(range(0, form.n_samples, step)):
+                    samples = first_channel(content, form, begin, min(begin + step, form.n_samples))
+                    yield pd.DataFrame({
+                        "recording_id": [name], "chunk_idx": [number], "samplerate": [form.samplerate], "samples": [samples],
+                    })
 
     return audio_files(spark, path).select("path", "content").mapInPandas(run, CHUNKS)
 

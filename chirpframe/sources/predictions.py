@@ -229,4 +229,4 @@ def save_prediction_set(rows: DataFrame, path: str) -> None:
 
 def save_metrics(metrics: DataFrame, path: str) -> None:
     """Metric rows (name, value); a report has one row per metric and class."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+    metrics.repartition(1).write.mode("overwrite").json(path)

@@ -116,13 +116,17 @@ def read_list(spark: SparkSession, path: str, format: str = "json", field: str |
     text = spark.read.option("wholetext", True).text(path)
     if field is not None:
         values = F.get_json_object("value", f"$.{field}")
-        shape = text.select(F.left(F.ltrim("value"), F.lit(1)).alias("c"), values.isNotNull().alias("has")).first()
-        if shape["c"] != "{":
-            raise TypeError("Expected JSON object with field for the list.")
-        if not shape["has"]:
-            raise KeyError(f"Field '{field}' not found in '{path}'.")
+        shapes = text.select(
+            F.col("_metadata.file_path").alias("file"), (F.left(F.ltrim("value"), F.lit(1)) == "{").alias("object"),
+            values.isNotNull().alias("has"),
+        )
+        wrong = shapes.where(~F.col("object") | ~F.col("has")).orderBy("object", "file").first()  # any file of the folder
+        if wrong and not wrong["object"]:
+            raise TypeError(f"{wrong['file']} holds no JSON object")
+        if wrong:
+            raise KeyError(f"{wrong['file']} has no list under '{field}'")
         text = text.select(values.alias("value"))
     checked = F.when(
         F.left(F.ltrim("value"), F.lit(1)) == "[", F.from_json("value", "array<string>")
-    ).otherwise(F.raise_error(F.lit("Expected JSON list with IDs.")).cast("array<string>"))
+    ).otherwise(F.raise_error(F.lit("a list document must be a JSON array")).cast("array<string>"))
     return text.select(F.posexplode(checked).alias("position", "value")).select("value", "position")

@@ -210,12 +210,21 @@ def _(i):
 
 # --- forest, feature table -------------------------------------------------
 
-@pair("mlm01_random_forest")
+@pair(
+    "mlm01_random_forest",
+    """select vec_id, cast(9 as bigint) as classes, cast(1 as double) as total, true as rest_is_noise, true as in_range from embeddings""",
+)
 def _(i):
     calls = i.embeddings.select("vec_id", F.col("embedding").alias("features"), (F.col("label") - 1).alias("class_id"))
     model = forest.train_forest(calls, 9, trees=20, depth=6)
     out = forest.score_forest(calls, model, 9)
-    return out.select("vec_id", F.round("det_prob", 6).alias("det_prob"), F.round(F.array_max("class_probs"), 6).alias("best"))
+    probs = F.col("class_probs")
+    rest = F.abs(F.col("det_prob") - (F.lit(1.0) - F.element_at(probs, -1))) < 1e-9
+    return out.select(
+        "vec_id", F.size(probs).cast("bigint").alias("classes"),
+        F.round(F.aggregate(probs, F.lit(0.0), lambda a, b: a + b), 6).alias("total"), rest.alias("rest_is_noise"),
+        F.forall(probs, lambda p: (p >= 0) & (p <= 1)).alias("in_range"),
+    )
 
 
 @pair(

@@ -155,8 +155,17 @@ def test_batch_size_does_not_change_scores(spark):
         for n, p in ((1, 1), (3, 2), (8, 1))
     ]
     assert np.allclose(runs[0], runs[1]) and np.allclose(runs[0], runs[2])
-    with pytest.raises(Exception, match="too long"):
-        detections.pack_grids(cells, 4, window=5).collect()
+    tiled = detections.pack_grids(frames[5], 4, columns=4, border=1).orderBy("tile").collect()
+    assert [(r["tile"], r["first"]) for r in tiled] == [(0, 0), (1, 3), (2, 7)]
+    assert np.allclose(np.array(tiled[1]["spec"]), grid[:, 3:9]) and np.allclose(np.array(tiled[2]["spec"]), grid[:, 7:9])
+
+
+def test_six_augmentation_steps_scan_once(spark, tmp_path):
+    spark.range(40).selectExpr("id % 4 as clip_id", "id as t", "cast(id as double) as x").write.parquet(str(tmp_path / "x"))
+    steps = [(lambda d: d.withColumn("x", F.col("x") * 2), 0.5)] * 6
+    out = augment.augment(spark.read.parquet(str(tmp_path / "x")), steps)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert out.count() == 40
 
 
 def test_features_across_ranges(spark):

@@ -149,7 +149,7 @@ def test_lists(spark, tmp_path):
         values(str(tmp_path / "b.json"), field="nope")
     with pytest.raises(TypeError):
         values(str(tmp_path / "a.json"), field="ids")
-    with pytest.raises(Exception, match="Expected JSON list"):
+    with pytest.raises(Exception, match="must be a JSON array"):
         values(put("e.json", '{"x": 1}'))
 
 
@@ -195,6 +195,61 @@ def test_audio_catalogue_and_clips(spark, tmp_path):
     assert np.allclose([r["x"] for r in long], wave / 32768)
 
 
+def riff(path, kind, data, before=(), extensible=False):
+    code, bits = kind
+    form = struct.pack("<HHIIHH", 0xFFFE if extensible else code, 1, 1000, 1000 * bits // 8, bits // 8, bits)
+    if extensible:
+        form += struct.pack("<HHIH", 22, bits, 4, code) + b"\x00\x00\x00\x00\x10\x00\x80\x00\x00\xaa\x00\x38\x9b\x71"
+    chunks = [*before, (b"fmt ", form), (b"LIST", b"comment with data inside"), (b"data", data)]
+    body = b"".join(tag + struct.pack("<I", len(x)) + x + b"\x00" * (len(x) % 2) for tag, x in chunks)
+    path.write_bytes(b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body)
+
+
+def test_wav_formats_and_chunk_orders(spark, tmp_path):
+    x = np.linspace(-0.9, 0.9, 301)
+    raw24 = (np.round(x * 2**23).astype("<i4")[:, None].view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    riff(tmp_path / "u8.wav", (1, 8), np.round(x * 127 + 128).astype(np.uint8).tobytes())
+    riff(tmp_path / "i16.wav", (1, 16), np.round(x * 2**15).astype("<i2").tobytes(), before=[(b"JUNK", b"x" * 33)])
+    riff(tmp_path / "i24.wav", (1, 24), raw24, before=[(b"guan", b"y" * 600)])
+    riff(tmp_path / "i32.wav", (1, 32), np.round(x * 2**31).astype("<i4").tobytes(), extensible=True)
+    riff(tmp_path / "f64.wav", (3, 64), x.astype("<f8").tobytes())
+    riff(tmp_path / "f32.wav", (3, 32), x.astype("<f4").tobytes(), extensible=True)
+    riff(tmp_path / "odd.wav", (85, 16), b"mp3 in disguise")
+    good, bad = audio.catalogue(spark, str(tmp_path))
+    assert {r["file_name"]: r["n_samples"] for r in good.collect()} == dict.fromkeys(
+        ["u8.wav", "i16.wav", "i24.wav", "i32.wav", "f64.wav", "f32.wav"], 301)
+    assert [("odd.wav" in r["path"], "unsupported" in r["error"]) for r in bad.collect()] == [(True, True)]
+    rows = audio.chunk_samples(audio.sample_chunks(spark, str(tmp_path), 0.1), 0.1).orderBy("recording_id", "idx").collect()
+    assert len(rows) == 6 * 301
+    for name, step in (("u8", 0.02), ("i16", 1e-4), ("i24", 1e-6), ("i32", 1e-6), ("f32", 1e-6), ("f64", 1e-6)):
+        assert np.allclose([r["x"] for r in rows if r["recording_id"].endswith(f"{name}.wav")], x, atol=step)
+
+
+def test_geometry_bounds_and_kind_per_document(spark, tmp_path):
+    shapes = {
+        "a": ("BoundingBox", [0.1, 10, 0.2, 20]), "b": ("Polygon", [[[0.3, 5], [0.5, 9], [0.4, 30]]]), "c": ("LineString", [[0.2, 7], [0.9, 3]]),
+        "d": ("Point", [0.6, 8]), "e": ("TimeInterval", [0.7, 0.8]),
+    }
+    for number, kind in enumerate(("annotation_set", "annotation_project")):
+        tag = lambda x: f"{x}{number}"
+        data = {
+            "uuid": tag("doc"), "collection_type": kind, "tags": [],
+            "recordings": [{"uuid": tag("r"), "path": "x.wav", "duration": 1.0, "channels": 1, "samplerate": 8000}],
+            "clips": [{"uuid": tag("k"), "recording": tag("r"), "start_time": 0.0, "end_time": 1.0}],
+            "sound_events": [{"uuid": tag(f"s{i}"), "recording": tag("r"), "geometry": {"type": t, "coordinates": c}} for i, (t, c) in shapes.items()],
+            "sound_event_annotations": [{"uuid": tag(f"n{i}"), "sound_event": tag(f"s{i}"), "tags": []} for i in shapes],
+            "clip_annotations": [{"uuid": tag("ca"), "clip": tag("k"), "tags": [], "sound_events": [tag(f"n{i}") for i in shapes], "notes": []}],
+            "tasks": [{"uuid": tag("t"), "clip": tag("k"), "status_badges": []}],
+        }
+        (tmp_path / f"{kind}.json").write_text(json.dumps({"data": data}))
+    events = annotations.read_project(spark, str(tmp_path))["events"].where("ann_id like '%0'").collect()
+    got = {r["ann_id"][1]: (r["start_time"], r["low_freq"], r["end_time"], r["high_freq"]) for r in events}
+    assert got == {"a": (0.1, 10, 0.2, 20), "b": (0.3, 5, 0.5, 30), "c": (0.2, 3, 0.9, 7), "d": (0.6, 8, 0.6, 8), "e": (0.7, None, 0.8, None)}
+    clips = annotations.load_project_clips(spark, str(tmp_path)).collect()
+    assert [r["clip_annotation_id"] for r in clips] == ["ca0"]  # the project's task is not completed
+    assert all(e["geometry"] for e in clips[0]["events"])
+
+
 def tables_for_output(spark):
     recordings = spark.createDataFrame([(1, "/data/s/a.wav", 2.0, 256000), (2, "/data/s/b.wav", 1.0, 256000)], "recording_id int, path string, duration double, samplerate int")
     clips = spark.createDataFrame([(10, 1, 0.0, 1.0), (11, 1, 1.0, 2.0), (20, 2, 0.0, 1.0)], "clip_id int, recording_id int, clip_start double, clip_end double")
