@@ -64,7 +64,7 @@ class HasAllTags:
 
     def __post_init__(self) -> None:
         if not self.tags:
-            raise ValueError("Need to specify at least one tag")
+            raise ValueError("the list of tags is empty")
 
     def column(self, row: Row = F.col) -> Column:
         return AllOf([HasTag(k, v) for k, v in self.tags]).column(row)
@@ -76,7 +76,7 @@ class HasAnyTag:
 
     def __post_init__(self) -> None:
         if not self.tags:
-            raise ValueError("Need to specify at least one tag")
+            raise ValueError("the list of tags is empty")
 
     def column(self, row: Row = F.col) -> Column:
         wanted = F.array(*[tag_struct(k, v) for k, v in self.tags])

@@ -42,7 +42,7 @@ def point_in_time(row: Row, ratio: float) -> Column:
 def _check_buffer(**buffers: float) -> None:
     for name, value in buffers.items():
         if value < 0:
-            raise ValueError(f"{name} must be non-negative")
+            raise ValueError(f"{name} is below 0")
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def scaled_box_iou(det: Row, gt: Row) -> Column:
 
 def _anchor_parts(anchor: str) -> tuple[str, str]:
     if anchor not in ANCHORS:
-        raise ValueError(f"Invalid anchor: {anchor}. Valid options are: {list(ANCHORS)}")
+        raise ValueError(f"no anchor {anchor!r}; there are {list(ANCHORS)}")
     if anchor in CENTRES:
         return "center", "center"
     vertical, horizontal = anchor.split("-")

@@ -46,7 +46,7 @@ def checked_uuids(ids: DataFrame, position: str = "position") -> DataFrame:
     plain = F.lower(F.regexp_replace(value, "-", ""))
     dashed = F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     where = F.col(position).cast("string") if position in ids.columns else F.lit("?")
-    message = F.concat(F.lit("Invalid ID at index "), where, F.lit(": "), value)
+    message = F.concat(F.lit("entry "), where, F.lit(" is no id: "), value)
     return ids.withColumn(
         ids.columns[0],
         F.when(value.rlike(UUID_PATTERN), dashed).otherwise(F.raise_error(message).cast("string")),
@@ -79,7 +79,7 @@ def path_in_list(
     wanted = paths.select(listed.alias("_listed")).distinct().withColumn("_hit", F.lit(True))
     relative, outside = path_under_base(F.col(column), base_dir)
     if on_outside == "error":
-        message = F.concat(F.lit("Recording path is outside the base directory: "), F.col(column))
+        message = F.concat(F.lit("path outside the base folder: "), F.col(column))
         outside = F.when(outside, F.raise_error(message).cast("boolean")).otherwise(F.lit(False))
     rows = df.withColumns({"_listed": relative, "_outside": outside}).join(wanted, "_listed", "left")
     kept = rows.where(F.col("_outside") | F.coalesce("_hit", F.lit(False))).drop("_listed", "_hit")

@@ -35,7 +35,7 @@ def observations(
     start beyond the file's end fails the job.
     """
     length = files.select("file_id", "duration")
-    wrong = F.concat(F.lit("Error: file duration incorrect for "), F.col("file_id").cast("string"))
+    wrong = F.concat(F.lit("an event starts after the end of file "), F.col("file_id").cast("string"))
     truth = gts.join(length, "file_id").withColumn(
         "start_time",
         F.when(F.col("start_time") > F.col("duration"), F.raise_error(wrong).cast("double"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.conditions import tag_struct
-from ..plans.ordered import in_parts
 from ..schemas import TAGS
 
 # Term names of tag keys and labels of missing values.
@@ -119,22 +118,20 @@ def annotation_tasks(files: DataFrame) -> DataFrame:
 
 def annotation_groups(
     events: DataFrame, clips: DataFrame, key: str = "clip_id",
-    order: Sequence[str] = ("start_time", "ann_id"), part_size: int = 100_000,
+    order: Sequence[str] = ("start_time", "ann_id"),
 ) -> DataFrame:
     """One row per clip with aligned arrays; a missing class id becomes -1 (0 stays 0).
 
-    A clip with more than ``part_size`` events gives several rows, numbered by
-    ``part``, whose arrays follow each other. ``clips`` may carry ``notes``
+    ``clips`` may carry ``notes``
     (array of text) and ``tags`` of the recording.
     """
     fields = ("start_time", "end_time", "low_freq", "high_freq", "class_id")
-    cut = in_parts(events, [key], [(c, False) for c in order], part_size)
     entry = F.struct(*order, *[
         (F.coalesce("class_id", F.lit(-1)) if f == "class_id" else F.col(f)).alias(f)
         for f in fields if f not in order
     ])
-    packed = cut.groupBy(key, "part").agg(F.array_sort(F.collect_list(entry)).alias("_events"))
-    rows = clips.join(packed, key, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    packed = events.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_events"))
+    rows = clips.join(packed, key, "left")
     out = rows.withColumns(
         {
             ("class_ids" if f == "class_id" else f + "s"): F.coalesce(

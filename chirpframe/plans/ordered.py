@@ -150,14 +150,3 @@ def hashed_rank(
         .drop("_bucket", "_before")
     )
 
-
-def in_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: int, name: str = "part"
-) -> DataFrame:
-    """Number the rows of each key in ``order`` and cut them into parts of ``size`` rows.
-
-    Lists collected per (key, part) are bounded; concatenating the parts of a
-    key in part order gives its whole ordered list.
-    """
-    ranked = with_rank(order_rows(df, keys, order), "_rank").clean()
-    return ranked.withColumn(name, F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")

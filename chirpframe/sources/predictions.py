@@ -11,7 +11,7 @@ from ..functions import scores as class_scores
 from ..functions.conditions import Tag
 from ..operators.aggregates import recording_class
 from ..operators.detections import best_class_rows
-from ..plans.ordered import in_parts
+from ..plans.ordered import order_rows, with_rank
 from ..schemas import DETECTION_ROW, RECORDING_INFO
 
 BOX = ("start_time", "low_freq", "end_time", "high_freq")
@@ -26,7 +26,7 @@ def relative_path(path: Column, root: str) -> Column:
     """Path below ``root``: an absolute path outside fails, a shared relative prefix is stripped."""
     base = root.rstrip("/")
     inside = path.startswith(base + "/")
-    outside = F.raise_error(F.concat(F.lit("Audio file "), path, F.lit(f" is not in audio_dir {base}"))).cast("string")
+    outside = F.raise_error(F.concat(path, F.lit(f" lies outside {base}"))).cast("string")
     cut = path.substr(F.lit(len(base) + 2), F.length(path))
     return F.when(inside, cut).when(path.startswith("/"), outside).otherwise(path)
 
@@ -82,11 +82,10 @@ def load_rows(spark: SparkSession, path: str, num_classes: int) -> DataFrame:
     )
 
 
-def group_by_clip(rows: DataFrame, part_size: int = 100_000) -> DataFrame:
-    """Nested form, one row per clip (and per ``part`` of a clip with very many detections)."""
-    cut = in_parts(rows, ["clip_uuid"], [("detection_score", True), *[(c, True) for c in BOX]], part_size)
+def group_by_clip(rows: DataFrame) -> DataFrame:
+    """Nested form, one row per clip, best detection first. The flat form has no long rows; prefer it for long clips."""
     det = F.struct("detection_score", *BOX, "geometry", "class_scores", "features")
-    return cut.groupBy("clip_uuid", "part").agg(
+    return rows.groupBy("clip_uuid").agg(
         F.first("clip_start_time").alias("clip_start_time"), F.first("clip_end_time").alias("clip_end_time"),
         F.first("recording").alias("recording"), F.sort_array(F.collect_list(det), asc=False).alias("detections"),
     )
@@ -129,7 +128,7 @@ def class_labels(
     for name in class_names:
         values = [v for k, v in decoding.get(name, ()) if k == key]
         if not values and not fallback:
-            raise ValueError(f"Could not decode class label using key {key!r} for class {name!r}.")
+            raise ValueError(f"class {name!r} decodes to no tag with key {key!r}")
         labels.append(values[0] if values else name)
     return labels
 
@@ -141,56 +140,83 @@ def document_rows(dets: DataFrame, labels: Sequence[str], event_name: str = EVEN
     )
 
 
+FALLING = [("detection_score", True), *[(c, True) for c in BOX]]
+
+
+def _entries(dets: DataFrame, labels: Sequence[str], event_name: str, key: str, cnn_features: bool) -> DataFrame:
+    """(key, _score and _box columns, doc): one document entry per detection."""
+    keep = [key, "detection_score", *BOX, "class_scores", *(["features"] if cnn_features else [])]
+    rows = document_rows(dets.select(*keep).withColumns({f"_{c}": F.col(c) for c, _ in FALLING}), labels, event_name)
+    names = ["start_time", "end_time", "low_freq", "high_freq", "class_prob", "det_prob", "individual", "event", "class"]
+    if cnn_features:
+        names.append("features")
+    return rows.select(key, *[f"_{c}" for c, _ in FALLING], F.struct(*sorted(names)).alias("doc"))
+
+
+def _rest(recordings: DataFrame, note: str, include_file_path: bool) -> tuple[Column, list[Column]]:
+    """(document id, fields that follow the annotations)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    expansion = F.col("time_expansion") if "time_expansion" in recordings.columns else F.lit(1.0)
+    fields = [F.coalesce("recording_class", F.lit("None")).alias("class_name"), F.round("duration", 4).alias("duration")]
+    if include_file_path:
+        fields.append(F.col("path").alias("file_path"))
+    fields += [name.alias("id"), F.lit(False).alias("issues"), F.lit(note).alias("notes"), expansion.alias("time_exp")]
+    return name, fields
+
+
 def result_documents(
     dets: DataFrame, recordings: DataFrame, labels: Sequence[str], save_if_empty: bool = False,
     event_name: str = EVENT_NAME, note: str = ANNOTATION_NOTE, key: str = "recording_id",
-    cnn_features: bool = False, include_file_path: bool = False, part_size: int = 20_000,
+    cnn_features: bool = False, include_file_path: bool = False,
 ) -> DataFrame:
-    """One document per recording: (recording_id, part, id, document JSON).
+    """One document per recording: (recording_id, id, document JSON), entries in falling (score, bounds) order.
 
-    Detections are in falling (score, bounds) order. A recording with more than
-    ``part_size`` detections gives several documents, numbered by ``part``,
-    whose lists follow each other; each carries the class of the whole recording.
+    A document is one value here; ``document_lines`` is the form for writing, which never holds a whole list.
     """
-    keep = [key, "detection_score", *BOX, "class_scores", *(["features"] if cnn_features else [])]
-    order = [("detection_score", True), *[(c, True) for c in BOX]]
-    cut = in_parts(dets.select(*keep), [key], order, part_size)
-    rows = document_rows(cut.withColumns({f"_{c}": F.col(c) for c, _ in order}), labels, event_name)
-    names = ["start_time", "end_time", "low_freq", "high_freq", "class_prob", "det_prob", "individual", "event", "class"]
-    if cnn_features:
-        names.append("features")
-    entry = F.struct(
-        *[F.col(f"_{c}").alias(f"o_{c}") for c, _ in order], F.struct(*sorted(names)).alias("doc")
-    )
-    lists = rows.groupBy(key, "part").agg(F.sort_array(F.collect_list(entry), asc=False).alias("_l")).select(
-        key, "part", F.transform("_l", lambda e: e["doc"]).alias("annotation")
-    )
+    entry = F.struct(*[F.col(f"_{c}").alias(f"o_{c}") for c, _ in FALLING], "doc")
+    lists = _entries(dets, labels, event_name, key, cnn_features).groupBy(key).agg(
+        F.sort_array(F.collect_list(entry), asc=False).alias("_l")
+    ).select(key, F.transform("_l", lambda e: e["doc"]).alias("annotation"))
     best = recording_class(dets, labels, key)
     joined = recordings.join(lists, key, "left" if save_if_empty else "inner").join(best, key, "left")
     kind = lists.schema["annotation"].dataType.simpleString()
-    fields = [
-        F.lit(False).alias("annotated"), F.coalesce("annotation", F.array().cast(kind)).alias("annotation"),
-        F.coalesce("recording_class", F.lit("None")).alias("class_name"), F.round("duration", 4).alias("duration"),
-    ]
-    if include_file_path:
-        fields.append(F.col("path").alias("file_path"))
-    name = F.element_at(F.split("path", "/"), -1)
-    expansion = F.col("time_expansion") if "time_expansion" in recordings.columns else F.lit(1.0)
-    fields += [name.alias("id"), F.lit(False).alias("issues"), F.lit(note).alias("notes"), expansion.alias("time_exp")]
-    return joined.select(
-        key, F.coalesce("part", F.lit(0)).alias("part"), name.alias("id"),
-        F.to_json(F.struct(*fields)).alias("document"),
-    )
+    name, rest = _rest(recordings, note, include_file_path)
+    fields = [F.lit(False).alias("annotated"), F.coalesce("annotation", F.array().cast(kind)).alias("annotation"), *rest]
+    return joined.select(key, name.alias("id"), F.to_json(F.struct(*fields)).alias("document"))
+
 
+def document_lines(
+    dets: DataFrame, recordings: DataFrame, labels: Sequence[str], save_if_empty: bool = False,
+    event_name: str = EVENT_NAME, note: str = ANNOTATION_NOTE, key: str = "recording_id",
+    cnn_features: bool = False, include_file_path: bool = False,
+) -> DataFrame:
+    """The documents of ``result_documents`` as lines (recording_id, position, line): head, one per entry, foot.
 
-def save_documents(documents: DataFrame, path: str, key: str = "recording_id") -> None:
-    """One folder per recording, one line of JSON each."""
-    documents.select(key, "document").write.mode("overwrite").partitionBy(key).text(path)
+    Entries are ranked over ranges of (recording, score, bounds), so a recording of any size is cut across tasks.
+    """
+    entries = _entries(dets, labels, event_name, key, cnn_features)
+    ranked = with_rank(order_rows(entries, [key], [(f"_{c}", down) for c, down in FALLING]), "position").clean()
+    body = ranked.select(
+        key, "position", F.concat(F.when(F.col("position") > 1, ",").otherwise(""), F.to_json("doc")).alias("line"))
+    some = dets.select(key).distinct()
+    joined = recordings if save_if_empty else recordings.join(some, key, "left_semi")
+    joined = joined.join(recording_class(dets, labels, key), key, "left")
+    _, rest = _rest(recordings, note, include_file_path)
+    last = F.concat(F.lit("],"), F.substring(F.to_json(F.struct(*rest)), 2, 1 << 30))
+    head = joined.select(key, F.lit(0).cast("bigint").alias("position"), F.lit('{"annotated":false,"annotation":[').alias("line"))
+    foot = joined.select(key, F.lit((1 << 63) - 1).cast("bigint").alias("position"), last.alias("line"))
+    return head.unionByName(body.join(recordings.select(key), key, "left_semi")).unionByName(foot)
+
+
+def save_documents(lines: DataFrame, path: str, key: str = "recording_id") -> None:
+    """One folder and file per recording: its lines (``document_lines``) in order make one JSON document."""
+    lines.repartition(key).sortWithinPartitions(key, "position").select(key, "line").write.mode("overwrite").partitionBy(
+        key).text(path)
 
 
 def save_detection_csv(rows: DataFrame, path: str, key: str = "recording_id") -> None:
     """Fixed column order under one folder per recording."""
-    rows.select(key, *CSV_COLUMNS).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+    rows.select(key, *CSV_COLUMNS).repartition(key).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
 
 
 def feature_rows(dets: DataFrame, n_features: int, features: str = "features") -> DataFrame:
@@ -203,7 +229,7 @@ def feature_rows(dets: DataFrame, n_features: int, features: str = "features") -
 
 def save_feature_csv(dets: DataFrame, n_features: int, path: str, key: str = "recording_id") -> None:
     rows = feature_rows(dets, n_features)
-    rows.select(key, *[str(i) for i in range(n_features)]).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+    rows.select(key, *[str(i) for i in range(n_features)]).repartition(key).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
 
 
 # --- prediction sets -------------------------------------------------------

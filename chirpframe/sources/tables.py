@@ -108,7 +108,7 @@ def read_list(spark: SparkSession, path: str, format: str = "json", field: str |
     if format == "csv":
         raw = spark.read.option("header", True).csv(path)
         if column is None or column not in raw.columns:
-            raise ValueError(f"Column '{column}' not found in '{path}'.")
+            raise ValueError(f"{path} has no column {column!r}")
         value = F.trim(F.col(f"`{column}`"))
         return raw.select(value.alias("value")).where(F.length("value") > 0)
     if format != "json":
