@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 CHUNKS = "recording_id string, chunk_idx bigint, samplerate int, samples array<float>"
 
 
-def audio_files(spark: SparkSession, path: str) -> DataFrame:
+WAV_FILES = "*.[wW][aA][vV]"
+
+
+def audio_files(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> DataFrame:
+    """Files below ``path`` whose name matches ``pattern``."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
+        .option("pathGlobFilter", pattern).load(path)
     )
 
 
@@ -92,7 +96,7 @@ def first_channel(content: bytes, form: WavFormat, begin: int, end: int):
     return (values / FULL_SCALE[form.format_code, form.bits]).astype(np.float32)
 
 
-def _headers(spark: SparkSession, path: str) -> DataFrame:
+def _headers(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """One row per file: path, hash, header fields, and ``error`` for files that cannot be read."""
     import hashlib
 
@@ -114,16 +118,16 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "path string, hash string, " + ", ".join(
         f"{n} {'bigint' if n.startswith('data') else 'int'}" for n in names) + ", error string"
-    return audio_files(spark, path).select("path", "content").mapInPandas(run, schema)
+    return audio_files(spark, path, pattern).select("path", "content").mapInPandas(run, schema)
 
 
-def catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def catalogue(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> tuple[DataFrame, DataFrame]:
     """(recordings, unreadable files with their ``error``).
 
     The bytes of a file are read where they lie and never shuffled. Whatever
     ``sample_chunks`` cannot decode is in the second table.
     """
-    rows = _headers(spark, path).dropDuplicates(["path"])
+    rows = _headers(spark, path, pattern).dropDuplicates(["path"])
     frame = F.floor(F.col("channels") * F.col("bits") / 8)
     good = rows.where(F.col("error").isNull()).drop("error").withColumn(
         "file_name", F.url_decode(F.element_at(F.split("path", "/"), -1))
@@ -133,7 +137,9 @@ def catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def sample_chunks(spark: SparkSession, path: str, chunk_seconds: float = 1.0) -> DataFrame:
+def sample_chunks(
+    spark: SparkSession, path: str, chunk_seconds: float = 1.0, pattern: str = WAV_FILES
+) -> DataFrame:
     """Channel 0 as float32 chunks: (recording_id = path, chunk_idx, samplerate, samples).
 
     Files are the unit of reading; a chunk is the unit of everything after it, and is
@@ -155,7 +161,7 @@ def sample_chunks(spark: SparkSession, path: str, chunk_seconds: float = 1.0) ->
                         "recording_id": [name], "chunk_idx": [number], "samplerate": [form.samplerate], "samples": [samples],
                     })
 
-    return audio_files(spark, path).select("path", "content").mapInPandas(run, CHUNKS)
+    return audio_files(spark, path, pattern).select("path", "content").mapInPandas(run, CHUNKS)
 
 
 def chunk_samples(chunks: DataFrame, chunk_seconds: float = 1.0) -> DataFrame:

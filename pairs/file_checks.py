@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chirpframe.operators import projections
+from chirpframe import plugins
+from chirpframe.operators import filters, projections
 from chirpframe.plans.session import shared_path
-from chirpframe.sources import annotations, predictions, tables
+from chirpframe.sources import annotations, audio, predictions, tables
 
-from .base import CLASSES, pair, scored
+from .base import CLASSES, pair, scored, tagged
 from .dataset_checks import LONG, _nested
 
 DOCS = """doc as (select s_suppkey as k, 'rec' || cast(s_suppkey as varchar) || '.wav' as id, s_suppkey%5 <> 0 as annotated, s_suppkey%7 = 0 as issues,
@@ -181,3 +182,127 @@ def _(i):
     counts = i.documents.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("value"))
     predictions.save_metrics(counts.select(F.concat(F.lit("lang/"), "lang").alias("name"), "value"), path)
     return i.spark.read.schema("name string, value double").json(path)
+
+
+# --- audio: WAV files made of bytes below 128, so that they can be written as text ---------------
+
+WAVES = """w as (select s_suppkey as k, s_suppkey%4 as v, 16 + s_suppkey%24 as n, case s_suppkey%4 when 0 then 8 when 2 then 24 else 16 end as bits from supplier)"""
+
+
+def _wave_files(i) -> str:
+    """One file per supplier: 8 bit; 16 bit after a JUNK chunk; 24 bit with "data" in a comment; an unknown code."""
+    k, v, n = F.col("k"), F.col("k") % 4, F.lit(16) + F.col("k") % 24
+    byte = lambda x: F.char(x if hasattr(x, "cast") else F.lit(x))
+    long = lambda x: F.concat(byte(x), byte(0), byte(0), byte(0))
+    low = lambda j: byte((k * 7 + j * 3) % 128)
+    middle, high = (lambda j: byte((k + j) % 100)), (lambda j: byte((j * 5) % 90))
+    width = F.when(v == 0, 1).when(v == 2, 3).otherwise(2)
+    sample = lambda j: F.concat(
+        low(j), F.when(v == 0, "").otherwise(middle(j)), F.when(v == 2, high(j)).otherwise("")
+    )
+    form = F.concat(
+        F.lit("fmt "), long(16), byte(F.when(v == 3, 85).otherwise(1)), byte(0), byte(1), byte(0), byte(0x40), byte(0x1F),
+        *[byte(0)] * 8, byte(width * 8), byte(0),
+    )
+    content = F.concat(
+        F.lit("RIFF"), long(0), F.lit("WAVE"), F.when(v == 1, F.concat(F.lit("JUNK"), long(33), F.lit("x" * 34))).otherwise(""),
+        form, F.when(v == 2, F.concat(F.lit("LIST"), long(24), F.lit("comment with data inside"))).otherwise(""),
+        F.lit("data"), long(n * width), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), sample), ""),
+    )
+    path = shared_path(i.spark, "waves")
+    i.supplier.select(F.col("s_suppkey").alias("k")).select("k", content.alias("value")).repartition("k").write.partitionBy(
+        "k").text(path)
+    return path
+
+
+def _number(path):
+    return F.regexp_extract(path, "k=([0-9]+)", 1).cast("bigint")
+
+
+@pair(
+    "src08_catalogue",
+    f"""with {WAVES} select k, v <> 3 as readable, case when v <> 3 then cast(n as bigint) end as n_samples, case when v <> 3 then cast(bits as integer) end as bits,
+    case when v <> 3 then cast(8000 as integer) end as samplerate, case when v <> 3 then round(n / cast(8000 as double), 6) end as duration from w""",
+)
+def _(i):
+    good, bad = audio.catalogue(i.spark, _wave_files(i), "*.txt")
+    none = lambda kind: F.lit(None).cast(kind)
+    return good.select(
+        _number(F.col("path")).alias("k"), F.lit(True).alias("readable"), "n_samples", "bits", "samplerate", F.round("duration", 6).alias("duration"),
+    ).union(bad.select(_number(F.col("path")), F.lit(False), none("bigint"), none("int"), none("int"), none("double")))
+
+
+@pair(
+    "src09_clip_samples",
+    f"""with {WAVES}, s as (select k, v, unnest(range(0, n)) as j from w where v <> 3),
+    x as (select k, j, case v when 0 then ((k*7 + j*3)%128 - 128) / cast(128 as double)
+      when 1 then ((k*7 + j*3)%128 + 256 * ((k + j)%100)) / cast(32768 as double)
+      else ((k*7 + j*3)%128 + 256 * ((k + j)%100) + 65536 * ((j*5)%90)) / cast(8388608 as double) end as x from s)
+    select k, cast(j as bigint) as idx, round(x, 6) as x from x""",
+)
+def _(i):
+    chunks = audio.sample_chunks(i.spark, _wave_files(i), 0.001, "*.txt")
+    rows = audio.chunk_samples(chunks, 0.001)
+    return rows.select(_number(F.col("recording_id")).alias("k"), "idx", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+# --- annotation sets and projects ---------------------------------------------------------------
+
+@pair(
+    "src03_project",
+    """with d as (select s_suppkey as k, s_suppkey%5 as g, (s_suppkey%50) / cast(100 as double) as t, cast(20 + s_suppkey%30 as double) as f from supplier
+      where s_suppkey%2 = 0 or s_suppkey%3 = 0)
+    select k, case g when 0 then 'BoundingBox' when 1 then 'Polygon' when 2 then 'LineString' when 3 then 'Point' else 'TimeInterval' end as geom_type,
+    round(t, 6) as start_time, case when g <> 4 then case when g = 2 then f - 8 else f end end as low_freq,
+    round(case g when 0 then t + 0.25 when 1 then t + 0.5 when 2 then t + 0.25 when 3 then t else t + 0.25 end, 6) as end_time,
+    case g when 0 then f + 10 when 1 then f + 9 when 2 then f when 3 then f end as high_freq, 'Echolocation' as event from d""",
+)
+def _(i):
+    k = F.col("k")
+    t, f, g = k % 50 / 100, F.lit(20) + k % 30, k % 5
+    text = lambda *parts: F.concat(*[p.cast("string") if hasattr(p, "cast") else F.lit(p) for p in parts])
+    kind = F.when(g == 0, "BoundingBox").when(g == 1, "Polygon").when(g == 2, "LineString").when(g == 3, "Point").otherwise("TimeInterval")
+    shape = (
+        F.when(g == 0, text("[", t, ",", f, ",", t + 0.25, ",", f + 10, "]"))
+        .when(g == 1, text("[[[", t, ",", f, "],[", t + 0.5, ",", f + 5, "],[", t + 0.25, ",", f + 9, "]]]"))
+        .when(g == 2, text("[[", t + 0.25, ",", f, "],[", t, ",", f - 8, "]]"))
+        .when(g == 3, text("[", t, ",", f, "]")).otherwise(text("[", t, ",", t + 0.25, "]"))
+    )
+    document = text(
+        '{"data":{"uuid":"d', k, '","collection_type":"', F.when(k % 2 == 0, "annotation_set").otherwise("annotation_project"),
+        '","tags":[{"id":0,"key":"event","value":"Echolocation"}],"recordings":[{"uuid":"r', k, '","path":"', k,
+        '.wav","duration":1.0,"channels":1,"samplerate":8000,"tags":[]}],"clips":[{"uuid":"k', k, '","recording":"r', k,
+        '","start_time":0.0,"end_time":1.0}],"sound_events":[{"uuid":"s', k, '","recording":"r', k, '","geometry":{"type":"', kind,
+        '","coordinates":', shape, '}}],"sound_event_annotations":[{"uuid":"n', k, '","sound_event":"s', k,
+        '","tags":[0]}],"clip_annotations":[{"uuid":"c', k, '","clip":"k', k, '","tags":[],"sound_events":["n', k,
+        '"],"notes":[]}],"tasks":[{"uuid":"t', k, '","clip":"k', k, '","status_badges":[',
+        F.when(k % 3 == 0, '{"state":"completed"}').otherwise(""), "]}]}}",
+    )
+    path = shared_path(i.spark, "projects")
+    i.supplier.select(F.col("s_suppkey").alias("k")).select("k", document.alias("value")).repartition("k").write.partitionBy(
+        "k").text(path)
+    clips = annotations.load_project_clips(i.spark, f"{path}/*")
+    return clips.select(F.explode("events").alias("e"), "clip_annotation_id").select(
+        F.substring("clip_annotation_id", 2, 20).cast("bigint").alias("k"), "e.geom_type",
+        *[F.round(F.col(f"e.{c}"), 6).alias(c) for c in ("start_time", "low_freq", "end_time", "high_freq")],
+        F.get("e.tags", F.lit(0))["value"].alias("event"),
+    )
+
+
+# --- plug-ins -----------------------------------------------------------------------------------
+
+@pair("udf01_condition_by_path", "select ann_id from ann where not is_target", "ann")
+def _(i):
+    social = plugins.load("chirpframe.functions.conditions.HasTag", key="event", value="Social")
+    return filters.keep(tagged(i.ann), social).select("ann_id")
+
+
+@pair("udf02_registered_scorer", "select event_id as ann_id, round(sqrt(cast(value as double)), 6) as score from events")
+def _(i):
+    plugins.register_scorer(i.spark, "root_score", _root, "double")
+    i.events.createOrReplaceTempView("events_to_score")
+    return i.spark.sql("select event_id as ann_id, round(root_score(value), 6) as score from events_to_score")
+
+
+def _root(values):
+    return values.astype(float) ** 0.5
