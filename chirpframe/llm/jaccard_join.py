@@ -44,6 +44,8 @@ from .components import components
 from .words import byte_chunks, mix, shingle_sets, split_words
 
 BLOCK = 2048
+#: Small sets get sparse bitmaps, so that two sets just beyond the limit rarely pass for linked ones.
+LEAST_BITS = 4096
 
 
 class Bands:
@@ -63,9 +65,9 @@ class Bands:
         return np.searchsorted(self.low, n, "right") - 1
 
     def bits(self, n: int) -> int:
-        """Bitmap size: a power of two, at least twice the tokens of the band's largest set."""
+        """Bitmap size: a power of two, at least ``LEAST_BITS`` and twice the tokens of the band's largest set."""
         top = int(self.low[int(self.of(np.array([n]))[0]) + 1]) * 2
-        return 1 << max(6, (top - 1).bit_length())
+        return max(LEAST_BITS, 1 << (top - 1).bit_length())
 
 
 def node_of(tokens: np.ndarray) -> int:
