@@ -285,7 +285,9 @@ def test_jaccard_join_near_the_threshold():
                     assert same or set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist()), (percent, n, lost, extra)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 40])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(80)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
