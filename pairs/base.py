@@ -29,16 +29,17 @@ VIEWS: dict[str, str] = {
  event_type <> 'error' as is_target,
  case when event_type in ('click','purchase','signup') then event_type end as class_name
 from events""",
+    # one detection per event; those of every fifth event miss it by three seconds
     "det": """select event_id as det_id, user_id as clip_id,
- cast((event_id*7919)%10000 + (event_id*13)%41 - 20 as double)/1000 as start_time,
- cast((event_id*7919)%10000 + (event_id*13)%41 - 18 + event_id%9 as double)/1000 as end_time,
+ cast((event_id*7919 + case when event_id%5 = 0 then 3000 else 0 end)%10000 + (event_id*13)%41 - 20 as double)/1000 as start_time,
+ cast((event_id*7919 + case when event_id%5 = 0 then 3000 else 0 end)%10000 + (event_id*13)%41 - 18 + event_id%9 as double)/1000 as end_time,
  cast(20000+((event_id*41)%40)*1000 as double) as low_freq,
  cast(26000+((event_id*41)%40)*1000+(event_id%5)*3000 as double) as high_freq,
  cast((event_id*31)%1009 as double)/1009 as detection_score,
  cast((event_id*17 + case when event_type='click' then 400 else 0 end)%1013 as double)/1013 as s_click,
  cast((event_id*19 + case when event_type='purchase' then 400 else 0 end)%1013 as double)/1013 as s_purchase,
  cast((event_id*23 + case when event_type='signup' then 400 else 0 end)%1013 as double)/1013 as s_signup
-from events where event_id%5 <> 0""",
+from events""",
     "cells": """select cast(floor(event_id/1000) as bigint) as clip_id,
  cast(floor((event_id%1000)/50) as bigint) as f, event_id%50 as t,
  cast((event_id*7919)%997 as double)/997 as value
@@ -60,17 +61,17 @@ from events""",
  case when event_type='error' then 'Social' else 'Echolocation' end as value from events
 union all select event_id as ann_id, 'class' as key, event_type as value from events
 where event_type in ('click','purchase','signup')""",
-    # detections on the cell grid, one per 7 events: column, row from the top, size in cells
+    # detections on the cell grid, one per event: column, row from the top, size in cells
     "grid_det": """select event_id as det_id, cast(floor(event_id/1000) as bigint) as clip_id,
  (event_id*3)%50 as x_pos, (event_id*5)%20 as y_pos,
  1+event_id%9 as bb_width, event_id%8 as bb_height
-from events where event_id%7 = 0""",
+from events""",
     # annotations of recordings: two recordings per user, ten events a second long recording
     "rec_ann": """select event_id as ann_id, cast(floor(event_id/4) as bigint)%500 as recording_id,
  event_type as class_name,
  cast((event_id*7919)%30000 as double)/1000 as start_time,
  cast((event_id*7919)%30000 + 200 + (event_id%9)*50 as double)/1000 as end_time
-from events where event_type <> 'error'""",
+from events""",
 }
 
 

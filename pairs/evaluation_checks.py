@@ -18,8 +18,12 @@ AFFINITY = g.TimeAffinity(max_distance=0.05)
 
 # --- inputs ----------------------------------------------------------------
 
-def targets_in_bounds(i):
-    return filters.in_bounds(i.ann.where("is_target"), i.clips)
+def targets_in_bounds(i, only: str | None = None):
+    """Targets inside their clip; those that miss ``only`` are moved behind the clip's end first."""
+    targets = i.ann.where("is_target")
+    if only:
+        targets = targets.withColumn("start_time", F.col("start_time") + F.when(F.expr(only), 0.0).otherwise(100.0))
+    return filters.in_bounds(targets, i.clips)
 
 
 def detections_in_bounds(i):
@@ -431,7 +435,7 @@ CLIP_SCORE = """cs as (select c.clip_id as row_id, coalesce(max(d.detection_scor
 def _clip_scored(i):
     bar = F.lit(0.9) - (F.col("clip_id") % 5) * F.lit(0.01)
     return reports.clip_detection_scores(
-        i.clips, targets_in_bounds(i).where("clip_id % 3 = 0"), detections_in_bounds(i).where(F.col("detection_score") < bar)
+        i.clips, targets_in_bounds(i, "clip_id % 3 = 0"), detections_in_bounds(i).where(F.col("detection_score") < bar)
     )
 
 
@@ -451,7 +455,7 @@ CLIP_CLASS = """cc as (select clip_id, 'click' as class_name, max(s_click) as sc
 
 
 def _clip_classes(i):
-    truth = targets_in_bounds(i).where("(ann_id + clip_id) % 37 = 0")
+    truth = targets_in_bounds(i, "(ann_id + clip_id) % 37 = 0")
     return reports.clip_class_scores(truth, detections_in_bounds(i), CLASSES)
 
 
@@ -545,7 +549,7 @@ def _(i):
 )
 def _(i):
     clips = i.customer.select(F.col("c_custkey").alias("clip_id"))
-    truth = targets_in_bounds(i).where("(ann_id + clip_id) % 37 = 0")
+    truth = targets_in_bounds(i, "(ann_id + clip_id) % 37 = 0")
     obs = reports.clip_class_observations(clips, _clip_classes(i), truth, CLASSES)
     out = curves.pr_curve(obs, ["task_class"])
     return out.select(

@@ -163,11 +163,11 @@ def _(i):
 
 @pair(
     "snk09_annotation_set",
-    """select event_id as clip_id, event_id * 2 + k as ann_id, event_type as value from events, (select unnest([0, 1]) as k) x where event_id%2 = 0""",
+    """select event_id as clip_id, event_id * 2 + k as ann_id, event_type as value from events, (select unnest([0, 1]) as k) x""",
 )
 def _(i):
     path = shared_path(i.spark, "set")
-    annotations.save_annotation_set(_nested(0)(i), path, name="even")
+    annotations.save_annotation_set(_nested(0)(i).unionByName(_nested(1)(i)), path, name="events")
     back = annotations.read_saved_set(i.spark, path).select("clip_id", F.explode("events").alias("e"))
     name = F.get(F.filter("e.tags", lambda t: t["key"] == "class"), F.lit(0))["value"]
     return back.select("clip_id", "e.ann_id", name.alias("value"))
