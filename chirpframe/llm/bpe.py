@@ -22,11 +22,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
+ROWS = 256
 
 
 def byte_table() -> list[str]:
@@ -39,39 +40,70 @@ def byte_table() -> list[str]:
     return [c or chr(next(spare)) for c in table]
 
 
+_TABLE = byte_table()
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Codec:
-    """Encoder and decoder for one vocabulary file and pattern."""
+class Decoder:
+    """Bytes of each id, by reversing the byte table."""
+
+    def __init__(self, path: str):
+        back = {c: b for b, c in enumerate(byte_table())}
+        shown = {rank: shown_token(token) for token, rank in read_ranks(path).items()}
+        self.tokens = [b""] * (max(shown, default=-1) + 1)
+        for rank, token in shown.items():
+            self.tokens[rank] = bytes(back[c] for c in token)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
+
+    def decode_pieces(self, ids) -> Iterator[str]:
+        """Text that each token completes; bytes that never make a character give U+FFFD at the end."""
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        last = len(ids) - 1
+        for i, token in enumerate(ids):
+            yield decoder.decode(self.tokens[token], final=i == last)
+
+    def offsets(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Character range of each token; parts of one character share its range."""
+        if not len(ids):
+            return np.empty(0, np.int32), np.empty(0, np.int32)
+        raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # byte -> character
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
+        return char[starts].astype(np.int32), (char[ends - 1] + 1).astype(np.int32)
+
+
+def shown_token(token: bytes) -> str:
+    """A byte string as the library sees it."""
+    return "".join(map(_TABLE.__getitem__, token))
+
+
+class Encoder:
+    """Ids of texts for one vocabulary file and pattern."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.table = byte_table()
         ranks = read_ranks(path)
         merges = []
         for token, _ in sorted(ranks.items(), key=lambda item: item[1]):
             cuts = [(token[:i], token[i:]) for i in range(1, len(token))]
             known = [(a, b) for a, b in cuts if a in ranks and b in ranks]
-            merges += [(self._show(a), self._show(b)) for a, b in sorted(known, key=lambda ab: ranks[ab[0]])]
-        vocab = {self._show(token): rank for token, rank in ranks.items()}
+            merges += [(shown_token(a), shown_token(b)) for a, b in sorted(known, key=lambda ab: ranks[ab[0]])]
+        vocab = {shown_token(token): rank for token, rank in ranks.items()}
         self.tokenizer = Tokenizer(models.BPE(vocab, merges, cache_capacity=0, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
-        back = {c: b for b, c in enumerate(self.table)}
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for shown, rank in self.tokenizer.get_vocab().items():
-            self.tokens[rank] = bytes(back[c] for c in shown)
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.cache: dict[str, bytes] = {}
 
-    def _show(self, token: bytes) -> str:
-        return "".join(map(self.table.__getitem__, token))
-
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces not met before, all in one call; ids are kept as packed int32."""
         if len(self.cache) > CACHED_PIECES:
@@ -94,62 +126,70 @@ class Codec:
             joined = b"".join(map(self.cache.__getitem__, pieces))
         return np.frombuffer(joined, np.int32)
 
-    def offsets(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Character range of each token; parts of one character share its range."""
-        raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # byte -> character
-        ends = np.cumsum(self.lengths[ids])
-        starts = ends - self.lengths[ids]
-        if not len(ids):
-            return np.empty(0, np.int32), np.empty(0, np.int32)
-        return char[starts].astype(np.int32), (char[ends - 1] + 1).astype(np.int32)
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
 
-    def decode_pieces(self, ids) -> Iterator[str]:
-        """Text that each token completes; bytes that never make a character give U+FFFD at the end."""
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        last = len(ids) - 1
-        for i, token in enumerate(ids):
-            yield decoder.decode(self.tokens[token], final=i == last)
+@lru_cache(maxsize=4)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+
+
+def _added(df: DataFrame, keep: list[str] | None, new: str, run) -> DataFrame:
+    """``df``'s columns ``keep`` (default: all) and the columns ``new`` that ``run`` computes for each record batch.
+
+    Batches are cut to ``ROWS`` rows before ``run`` sees them, so what a task holds is one batch of Spark's
+    (bounded in bytes) and the results of a few rows.
+    """
+    added = StructType.fromDDL(new)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in added.names]
+    schema = StructType([*[df.schema[c] for c in kept], *added.fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *run(part)], names=schema.names)
 
+    return df.mapInArrow(work, schema)
 
-def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
-    """Add ``ids`` (array<int>) and, if asked, character ``starts`` and ``ends``."""
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
-        ours = codec(path, pattern)
-        return pd.Series([ours.encode(t) for t in texts])
+def encode(
+    docs: DataFrame, path: str, pattern: str, offsets: bool = False, round_trip: bool = False,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Add ``ids`` (array<int>); with ``offsets`` character ``starts`` and ``ends``; with ``round_trip`` also ``decoded``.
 
-    @F.pandas_udf("starts array<int>, ends array<int>")
-    def places(texts: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        ours = codec(path, pattern)
-        pairs = [ours.offsets(t, i) for t, i in zip(texts, ids)]
-        return pd.DataFrame({"starts": [a for a, _ in pairs], "ends": [b for _, b in pairs]})
+    ``keep`` names the columns of ``docs`` to return (all by default).
+    """
 
-    # marked so that the plan never evaluates it once per use
-    out = docs.withColumn("ids", ids_of.asNondeterministic()("text"))
-    if offsets:
-        out = out.withColumn("_places", places.asNondeterministic()("text", "ids"))
-        out = out.withColumns({"starts": F.col("_places.starts"), "ends": F.col("_places.ends")}).drop("_places")
-    return out
+    def run(part: pa.RecordBatch) -> list[pa.Array]:
+        texts = part.column("text").to_pylist()
+        ids = [encoder(path, pattern).encode(t) for t in texts]
+        out = [_lists(ids)]
+        if offsets:
+            pairs = [decoder(path).offsets(t, i) for t, i in zip(texts, ids)]
+            out += [_lists([a for a, _ in pairs]), _lists([b for _, b in pairs])]
+        if round_trip:
+            out.append(pa.array([decoder(path).decode(i) for i in ids], pa.binary()))
+        return out
 
+    new = "ids array<int>" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * round_trip
+    return _added(docs, keep, new, run)
 
-def decode(encoded: DataFrame, path: str, pattern: str, as_text: bool = False) -> DataFrame:
-    """Add ``decoded`` (bytes), and ``decoded_text`` if asked, from ``ids``."""
 
-    @F.pandas_udf("binary")
-    def bytes_of(ids: pd.Series) -> pd.Series:
-        ours = codec(path, pattern)
-        return pd.Series([ours.decode(i) for i in ids])
+def decode(encoded: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """Add ``decoded`` (bytes) and ``decoded_text`` (its characters, U+FFFD for bytes that make none) from ``ids``."""
 
-    out = encoded.withColumn("decoded", bytes_of.asNondeterministic()(F.coalesce("ids", F.array().cast("array<int>"))))
-    return out.withColumn("decoded_text", F.decode("decoded", "UTF-8")) if as_text else out
+    def run(part: pa.RecordBatch) -> list[pa.Array]:
+        raw = [decoder(path).decode(i or []) for i in part.column("ids").to_pylist()]
+        return [pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())]
 
+    return _added(encoded, keep, "decoded binary, decoded_text string", run)

@@ -35,7 +35,7 @@ def vocabulary(name: str) -> tuple[str, str]:
 def op1_byte_bpe(spark, sf_dir):
     path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    coded = bpe.encode(docs, path, pattern, round_trip=True, keep=["doc_id"])
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
@@ -91,13 +91,69 @@ def op6_imatch(spark, sf_dir):
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
-@query("op7_jaccard_join")
+@query("op7_jaccard_join", """
+with recursive words as (
+  select doc_id, [x for x in regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] as w
+  from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * c >= 90 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, b.y from reach r join both_ways b on b.x = r.other)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, r.low as component_id
+from documents d left join sizes using (doc_id) join (select doc_id, min(other) as low from reach group by doc_id) r using (doc_id)""")
 def op7_jaccard_join(spark, sf_dir):
     found = jaccard_join.joined(table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-@query("op8_source_mixing")
+def _mixing_sql() -> str:
+    """The rounds of ``mixing.rake`` written out as one common table expression per step."""
+    steps, last = [], "targets"
+    for number in range(mixing.ROUNDS):
+        for dim in mixing.DIMS:
+            have = f"sum(w * tokens) over (partition by {dim})"
+            name = f"{dim}{number}"
+            steps.append(f"{name} as (select * replace (case when {have} > 0 then w * t_{dim} / {have} else w end as w) from {last})")
+            last = name
+        steps.append(f"limited{number} as (select * replace (least(w, {mixing.LIMIT}) as w) from {last})")
+        last = f"limited{number}"
+    powers = ", ".join(
+        f"pow(cast(sum(tokens) over (partition by {d}) as double), {mixing.TEMPERATURE}) as p_{d}" for d in mixing.DIMS)
+    scaled = ", ".join(
+        f"p_{d} * sum(tokens) over () / (select sum(x) from (select max(p_{d}) as x from powers group by {d})) as t_{d}"
+        for d in mixing.DIMS)
+    return f"""with base as (
+  select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, coalesce(text, '') as text,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as tokens,
+    cast(cast('0x' || substr(md5('mix-' || coalesce(cast(doc_id as varchar), 'none')), 1, 13) as bigint) as double) / pow(2, 52) as draw
+  from documents),
+rows as (
+  select doc_id, source, lang, tokens, draw, case when tokens = 0 then 'empty'
+    when (length(text) - length(translate(text, '|', ''))) * 5 >= tokens then 'table'
+    when length(text) - length(translate(text, '#$%&*!', '')) >= tokens then 'symbols'
+    when tokens < 150 then 'short' when tokens < 600 then 'medium' else 'long' end as topic
+  from base),
+cells as (select source, lang, topic, cast(sum(tokens) as bigint) as tokens, cast(1 as double) as w from rows group by source, lang, topic),
+powers as (select *, {powers} from cells),
+targets as (select *, {scaled} from powers),
+{", ".join(steps)}
+select doc_id, source, lang, topic, r.tokens, round(w, 6) as weight, round(w / {mixing.LIMIT}, 6) as probability,
+  draw < w / {mixing.LIMIT} as sampled
+from rows r join {last} using (source, lang, topic)"""
+
+
+@query("op8_source_mixing", _mixing_sql())
 def op8_source_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumns({
         "weight": F.round("weight", 6), "probability": F.round("probability", 6),
