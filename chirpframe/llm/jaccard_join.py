@@ -225,24 +225,23 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perc
     return links
 
 
-def open_groups(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+def open_groups(
+    node: np.ndarray, label: np.ndarray, n: np.ndarray, block: np.ndarray, bits: list[bytes], percent: int
+) -> Iterator[tuple[int, int]]:
     """Pairs of one signature group, in different components, that the matrix does not exclude.
 
-    ``group`` has node, label, n, bits and block; rows of one block were compared elsewhere if two blocks meet.
+    Rows come sorted by ``label``. If the group is a pair of blocks, rows of one block were compared elsewhere.
     """
-    group = group.sort_values("label", kind="stable")
-    label = group["label"].to_numpy()
     first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
     if len(first) < 2:
         return
-    node, n, block = group["node"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
-    apart = len(np.unique(block)) > 1
-    bits = _matrix(group["bits"].tolist())
-    union = np.bitwise_or.reduceat(bits, first, axis=0)  # the token-group matrix
-    last = np.append(first[1:], len(group))
+    apart = bool((block != block[0]).any())
+    rows = _matrix(bits)
+    union = np.bitwise_or.reduceat(rows, first, axis=0)  # the token-group matrix
+    last = np.append(first[1:], len(node))
     step = max(1, (1 << 22) // max(1, union.size))
-    for a in range(0, len(group), step):
-        mine = bits[a:a + step]
+    for a in range(0, len(node), step):
+        mine = rows[a:a + step]
         outside = _count(mine[:, None, :] & ~union[None, :, :])
         opened = outside * 100 <= (100 - percent) * n[a:a + step, None]
         opened &= first[None, :] > np.arange(a, a + len(mine))[:, None]  # later components only: each pair once
@@ -251,7 +250,7 @@ def open_groups(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
             members = np.arange(first[g], last[g])
             if apart:
                 members = members[block[members] != block[q]]
-            differ = _count(bits[members] ^ bits[q])
+            differ = _count(rows[members] ^ rows[q])
             sizes = np.minimum(n[members], n[q]) * 100 >= np.maximum(n[members], n[q]) * percent
             for hit in members[sizes & (differ <= _limit(n[members], n[q], percent))]:
                 yield int(node[q]), int(node[hit])
@@ -277,12 +276,14 @@ def rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 
         def pairs_of(frame: pd.DataFrame) -> pd.DataFrame:
             keys = frame[["sig", "p", "q"]].to_numpy()
-            cut = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-            found = [
-                pair for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(frame)])
-                for pair in open_groups(frame.iloc[a:b], percent)
-            ]
-            return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            cut = (np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist()
+            node, label, n, block = (frame[c].to_numpy() for c in ("node", "label", "n", "block"))
+            bits = frame["bits"].tolist()
+            found = {
+                pair for a, b in zip([0, *cut], [*cut, len(frame)])
+                for pair in open_groups(node[a:b], label[a:b], n[a:b], block[a:b], bits[a:b], percent)
+            }
+            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
         for batch in batches:
             if rest is not None:
@@ -295,7 +296,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
         if rest is not None and len(rest):
             yield pairs_of(rest)
 
-    grouped = rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    grouped = rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "label")
     found = grouped.mapInPandas(search, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
