@@ -14,6 +14,7 @@ is_ground_truth (and class columns from the tasks below).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,29 +162,31 @@ def serial_choice(
 ) -> DataFrame:
     """Proposers choose in priority order, each its best free receiver.
 
-    Found by rounds: every proposer asks for its best remaining receiver, the
-    receiver keeps the proposer of highest priority, refused pairs are struck
-    out. All receivers rank proposers alike, so this equals the sequential
-    scan. ``preference`` and ``priority`` sort ascending and must be total.
-    Runs one checkpoint and one count per round; the number of rounds is the
-    longest chain of refusals.
+    Found by rounds. A pair whose receiver is the proposer's best and whose
+    proposer is the first in line of all that could still take the receiver is
+    settled: nobody before it in the scan wants that receiver. All such pairs of
+    a round are settled at once, and every pair that shares a side with them goes;
+    only what is still contested is written again. ``preference`` and
+    ``priority`` sort ascending and must be total. The first in line of what is
+    left always settles, so the rounds end; their number is the longest chain of
+    proposers waiting for one another.
     """
     cols = pairs.columns
     left = cut_lineage(pairs.withColumns({"_want": preference, "_rank": priority}))
-    size = left.count()
-    while True:
-        asked = left.groupBy(*proposer).agg(
-            F.min_by(F.struct(*[c for c in left.columns if c not in proposer]), F.col("_want")).alias("_a")
-        ).select(*proposer, "_a.*")
-        held = asked.groupBy(*receiver).agg(F.min("_rank").alias("_held"))
-        refused = asked.join(held, list(receiver)).where(F.col("_rank") != F.col("_held")).select(
-            *dict.fromkeys([*proposer, *receiver])
+    settled = []
+    while not left.isEmpty():
+        best = left.groupBy(*proposer).agg(F.min("_want").alias("_best"))
+        first = left.groupBy(*receiver).agg(F.min("_rank").alias("_first"))
+        marked = left.join(best, list(proposer)).join(first, list(receiver))
+        done = cut_lineage(
+            marked.where((F.col("_want") == F.col("_best")) & (F.col("_rank") == F.col("_first"))).select(*cols)
         )
-        rest = cut_lineage(left.join(refused, refused.columns, "left_anti"))
-        remaining = rest.count()
-        if remaining == size:
-            return asked.select(*cols)
-        left, size = rest, remaining
+        settled.append(done)
+        left = cut_lineage(
+            left.join(done.select(*proposer), list(proposer), "left_anti").join(
+                done.select(*receiver), list(receiver), "left_anti")
+        )
+    return reduce(DataFrame.union, settled) if settled else pairs.limit(0)
 
 
 def free_choice_pairs(
