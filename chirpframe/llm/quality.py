@@ -40,6 +40,8 @@ WINDOW = 2
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 THRESHOLD = 0.7
+#: Text bytes whose token vectors a worker holds at once (about 20 times as much memory).
+RUN_BYTES = 1 << 18
 
 _KIND = np.full(256, 3, np.uint8)  # marks
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -78,7 +80,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(BUCKETS * DIMS)
     count = np.zeros(BUCKETS)
     for batch in batches:
-        for _, run in byte_chunks(batch["text"]):
+        for _, run in byte_chunks(batch["text"], RUN_BYTES):
             ids, first = tokens(run)
             text_no = np.repeat(np.arange(len(run)), np.diff(first))
             count += np.bincount(ids, minlength=BUCKETS)
@@ -119,7 +121,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pool(vectors: np.ndarray, texts: Iterator[str | None]) -> np.ndarray:
     """One row per text: mean vector, mean product of adjacent vectors, log length."""
     out = []
-    for _, run in byte_chunks(texts):
+    for _, run in byte_chunks(texts, RUN_BYTES):
         ids, first = tokens(run)
         n = np.diff(first)
         pooled = np.zeros((len(run), 2 * DIMS + 1), np.float32)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import shared_path
-from .common import text_of
+from .common import join_checked, text_of
 
 BUCKET_BYTES = 8 << 20
 
@@ -65,7 +65,8 @@ def with_slots(written: DataFrame) -> DataFrame:
     counts = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return written.join(starts, ["shard", "bucket"]).withColumn(
+    # a broadcast after counting the buckets: else the records would be shuffled once more
+    return join_checked(written, starts, ["shard", "bucket"], "inner").withColumn(
         "slot", (F.col("_start") + F.col("pos")).cast("long")
     ).drop("_start")
 

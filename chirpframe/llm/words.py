@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
