@@ -337,6 +337,40 @@ def test_passages(docs, empty, texts):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_with_partial_overlaps(spark):
+    """Documents that hold only the first part of a passage do not hide those that share all of it."""
+    rng = random.Random(3)
+    rows, whole = [], set()
+    for n, part in ((50, 40), (60, 48)) * 12:
+        passage = words(rng, n, 10**7)
+        whole |= {len(rows), len(rows) + 1}
+        made = [passage, passage] + [passage[:part] + words(rng, 30, 10**7) for _ in range(4)]
+        for text in made:
+            rows.append((len(rows), " ".join(words(rng, 20, 10**7) + text + words(rng, 20, 10**7))))
+    seen = defaultdict(set)
+    for i, text in rows:
+        w = text.split()
+        for a in range(len(w) - 49):
+            seen[tuple(w[a:a + 50])].add(i)
+    assert {i for ids in seen.values() if len(ids) > 1 for i in ids} == whole
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == whole
+    assert all(r.with_doc == r.doc_id ^ 1 and r.partners == 1 for r in got if r.doc_id % 6 < 2)
+
+
+def test_open_pairs_agree_over_blocks():
+    """Rows in two blocks meet in the unit of the pair; covered rows are partners only."""
+    passage = np.arange(46, dtype=np.uint32)
+    other = np.concatenate([passage[:30], np.arange(100, 116, dtype=np.uint32)])
+    tokens = [x.tobytes() for x in (other, passage, passage, passage)]
+    node = np.arange(4)
+    fresh = [np.full(46, x).tobytes() for x in (True, True, True, False)]
+    find = lambda block, every: passages.open_pairs(node, np.array(block), tokens, fresh, 0.8, 46, every)
+    assert find([0, 0, 0, 0], True) == [(1, 2), (1, 3), (2, 1), (2, 3)]
+    assert find([0, 0, 1, 1], True) == [(1, 2), (1, 3), (2, 1)]
+    assert {q for q, _ in find([0, 0, 0, 0], False)} == {1, 2}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(6)
     for n, top in ((1, 5), (40, 3), (60, 1000), (200, 8)):
