@@ -358,6 +358,21 @@ def test_passages_with_partial_overlaps(spark):
     assert all(r.with_doc == r.doc_id ^ 1 and r.partners == 1 for r in got if r.doc_id % 6 < 2)
 
 
+def test_near_passages_at_the_limit(spark):
+    """One changed word in a passage of 50 leaves a similarity of 41 / 51; every pair is found."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(60):
+        one = words(rng, 50, 10**7)
+        two = one[:]
+        two[rng.randrange(5, 45)] = "changed"
+        for text in (one, two):
+            rows.append((len(rows), " ".join(words(rng, 20, 10**7) + text + words(rng, 20, 10**7))))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == set(range(len(rows)))
+    assert all(r.with_doc == r.doc_id ^ 1 for r in got)
+
+
 def test_open_pairs_agree_over_blocks():
     """Rows in two blocks meet in the unit of the pair; covered rows are partners only."""
     passage = np.arange(46, dtype=np.uint32)
