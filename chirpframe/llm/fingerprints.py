@@ -1,9 +1,11 @@
 """I-Match fingerprints in DataFrame functions only.
 
-Terms (lower-cased words) hash to 64 bits; a term's document frequency is that
-of its class (the low ``CLASS_BITS`` bits), so the table of frequencies has a fixed
-size however large the vocabulary grows, and what becomes a literal is one bit
-per class: inside the chosen band of inverse document frequency, or not. A text
+Terms (lower-cased words) hash to 64 bits, and document frequencies are counted
+per term. What lies outside the chosen band of inverse document frequency is taken
+from a text: terms above it are few (at most the words of a text times N ** 0.25) and
+become a constant; terms below it come with the documents that have them, as their
+count keeps the smallest and the largest of these (beyond two, a join finds them); the
+two words that an edit cuts are looked up in the stored frequencies. A text
 keeps its distinct terms inside the band, sorted by their hash, and hashes
 randomised subsets of the lexicon: for every replicate there is a chain of
 subsets, each keeping a random half of the one before, and a text uses the last one
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from ..plans.ordered import order_rows, with_previous
 from .common import SPACES, stored, text_of
 
-CLASS_BITS = 18
 REPLICATES = 12
 #: Band of ln(N / df) / ln(N): above 0.25 leaves out the commonest, below 0.95 the terms of one document.
 BAND = (0.25, 0.95)
@@ -42,35 +43,43 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def band_classes(texts: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
-    """2**CLASS_BITS bits as 64-bit words: classes whose document frequency lies in the band."""
-    mask = (1 << CLASS_BITS) - 1
-    rows = texts.select(F.explode(F.array_distinct(F.transform(
-        term_hashes(F.col("text")), lambda h: h.bitwiseAND(F.lit(mask))))).alias("class"))
-    counts = stored(rows.groupBy("class").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-    n = max(2, texts.count())
-    low, high = n ** (1 - band[1]), n ** (1 - band[0])
-    bits = counts.where((F.col("df") >= low) & (F.col("df") <= high)).groupBy(
-        F.floor(F.col("class") / 64).cast("int").alias("word")
-    ).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("class", F.lit(64)).cast("int"))).alias("bits"))
-    words = [0] * math.ceil((mask + 1) / 64)
-    for word, value in bits.collect():  # at most 2**CLASS_BITS / 64 rows
-        words[word] = value
-    return words
+def frequencies(base: DataFrame) -> DataFrame:
+    """Stored: term, df (rows), and the smallest and largest key of a document with the term."""
+    rows = base.select(F.explode(term_hashes(F.col("text"))).alias("term"), key_of().alias("key"))
+    return stored(rows.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.min("key").alias("low"), F.max("key").alias("high")), "frequencies")
 
 
-def lexicon_literal(words: list[int]) -> Column:
-    """The bits as one constant array (folded before the job starts)."""
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+def key_of(id: str = "id", tie: str = "tie") -> Column:
+    return F.xxhash64(id, tie)
 
 
-def subset_hashes(rows: DataFrame, text: str, lexicon: Column, name: str) -> DataFrame:
-    """Add ``name``: hash of all kept terms, then one per replicate (null: no term)."""
-    mask = (1 << CLASS_BITS) - 1
+def limits(n: int, band: tuple[float, float] = BAND) -> tuple[float, float]:
+    """Smallest and largest document frequency inside the band, of ``n`` documents."""
+    n = max(2, n)
+    return n ** (1 - band[1]), n ** (1 - band[0])
 
-    def inside(h: Column) -> Column:
-        word = F.get(lexicon, F.shiftright(h.bitwiseAND(F.lit(mask)), 6).cast("int"))
-        return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+def rare_terms(base: DataFrame, counts: DataFrame, low: float) -> DataFrame:
+    """(key, rare): per document its terms of a frequency under ``low``."""
+    few = counts.where(F.col("df") < low)
+    if math.ceil(low) - 1 <= 2:
+        rows = few.select("term", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
+    else:
+        rows = base.select(F.explode(term_hashes(F.col("text"))).alias("term"), key_of().alias("key")).join(
+            few.select("term"), "term").distinct()
+    return rows.groupBy("key").agg(F.collect_list("term").alias("rare"))
+
+
+def common_terms(counts: DataFrame, high: float) -> list[int]:
+    return [r["term"] for r in counts.where(F.col("df") > high).select("term").collect()]
+
+
+def subset_hashes(rows: DataFrame, text: str, common: list[int], outside: Column, name: str) -> DataFrame:
+    """Add ``name``: hash of all kept terms, then one per replicate (null: no term).
+
+    Kept are the terms that are neither in ``common`` nor in the row's array ``outside``.
+    """
 
     def drawn(replicate: int):
         """A term's uniform 63-bit draw: it is in the k-th subset of the chain if its first k bits are 0."""
@@ -87,7 +96,9 @@ def subset_hashes(rows: DataFrame, text: str, lexicon: Column, name: str) -> Dat
         return F.hash(F.sort_array(F.filter(f"_d{replicate}", lambda v: (v <= bound) & bound.isNotNull())))
 
     out = rows.withColumn("_all", term_hashes(F.col(text)))
-    out = out.withColumn("_kept", F.filter("_all", inside))
+    out = out.withColumn("_kept", F.array_except("_all", outside))
+    if common:  # a constant set, looked up by hash
+        out = out.withColumn("_kept", F.expr(f"filter(_kept, h -> h not in ({', '.join(f'{h}L' for h in common)}))"))
     out = out.withColumn("_terms", F.sort_array(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_all"))))
     out = out.drop("_all", "_kept")
     numbers = range(1, REPLICATES + 1)
@@ -129,21 +140,46 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "id", "tie", "third", F.col("next.id").alias("next_id"), F.col("next.tie").alias("next_tie")), "next")
 
 
+def cut_terms(base: DataFrame, heads: DataFrame, counts: DataFrame, low: float) -> DataFrame:
+    """(key, cut): the words at both ends of the inserted head (all others are of one text), if their frequency is under ``low``."""
+    length = F.length("text")
+    ends = base.select("id", "tie", F.element_at(F.split(
+        F.substr("text", F.lit(1), (length - F.floor(length / 3)).cast("int")), SPACES), -1).alias("left"))
+    pieces = F.split("head", SPACES)
+    heads = heads.select("id", "tie", F.element_at(pieces, 1).alias("right"), F.element_at(pieces, -1).alias("last"))
+    both = ends.dropDuplicates(["id", "tie"]).join(heads, ["id", "tie"])
+    words = F.array(F.concat("left", "right"), F.col("last"))
+    rows = both.select(key_of().alias("key"), F.explode(F.transform(words, lambda w: F.xxhash64(F.lower(w)))).alias("term"))
+    unknown = rows.join(counts.where(F.col("df") >= low).select("term"), "term", "left_anti")
+    return unknown.groupBy("key").agg(F.collect_list("term").alias("cut"))
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """Per row: fingerprints of the text and of its edited form, and their likenesses."""
     base, following = with_next(docs)
-    lexicon = lexicon_literal(band_classes(base))
+    counts = frequencies(base)
+    low, high = limits(base.count())
+    common = common_terms(counts, high)
     there = following.select(
         F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), "third",
         F.col("next_id").alias("id"), F.col("next_tie").alias("tie"))
-    heads = there.join(base, ["id", "tie"]).select(
+    heads = stored(there.join(base, ["id", "tie"]).select(
         F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), "third",
         F.substr("text", F.lit(1), F.col("third")).alias("head")
-    ).dropDuplicates(["id", "tie"])
+    ).dropDuplicates(["id", "tie"]), "heads")
+    nothing = F.array().cast("array<bigint>")
+    rare = stored(rare_terms(base, counts, low), "rare")
+    sides = following.select("id", "tie", key_of().alias("key"), key_of("next_id", "next_tie").alias("next_key"))
+    sides = sides.join(rare, "key", "left").join(
+        rare.select(F.col("key").alias("next_key"), F.col("rare").alias("next_rare")), "next_key", "left").join(
+        cut_terms(base, heads, counts, low), "key", "left")
+    sides = sides.select("id", "tie", *[F.coalesce(c, nothing).alias(c) for c in ("rare", "next_rare", "cut")])
     edited = base.join(heads, ["id", "tie"]).withColumn("n_chars", F.length("text").cast("long"))
     edited = edited.withColumn(
         "edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.col("third")).cast("int")), F.col("head")))
-    prints = subset_hashes(subset_hashes(edited, "text", lexicon, "prints"), "edited", lexicon, "edited_prints")
+    edited = edited.drop("head").join(sides, ["id", "tie"])
+    prints = subset_hashes(edited, "text", common, F.col("rare"), "prints")
+    prints = subset_hashes(prints, "edited", common, F.concat("rare", "next_rare", "cut"), "edited_prints")
     done = stored(prints.select(
         "id", "tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "prints", "edited_prints"
     ), "prints")

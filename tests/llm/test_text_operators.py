@@ -230,6 +230,51 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compared(empty).count() == 0
 
 
+def test_fingerprint_band_counts_terms(spark):
+    """The band is that of terms: a word of one document changes nothing, whatever class of hashes it falls in."""
+    rng = random.Random(4)
+    base = [words(rng, 40, 60) for _ in range(30)]
+    known = sorted({w for b in base for w in b})
+    hashed = lambda frame: frame.withColumn("h", F.xxhash64("w"))
+    low = (F.col("h").bitwiseAND(F.lit((1 << 18) - 1))).alias("class")
+    classes = hashed(spark.createDataFrame([(w,) for w in known], "w string")).select(low)
+    fresh = hashed(spark.range(400_000).select(F.concat(F.lit("once"), "id").alias("w")))
+    twins = [r.w for r in fresh.select("w", low).join(F.broadcast(classes), "class", "left_semi").select("w").collect()]
+    assert len(twins) >= 20
+    texts = [" ".join(b) for b in base] + [" ".join(base[k] + [w]) for k, w in enumerate(twins[:20])]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "Own words w1 w2"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in fingerprints.compared(docs).collect()}
+    assert all(got[k].fingerprint == got[30 + k].fingerprint for k in range(20))
+    # every fingerprint against one whose terms were kept by a count in plain Python
+    order = sorted(set(rows), key=lambda x: -1 if x[0] is None else x[0], reverse=True)
+    edited = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, k = t or "", len(t or "") // 3
+        edited.append((i, t, t[:len(t) - k] + (after or "")[:k]))
+    df = Counter(w for _, t in rows for w in set((t or "").lower().split()))
+    least, most = fingerprints.limits(len(rows))
+    seen = {w for _, a, b in edited for w in (a + " " + b).lower().split()}
+    out = [(w,) for w in seen if not least <= df[w] <= most]
+    outside = F.lit([r.h for r in hashed(spark.createDataFrame(out, "w string")).collect()])
+    frame = spark.createDataFrame(edited, "doc_id long, a string, b string")
+    for text, name in (("a", "fingerprint"), ("b", "edited_fingerprint")):
+        want = fingerprints.subset_hashes(frame, text, [], outside, "p").select("doc_id", fingerprints.printed("p").alias("p"))
+        assert {r.doc_id: r.p for r in want.collect()} == {i: getattr(r, name) for i, r in got.items()}
+
+
+def test_fingerprint_rare_terms_by_join(spark):
+    """Beyond two documents the rare terms come by a join, with the same result as counted keys give."""
+    rows = [(i, " ".join(["all", f"a{i // 2}", f"b{i}", f"c{i // 3}"])) for i in range(12)]
+    base = spark.createDataFrame(rows, "id long, text string").withColumn("tie", F.xxhash64("text"))
+    counts = fingerprints.frequencies(base)
+    name = {r.h: r.w for r in spark.createDataFrame([(w,) for w in {w for _, t in rows for w in t.split()}], "w string")
+            .select("w", F.xxhash64("w").alias("h")).collect()}
+    for low, first in ((2.5, "ab"), (3.5, "abc")):
+        got = {frozenset(name[h] for h in r.rare) for r in fingerprints.rare_terms(base, counts, low).collect()}
+        assert got == {frozenset(w for w in t.split() if w[0] in first and w != "all") for _, t in rows}
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, text in rows:
