@@ -89,12 +89,12 @@ def per_group(
     return salted.join(spread, same, "inner").drop("_salt", "_s", *[f"_k_{k}" for k in key])
 
 
-def keep_decided(docs: DataFrame, decisions: DataFrame, token: Column) -> DataFrame:
+def keep_decided(docs: DataFrame, decisions: DataFrame, token: Column, every: str | None = None) -> DataFrame:
     """Rows of ``docs`` that ``decisions`` (doc_id, token, kept) keeps, columns as they were.
 
     ``token`` computes the decisions' ``token`` from a row of ``docs`` (say, a
     digest of its text). Ids of which every row goes are removed by an anti-join. Ids with
-    rows of both kinds (repeated ids) keep one row per kept token.
+    rows of both kinds (repeated ids) keep one row per kept token, and all rows of the token ``every``.
     """
     by_id = decisions.groupBy("doc_id").agg(
         F.sum(F.col("kept").cast("long")).alias("_kept"), F.count(F.lit(1)).alias("_all")
@@ -105,7 +105,11 @@ def keep_decided(docs: DataFrame, decisions: DataFrame, token: Column) -> DataFr
     mixed = by_id.where("_kept > 0").select("_id")
     if mixed.isEmpty():
         return rest
-    ours = join_checked(docs, mixed, same, "left_semi").withColumn("_token", token).dropDuplicates(["doc_id", "_token"])
+    ours = join_checked(docs, mixed, same, "left_semi").withColumn("_token", token)
     good = decisions.where("kept").select(F.col("doc_id").alias("_id"), F.col("token").alias("_t")).distinct()
     both = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_token") == F.col("_t"))
-    return rest.unionByName(ours.join(good, both, "left_semi").drop("_token"))
+    ours = ours.join(good, both, "left_semi")
+    if every is None:
+        return rest.unionByName(ours.dropDuplicates(["doc_id", "_token"]).drop("_token"))
+    one = ours.where(F.col("_token") != every).dropDuplicates(["doc_id", "_token"])
+    return rest.unionByName(one.union(ours.where(F.col("_token") == every)).drop("_token"))

@@ -318,7 +318,8 @@ def links_of(docs: DataFrame, rows: DataFrame, sets: DataFrame, size: int, perce
 
 
 def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: row, doc_id, n_shingles, node and component_id (smallest id reachable by links)."""
+    """Per document: row, doc_id, n_shingles, node, label (smallest node of its component; null for empty sets) and
+    component_id (smallest id reachable by links)."""
     rows = nodes(docs, size, percent)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     parts = salted.where("n > 0").groupBy("node", "_salt").agg(
@@ -330,24 +331,28 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = sets.select("node", "id", "salts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = known.groupBy("label").agg(F.min("id").alias("component_id"))
     spread = known.join(ids, "label").select(
-        F.col("node").alias("_node"), "component_id", F.explode("salts").alias("_s"))
+        F.col("node").alias("_node"), "label", "component_id", F.explode("salts").alias("_s"))
     same = (F.col("node") == F.col("_node")) & (F.col("_salt") == F.col("_s")) & (F.col("n") > 0)
     return salted.join(spread, same, "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), "node",
+        "row", "doc_id", F.col("n").alias("n_shingles"), "node", "label",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row per component (that of the smallest id), columns unchanged; empty sets all stay."""
+    """``docs`` with one row per component (one of the smallest id), columns unchanged; empty sets all stay.
+
+    Components are told apart by their label: all ids of one may be null.
+    """
     found = stored(joined(docs, size, percent), "joined")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(
+    first = found.where("n_shingles > 0").groupBy("label").agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("_row"))
     lone = found.where("n_shingles = 0").select("doc_id", F.lit("").alias("token"), F.lit(True).alias("kept"))
     chosen = found.where("n_shingles > 0").join(
         first.select(F.col("_row")), F.col("row") == F.col("_row"), "left"
     ).select("doc_id", F.col("node").cast("string").alias("token"), F.col("_row").isNotNull().alias("kept"))
-    return keep_decided(docs, lone.union(chosen), node_token(size)(text_of("text")))
+    # empty sets have the token '': all of them stay, also those that share an id
+    return keep_decided(docs, lone.union(chosen), node_token(size)(text_of("text")), every="")
 
 
 def node_token(size: int):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from .common import WORD, join_checked, keep_decided, stored, text_of
+from .common import WORD, join_checked, stored, text_of
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 12
@@ -110,6 +110,28 @@ def mixed(
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``, columns unchanged."""
-    decisions = stored(mixed(docs, **options).select("doc_id", F.lit("").alias("token"), F.col("sampled").alias("kept")), "mix")
-    return keep_decided(docs, decisions, F.lit(""))
+    """The sampled rows of ``docs``, columns unchanged.
+
+    A cell and an id decide, so rows of one id and cell go or stay together; rows of one id in other cells on their own.
+    """
+    rows = mixed(docs, **options).select("doc_id", _cell(*DIMS).alias("cell"), F.col("sampled").alias("kept"))
+    by_cell = stored(rows.groupBy("doc_id", "cell").agg(F.max("kept").alias("kept")), "mix")
+    gone = by_cell.groupBy("doc_id").agg(
+        F.sum(F.col("kept").cast("long")).alias("_kept"), F.count(F.lit(1)).alias("_all")).where("_kept < _all")
+    gone = stored(gone.select(F.col("doc_id").alias("_id"), "_kept"), "dropped")
+    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    rest = join_checked(docs, gone.select("_id"), same, "left_anti")
+    split = gone.where("_kept > 0").select("_id")
+    if split.isEmpty():
+        return rest
+    text = text_of("text")
+    tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
+    source, lang = (F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for c in ("source", "lang"))
+    ours = join_checked(docs, split, same, "left_semi").withColumn("_cell", _cell(source, lang, topic_of(text, tokens)))
+    good = by_cell.where("kept").select(F.col("doc_id").alias("_id"), F.col("cell").alias("_c"))
+    both = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_cell") == F.col("_c"))
+    return rest.unionByName(join_checked(ours, good, both, "left_semi").drop("_cell"))
+
+
+def _cell(*parts: Column | str) -> Column:
+    return F.to_json(F.struct(*[(F.col(p) if isinstance(p, str) else p).alias(d) for p, d in zip(parts, DIMS)]))

@@ -365,6 +365,34 @@ def test_mixing(docs, empty, spark):
     assert abs(share("source", "a") - 0.5) < 1e-3 and abs(share("lang", "de") - 0.3) < 1e-3
 
 
+def test_near_copies_without_ids(spark):
+    """Components whose ids are all null stay apart; one row of each is kept, and every empty set."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(words(rng, 80, 10**6)) for _ in range(4))
+    rows = [(None, a), (None, a + " tail"), (None, b), (None, c), (7, c), (7, d), (7, d), (7, ""), (7, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in jaccard_join.one_per_component(docs).collect()]
+    assert sum(1 for _, t in kept if t in (a, a + " tail")) == 1
+    assert Counter(x for x in kept if x[1] in (b, c, d)) == Counter([(None, b), (7, c), (7, d)])
+    assert Counter(x for x in kept if not x[1]) == Counter(x for x in rows if not x[1])
+
+
+def test_sample_of_repeated_and_null_ids(spark):
+    """Rows of one id in different cells are sampled as their own cell says, all of them."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        for source, n in (("big", 200), ("small", 40)):
+            rows += [(None if i % 10 == 0 else i, f"n{i} " + " ".join(words(rng, n)), source)] * (2 if i % 3 == 0 else 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).repartition(3)
+    goal = {"targets": {"source": {"big": 0.3, "small": 0.7}}}
+    sampled = Counter((r.doc_id, r.source) for r in mixing.mixed(docs, **goal).where("sampled").collect())
+    ids = lambda s: {i for i, x in sampled if x == s}
+    assert ids("big") != ids("small") and ids("big") | ids("small") < {r[0] for r in rows}
+    kept = Counter(tuple(r) for r in mixing.sample(docs, **goal).select("doc_id", "text", "source").collect())
+    assert kept == Counter(r for r in rows if (r[0], r[2]) in sampled)
+
+
 def test_passages(docs, empty, texts):
     got = passages.repeated_passages(docs).collect()
     rows = [(k, r.doc_id, split(r.text)) for k, r in enumerate(docs.select("doc_id", "text").collect())]
