@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, passages, piece_counts, quality, sharding, warc
+from . import (
+    bpe, divergence, exact_dedup, fingerprints, jaccard_join, mixing, passages, piece_counts, quality, sharding, simhash,
+    warc, whitening,
+)
 from .common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +177,55 @@ def op10_shards(spark, sf_dir):
         F.crc32(text_of(text).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot",
         "grown_shard",
     )
+
+
+@query("op11_source_divergence", """
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as found
+  from documents),
+uses as (select r, lang, source, unnest(found) as term from docs),
+kept as (select lang, term from uses group by lang, term having count(distinct r) >= 3),
+counts as (select lang, source, term, count(*) as c from uses join kept using (lang, term) group by lang, source, term),
+groups as (
+  select g.lang, g.source, coalesce(n, 0) as n, coalesce(v, 0) as v
+  from (select distinct lang, source from docs) g
+  left join (select lang, source, sum(c) as n from counts group by lang, source) using (lang, source)
+  left join (select lang, count(*) as v from kept group by lang) using (lang)),
+cells as (
+  select g.lang, g.source, k.term, coalesce(c, 0) as c,
+    cast(1 + cast(1000000000 as hugeint) * (coalesce(c, 0) + 1) // (n + v) as hugeint) as p
+  from groups g join kept k using (lang) left join counts using (lang, source, term)),
+whole as (
+  select lang, term, cast(1 + cast(1000000000 as hugeint) * (sum(c) + 1) // (max(m) + max(v)) as hugeint) as q
+  from counts join (select lang, sum(n) as m, max(v) as v from groups group by lang) using (lang) group by lang, term),
+pairs as (
+  select g.lang, g.source, h.source as item, coalesce(value, 0) as value
+  from groups g join groups h on g.lang = h.lang and g.source <> h.source
+  left join (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by a.lang, a.source, b.source) s on s.lang = g.lang and s.source = g.source and s.item = h.source),
+terms as (
+  select lang, source, term as item, (p - q) * (p - q) // q as value
+  from cells join whole using (lang, term) where c > 0 and p > q),
+parts as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', item, value from terms),
+ranks as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranks where part = 'pair' or rank <= 200""")
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_simhash")
+def op13_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.printed("fp").alias("fingerprint"), "component_id")
