@@ -56,24 +56,12 @@ def warp_annotations(events: DataFrame, clips: DataFrame, key: str = CLIP) -> Da
     ).drop("clip_start", "factor")
 
 
-# --- waveforms -------------------------------------------------------------
+# --- waveforms (the arithmetic is ``waves.mix`` and ``waves.echo``) ----------
 
 def mix_weights(pairs: DataFrame, low: float = 0.3, high: float = 0.7, seed: str = "mix", key: str = CLIP) -> DataFrame:
     return pairs.withColumn("weight", uniform(seed, F.col(key), low, high))
 
 
-def mix_samples(samples: DataFrame, pairs: DataFrame, partner_samples: DataFrame | None = None, key: str = CLIP) -> DataFrame:
-    """weight·own + (1-weight)·partner; the partner is cut or zero-padded to the own length.
-
-    Partners come from the same table unless ``partner_samples`` is given.
-    """
-    own = samples.join(pairs.select(key, "partner_id", "weight"), key)
-    source = samples if partner_samples is None else partner_samples
-    other = source.select(F.col(key).alias("partner_id"), "idx", F.col("x").alias("_y"))
-    mixed = F.col("weight") * F.col("x") + (1 - F.col("weight")) * F.coalesce("_y", F.lit(0.0))
-    return own.join(other, ["partner_id", "idx"], "left").select(key, "idx", mixed.alias("x"))
-
-
 def echo_settings(clips: DataFrame, samplerate: int, max_delay: float = 0.005, low: float = 0.0, high: float = 1.0, seed: str = "echo", key: str = CLIP) -> DataFrame:
     return clips.select(
         key, integer(f"{seed}-delay", F.col(key), 0, int(max_delay * samplerate)).alias("delay"),
@@ -81,18 +69,6 @@ def echo_settings(clips: DataFrame, samplerate: int, max_delay: float = 0.005, l
     )
 
 
-def add_echo(samples: DataFrame, settings: DataFrame, key: str = CLIP) -> DataFrame:
-    """weight·x[i] + (1-weight)·x[i-delay], silence before the start.
-
-    A shifted equi-join on (clip, idx), so a long recording is not sorted in
-    one task.
-    """
-    rows = samples.join(settings.select(key, "delay", "weight"), key)
-    late = rows.select(key, (F.col("idx") + F.col("delay")).alias("idx"), F.col("x").alias("_y"))
-    mixed = F.col("weight") * F.col("x") + (1 - F.col("weight")) * F.coalesce("_y", F.lit(0.0))
-    return rows.join(late, [key, "idx"], "left").select(key, "idx", mixed.alias("x"))
-
-
 # --- grids -----------------------------------------------------------------
 
 def scale_volume(cells: DataFrame, low: float = 0.0, high: float = 2.0, seed: str = "volume", key: str = CLIP) -> DataFrame:

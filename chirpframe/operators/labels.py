@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,39 +39,85 @@ def event_cells(
     )
 
 
-def heatmaps(cells: DataFrame, height: int, width: int, sigma: float = 2.0, key: str = "clip_id") -> DataFrame:
+def lower_envelope(squares: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """min over i of ``squares[i] + (row - at[i])^2`` for every column of ``squares`` and every row.
+
+    The lower envelope of parabolas, for all columns at once: one pass over the
+    (ascending) places ``at`` builds it, one over the (ascending) ``rows`` reads it.
+    """
+    count, width = squares.shape
+    every = np.arange(width)
+    owner = np.zeros((count, width), np.int64)  # parabolas of the envelope, from the left
+    begin = np.full((count + 1, width), np.inf)  # where each of them starts to be the lowest
+    begin[0] = -np.inf
+    top = np.zeros(width, np.int64)
+    for i in range(1, count):
+        open_ = np.ones(width, bool)
+        cross = np.empty(width)
+        while True:
+            last = owner[top, every]
+            meet = (squares[i] + at[i] ** 2 - squares[last, every] - at[last] ** 2) / (2.0 * (at[i] - at[last]))
+            cross[open_] = meet[open_]
+            open_ &= meet <= begin[top, every]
+            if not open_.any():
+                break
+            top[open_] -= 1
+        top += 1
+        owner[top, every], begin[top, every], begin[top + 1, every] = i, cross, np.inf
+    out = np.empty((len(rows), width))
+    here = np.zeros(width, np.int64)
+    for k, row in enumerate(rows):
+        while (ahead := begin[here + 1, every] < row).any():
+            here += ahead
+        lowest = owner[here, every]
+        out[k] = squares[lowest, every] + (row - at[lowest]) ** 2
+    return out
+
+
+def nearest_along(marks: np.ndarray) -> np.ndarray:
+    """Distance of every entry to the nearest true entry of its row (a large number if there is none)."""
+    width = marks.shape[1]
+    far = 4 * width + 4
+    place = np.arange(width)
+    before = np.maximum.accumulate(np.where(marks, place, -far), axis=1)
+    after = np.minimum.accumulate(np.where(marks, place, width + far)[:, ::-1], axis=1)[:, ::-1]
+    return np.minimum(place - before, after - place)
+
+
+def heatmaps(
+    cells: DataFrame, height: int, width: int, sigma: float = 2.0, key: str = "clip_id", tile: int = 256
+) -> DataFrame:
     """Non-zero cells (clip, layer, f, t, value) of the detection and class heatmaps.
 
-    The maximum of Gaussians is the Gaussian of the nearest event, found in two
-    passes. Along time, every event row keeps its distance to the nearest event
-    per column. Then one column (at most ``height`` entries) takes the minimum
-    over its event rows for each cell, without another shuffle. Cells whose
+    The maximum of Gaussians is the Gaussian of the nearest event: an exact distance
+    transform on time tiles, to which the events within reach are copied. Along
+    time, every row with events has its distance to the nearest one; along frequency the lower
+    envelope of parabolas takes O(height + events) steps a column. Cells whose
     value is 0 in single precision are not emitted; all others are exact.
     """
     reach = int(math.ceil(REACH_SIGMAS * sigma))
     layers = F.array_compact(F.array(F.lit(DETECTION), F.col("class_name")))
-    spots = cells.select(key, F.explode(layers).alias("layer"), "f0", "t0").distinct()
-    along = spread(
-        spots, "t", F.greatest(F.col("t0") - reach, F.lit(0)), F.least(F.col("t0") + reach, F.lit(width - 1))
-    ).groupBy(key, "layer", "t", "f0").agg(F.min(F.abs(F.col("t") - F.col("t0"))).alias("_dt"))
-    column = along.groupBy(key, "layer", "t").agg(
-        F.collect_list(F.struct("f0", (F.col("_dt") * F.col("_dt")).alias("d"))).alias("_e"),
-        F.min("f0").alias("_lo"), F.max("f0").alias("_hi"),
-    )
+    spots = cells.select(key, F.explode(layers).alias("layer"), F.col("f0").cast("long"), F.col("t0").cast("long")).distinct()
+    seen = spread(spots, "_tile", F.floor(F.greatest(F.col("t0") - reach, F.lit(0)) / tile),
+                  F.floor(F.least(F.col("t0") + reach, F.lit(width - 1)) / tile))
 
-    def nearest(f):
-        return F.aggregate(
-            "_e", F.lit(reach * reach + 1),
-            lambda best, e: F.least(best, e["d"] + (f - e["f0"]) * (f - e["f0"])),
-        )
-
-    rows = F.sequence(F.greatest(F.col("_lo") - reach, F.lit(0)), F.least(F.col("_hi") + reach, F.lit(height - 1)))
-    found = column.select(
-        key, "layer", "t", F.explode(F.transform(rows, lambda f: F.struct(f.alias("f"), nearest(f).alias("d")))).alias("_c")
-    ).where(F.col("_c.d") <= reach * reach)
-    return found.select(
-        key, "layer", F.col("_c.f").alias("f"), "t", F.exp(-F.col("_c.d") / F.lit(2.0 * sigma * sigma)).alias("value")
-    )
+    def paint(events: pd.DataFrame) -> pd.DataFrame:
+        first = int(events["_tile"].iloc[0]) * tile
+        last = min(first + tile, width)
+        at, row = np.unique(events["f0"].to_numpy(), return_inverse=True)
+        marks = np.zeros((len(at), last - first + 2 * reach), bool)  # the tile and the border on both sides
+        marks[row, events["t0"].to_numpy() - first + reach] = True
+        along = nearest_along(marks)[:, reach:reach + last - first].astype(float)
+        rows = np.arange(max(0, at[0] - reach), min(height - 1, at[-1] + reach) + 1)
+        squares = lower_envelope(along * along, at, rows)
+        f, t = np.nonzero(squares <= reach * reach)
+        return pd.DataFrame({
+            key: events[key].iloc[0], "layer": events["layer"].iloc[0], "f": rows[f], "t": t + first,
+            "value": np.exp(-squares[f, t] / (2.0 * sigma * sigma))})
+
+    kind = cells.schema[key].dataType.simpleString()
+    return seen.groupBy(key, "layer", "_tile").applyInPandas(
+        paint, f"`{key}` {kind}, layer string, f int, t int, value double")
 
 
 def size_maps(cells: DataFrame, key: str = "clip_id", order: str = "ann_id", dimensions=("width", "height")) -> DataFrame:

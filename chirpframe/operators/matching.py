@@ -13,14 +13,17 @@ is_ground_truth (and class columns from the tasks below).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as class_scores
 from ..functions.geometry import TimeAffinity, point_in_time, scaled_box_iou
+from ..plans.clusters import interval_clusters
 from ..plans.intervals import Axis, range_join
 from ..plans.session import cut_lineage
 from ..plans.tiles import core_only, with_halo
@@ -104,6 +107,7 @@ def candidate_pairs(
     score: str = "score",
     slot: float = 0.1,
     band: float = 20000.0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Detection–ground-truth pairs above the affinity threshold (which must be ≥ 0).
 
@@ -113,7 +117,7 @@ def candidate_pairs(
         raise ValueError("affinity threshold must be non-negative")
     left = dets.select(*keys, "det_id", score, *_box_columns(dets))
     right = gts.select(
-        *keys, "ann_id", *[F.col(c).alias(f"g_{c}") for c in _box_columns(gts)]
+        *keys, "ann_id", *keep, *[F.col(c).alias(f"g_{c}") for c in _box_columns(gts)]
     )
     gt_row = lambda n: F.col(f"g_{n}")
     axes = [Axis(affinity.span(F.col, "det"), affinity.span(gt_row, "gt"), slot)]
@@ -123,7 +127,7 @@ def candidate_pairs(
     return (
         pairs.withColumn("affinity", affinity.column(F.col, gt_row))
         .where(F.col("affinity") > F.lit(float(threshold)))
-        .select(*keys, "det_id", "ann_id", "affinity", score)
+        .select(*keys, "det_id", "ann_id", "affinity", score, *keep)
     )
 
 
@@ -156,37 +160,137 @@ def strict_pairs(
     return _winner(best, keys, score)
 
 
-def serial_choice(
-    pairs: DataFrame, proposer: Sequence[str], receiver: Sequence[str],
-    preference: Column, priority: Column,
-) -> DataFrame:
-    """Proposers choose in priority order, each its best free receiver.
+#: Rows of a cluster that one task scans; clusters beyond it are settled in rounds over all tasks.
+SCAN_ROWS = 10_000_000
+
+
+def box_id(df: DataFrame) -> Column:
+    """One number for all equal boxes."""
+    return F.xxhash64(*_box_columns(df))
+
 
-    Found by rounds. A pair whose receiver is the proposer's best and whose
+def scan_choices(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The sequential rule, cluster by cluster, on rows sorted by (keys, cluster, kind, order, proposer, receiver).
+
+    Kind 0 lists the receivers of a box, kind 1 the boxes a box of proposers can take, best
+    first, kind 2 the proposers in the order of their turn. Kept are only the lists of the present cluster.
+    """
+    group, now = [*keys, "cluster"], None
+    free: dict[int, deque] = {}  # box of receivers -> ids, smallest first
+    wishes: dict[int, deque] = {}  # box of proposers -> (-affinity, box of receivers), best first
+    for batch in batches:
+        out = []
+        columns = [batch[c].tolist() for c in ("kind", "order", "proposer_box", "receiver_box", "proposer", "receiver")]
+        for place, kind, order, p_box, r_box, who, what in zip(zip(*(batch[c].tolist() for c in group)), *columns):
+            if place != now:
+                now, free, wishes = place, {}, {}
+            if kind == 0:
+                free.setdefault(r_box, deque()).append(what)
+            elif kind == 1:
+                wishes.setdefault(p_box, deque()).append((order, r_box))
+            else:
+                wish, best = wishes[p_box], None
+                while wish and not free[wish[0][1]]:
+                    wish.popleft()  # all equal proposers have the same wishes
+                for cost, box in wish:
+                    if best is not None and cost > best[0]:
+                        break
+                    if free[box] and (best is None or free[box][0] < free[best[1]][0]):
+                        best = cost, box
+                if best is not None:
+                    out.append((*place[:-1], who, free[best[1]].popleft(), -best[0]))
+        yield pd.DataFrame(out, columns=[*keys, "proposer", "receiver", "affinity"])
+
+
+def in_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same choice over pairs (keys, turn, proposer, receiver, affinity), in rounds over all tasks.
+
+    A pair whose receiver is the proposer's best and whose
     proposer is the first in line of all that could still take the receiver is
     settled: nobody before it in the scan wants that receiver. All such pairs of
     a round are settled at once, and every pair that shares a side with them goes;
-    only what is still contested is written again. ``preference`` and
-    ``priority`` sort ascending and must be total. The first in line of what is
+    only what is still contested is written again. The first in line of what is
     left always settles, so the rounds end; their number is the longest chain of
     proposers waiting for one another.
     """
-    cols = pairs.columns
-    left = cut_lineage(pairs.withColumns({"_want": preference, "_rank": priority}))
+    cols, proposer, receiver = pairs.columns, [*keys, "proposer"], [*keys, "receiver"]
+    left = cut_lineage(pairs.withColumns({
+        "_want": F.struct(-F.col("affinity"), F.col("receiver")), "_rank": F.struct("turn", "proposer")}))
     settled = []
     while not left.isEmpty():
         best = left.groupBy(*proposer).agg(F.min("_want").alias("_best"))
         first = left.groupBy(*receiver).agg(F.min("_rank").alias("_first"))
-        marked = left.join(best, list(proposer)).join(first, list(receiver))
+        marked = left.join(best, proposer).join(first, receiver)
         done = cut_lineage(
             marked.where((F.col("_want") == F.col("_best")) & (F.col("_rank") == F.col("_first"))).select(*cols)
         )
         settled.append(done)
         left = cut_lineage(
-            left.join(done.select(*proposer), list(proposer), "left_anti").join(
-                done.select(*receiver), list(receiver), "left_anti")
+            left.join(done.select(*proposer), proposer, "left_anti").join(done.select(*receiver), receiver, "left_anti")
         )
-    return reduce(DataFrame.union, settled) if settled else pairs.limit(0)
+    found = reduce(DataFrame.union, settled) if settled else pairs.limit(0)
+    return found.select(*keys, "proposer", "receiver", "affinity")
+
+
+def serial_choice(
+    boxes: DataFrame, proposers: DataFrame, receivers: DataFrame, keys: Sequence[str] = ("clip_id",),
+) -> DataFrame:
+    """Proposers choose in turn, each its best free receiver: (keys, proposer, receiver, affinity).
+
+    ``boxes`` (keys, proposer_box, receiver_box, affinity, low, high) says which equal boxes
+    can meet; ``proposers`` is (keys, proposer_box, proposer, turn), ``receivers`` (keys, receiver_box,
+    receiver). Ties go to the smaller id. Equal boxes are never paired out.
+
+    Choices only depend on each other inside a component of the graph of ``boxes``. The
+    components (clusters of the spans [low, high] between the places of both sides) take a
+    fixed number of jobs, and each is settled by one scan in a task. Clusters over ``SCAN_ROWS`` rows, which
+    no task should hold, are settled in rounds, with the same result.
+    """
+    keys = list(keys)
+    linked = interval_clusters(boxes, keys, F.col("low"), F.col("high"))
+    linked = cut_lineage(linked.select(*keys, "cluster", "proposer_box", "receiver_box", "affinity"))
+    ours = proposers.join(linked.select(*keys, "proposer_box", "cluster").distinct(), [*keys, "proposer_box"])
+    theirs = receivers.join(linked.select(*keys, "receiver_box", "cluster").distinct(), [*keys, "receiver_box"])
+    fields = [*keys, "cluster", "kind", "order", "proposer_box", "receiver_box", "proposer", "receiver"]
+    zero = F.lit(0.0)
+    parts = [
+        theirs.withColumns({"kind": F.lit(0), "order": zero, "proposer_box": F.lit(0).cast("long")}),
+        linked.withColumns({"kind": F.lit(1), "order": -F.col("affinity")}),
+        ours.withColumns({"kind": F.lit(2), "order": F.col("turn").cast("double"), "receiver_box": F.lit(0).cast("long")}),
+    ]
+    kinds = {"proposer": proposers.schema["proposer"].dataType, "receiver": receivers.schema["receiver"].dataType}
+    # no nulls, which pandas would turn whole numbers into floats for
+    rows = reduce(DataFrame.union, [
+        part.withColumns({n: F.lit(0).cast(t) for n, t in kinds.items() if n not in part.columns}).select(*fields)
+        for part in parts])
+    rows = cut_lineage(rows)
+    large = cut_lineage(rows.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SCAN_ROWS))
+    none = large.isEmpty()
+    small = rows if none else rows.join(large, [*keys, "cluster"], "left_anti")
+    schema = ", ".join(f"`{k}` {linked.schema[k].dataType.simpleString()}" for k in keys) + "".join(
+        f", {n} {t.simpleString()}" for n, t in kinds.items()) + ", affinity double"
+    sort = [*keys, "cluster", "kind", "order", "proposer", "receiver"]
+    found = small.repartition(*keys, "cluster").sortWithinPartitions(*sort).mapInPandas(
+        lambda batches: scan_choices(batches, keys), schema)
+    if none:
+        return found
+    wide = linked.join(large.drop("_n"), [*keys, "cluster"]).drop("cluster")
+    pairs = wide.join(proposers, [*keys, "proposer_box"]).join(receivers, [*keys, "receiver_box"])
+    return found.union(in_rounds(pairs.select(*keys, "turn", "proposer", "receiver", "affinity"), keys))
+
+
+def box_pairs(
+    left: DataFrame, right: DataFrame, affinity, keys: Sequence[str], threshold: float, slot: float,
+) -> DataFrame:
+    """Which boxes of ``left`` (det_id side) and ``right`` (ann_id side) meet: (keys, det_box, ann_box, affinity, low, high)."""
+    ours = left.select(*keys, box_id(left).alias("det_id"), *_box_columns(left)).dropDuplicates([*keys, "det_id"])
+    theirs = right.select(*keys, box_id(right).alias("ann_id"), *_box_columns(right)).dropDuplicates([*keys, "ann_id"])
+    met = candidate_pairs(
+        ours.withColumn("score", F.col("start_time")), theirs.withColumn("_at", F.col("start_time")), affinity, keys,
+        threshold, "score", slot, keep=["_at"])
+    return met.select(
+        *keys, F.col("det_id").alias("det_box"), F.col("ann_id").alias("ann_box"), "affinity",
+        F.least("score", "_at").alias("low"), F.greatest("score", "_at").alias("high"))
 
 
 def free_choice_pairs(
@@ -194,13 +298,12 @@ def free_choice_pairs(
     threshold: float = 0.0, score: str = "score", slot: float = 0.1,
 ) -> DataFrame:
     """Non-strict matching: a detection falls back to its next best free ground truth."""
-    pairs = candidate_pairs(dets, gts, affinity, keys, threshold, score, slot)
-    chosen = serial_choice(
-        pairs, [*keys, "det_id"], [*keys, "ann_id"],
-        preference=F.struct(-F.col("affinity"), F.col("ann_id")),
-        priority=F.struct(-F.col(score), F.col("det_id")),
-    )
-    return chosen.select(*keys, "det_id", "ann_id", "affinity")
+    met = box_pairs(dets, gts, affinity, keys, threshold, slot)
+    found = serial_choice(
+        met.withColumnsRenamed({"det_box": "proposer_box", "ann_box": "receiver_box"}),
+        dets.select(*keys, box_id(dets).alias("proposer_box"), F.col("det_id").alias("proposer"), (-F.col(score)).alias("turn")),
+        gts.select(*keys, box_id(gts).alias("receiver_box"), F.col("ann_id").alias("receiver")), keys)
+    return found.withColumnsRenamed({"proposer": "det_id", "receiver": "ann_id"})
 
 
 def match_rows(
@@ -303,14 +406,12 @@ def assign_truth_classes(
         band = staticmethod(lambda row: (row("low_freq"), row("high_freq")))
         column = staticmethod(scaled_box_iou)
 
-    pairs = candidate_pairs(
-        dets.withColumn("score", F.lit(0.0)), gts, _Scaled, keys, threshold, "score", slot
-    )
+    met = box_pairs(dets, gts, _Scaled, keys, threshold, slot)
     chosen = serial_choice(
-        pairs, [*keys, "ann_id"], [*keys, "det_id"],
-        preference=F.struct(-F.col("affinity"), F.col("det_id")), priority=F.struct("ann_id"),
-    )
-    labels = chosen.select(*keys, "det_id", "ann_id").join(
+        met.withColumnsRenamed({"ann_box": "proposer_box", "det_box": "receiver_box"}),
+        gts.select(*keys, box_id(gts).alias("proposer_box"), F.col("ann_id").alias("proposer"), F.lit(0.0).alias("turn")),
+        dets.select(*keys, box_id(dets).alias("receiver_box"), F.col("det_id").alias("receiver")), keys)
+    labels = chosen.select(*keys, F.col("receiver").alias("det_id"), F.col("proposer").alias("ann_id")).join(
         gts.select(*keys, "ann_id", F.col("class_name").alias("_class")), [*keys, "ann_id"]
     ).drop("ann_id")
     return dets.join(labels, [*keys, "det_id"], "left").withColumn(

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import cut_lineage
+
+#: Rows up to which a table of one short row per group is broadcast (some 20 MB).
+SMALL_ROWS = 300_000
+
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Aggregate per key (partial sums first), then join the small result back.
@@ -18,6 +23,17 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(sums, list(keys))
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join wide rows with a table of one short row per key, without moving the wide rows if that can be.
+
+    The table is checkpointed and counted; up to ``SMALL_ROWS`` rows it is
+    broadcast, beyond that Spark chooses the join.
+    """
+    known = cut_lineage(stats)
+    small = known.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return df.join(F.broadcast(known) if small else known, list(keys), how)
+
+
 def global_stats(df: DataFrame, **stats: Column) -> DataFrame:
     """Attach one-row global aggregates to every row."""
     one = df.agg(*[c.alias(n) for n, c in stats.items()])

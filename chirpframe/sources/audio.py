@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.waves import Waves
+from ..plans.session import cut_lineage
+from .ranges import RANGE_BYTES, list_files, open_file, spread_rows
+
 CHUNKS = "recording_id string, chunk_idx bigint, samplerate int, samples array<float>"
 
 
 WAV_FILES = "*.[wW][aA][vV]"
 
 
-def audio_files(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> DataFrame:
-    """Files below ``path`` whose name matches ``pattern``."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).load(path)
-    )
-
-
 @dataclass(frozen=True)
 class WavFormat:
     """What the header of a WAV file says; ``data_start`` is the 0-based place of the first sample byte."""
@@ -46,28 +46,39 @@ class WavFormat:
 #: (format code, bits) → full scale. 8-bit samples are unsigned around 128.
 FULL_SCALE = {(1, 8): 2.0**7, (1, 16): 2.0**15, (1, 24): 2.0**23, (1, 32): 2.0**31, (3, 32): 1.0, (3, 64): 1.0}
 EXTENSIBLE = 0xFFFE
+#: Stands for a size that another chunk holds.
+NO_SIZE = 0xFFFFFFFF
+BLOCK = 1 << 20
 
 
-def parse_wav(content: bytes) -> WavFormat:
-    """Walk the RIFF chunks by id and size; ValueError names what is wrong.
+def parse_wav(file: BinaryIO, length: int) -> WavFormat:
+    """Walk the RIFF chunks by id and size, seeking from one to the next; ValueError names what is wrong.
 
     Chunks may come in any order and number before the samples. An extensible
-    format names its code in the first two bytes of its sub-format. A data chunk
-    that claims more than the file holds ends with the file.
+    format names its code in the first two bytes of its sub-format. Files over 4 GB (RF64) give the size
+    of their samples in a chunk of its own. A data chunk that claims more than the file holds ends with the file.
     """
-    if content[:4] not in (b"RIFF", b"RF64") or content[8:12] != b"WAVE":
+    file.seek(0)
+    top = file.read(12)
+    if top[:4] not in (b"RIFF", b"RF64") or top[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
-    at, kind, data = 12, None, None
-    while at + 8 <= len(content) and (kind is None or data is None):
-        tag, size = struct.unpack_from("<4sI", content, at)
+    at, kind, data, large = 12, None, None, None
+    while at + 8 <= length and (kind is None or data is None):
+        file.seek(at)
+        tag, size = struct.unpack("<4sI", file.read(8))
         body = at + 8
-        if tag == b"fmt " and size >= 16 and body + 16 <= len(content):
-            code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, body)
-            if code == EXTENSIBLE and size >= 26:
-                code = struct.unpack_from("<H", content, body + 24)[0]
+        if tag == b"ds64" and size >= 16:
+            large = struct.unpack("<QQ", file.read(16))[1]
+        elif tag == b"fmt " and size >= 16 and body + 16 <= length:
+            head = file.read(min(size, 40))
+            code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head)
+            if code == EXTENSIBLE and len(head) >= 26:
+                code = struct.unpack_from("<H", head, 24)[0]
             kind = (code, channels, rate, bits)
         elif tag == b"data":
-            data = (min(size, len(content) - body), body)
+            if size == NO_SIZE and large is not None:
+                size = large
+            data = (min(size, length - body), body)
         at = body + size + size % 2
     if kind is None:
         raise ValueError("no format chunk")
@@ -79,16 +90,14 @@ def parse_wav(content: bytes) -> WavFormat:
     return WavFormat(code, channels, rate, bits, *data)
 
 
-def first_channel(content: bytes, form: WavFormat, begin: int, end: int):
-    """float32 samples [begin, end) of channel 0."""
-    import numpy as np
-
-    raw = np.frombuffer(content, np.uint8, (end - begin) * form.frame, form.data_start + begin * form.frame)
-    raw = raw.reshape(end - begin, form.frame)[:, : form.bits // 8]
+def first_channel(raw: bytes, form: WavFormat) -> np.ndarray:
+    """float32 samples of channel 0 from the bytes of whole frames."""
+    raw = np.frombuffer(raw, np.uint8).reshape(-1, form.frame)
+    raw = raw[:, : form.bits // 8]
     if form.bits == 8:
         values = raw[:, 0].astype(np.float64) - 128
     elif form.bits == 24:
-        wide = np.zeros((end - begin, 4), np.uint8)
+        wide = np.zeros((len(raw), 4), np.uint8)
         wide[:, 1:] = raw
         values = wide.view("<i4")[:, 0] / 256.0
     else:
@@ -96,35 +105,38 @@ def first_channel(content: bytes, form: WavFormat, begin: int, end: int):
     return (values / FULL_SCALE[form.format_code, form.bits]).astype(np.float32)
 
 
-def _headers(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """One row per file: path, hash, header fields, and ``error`` for files that cannot be read."""
-    import hashlib
-
-    import pandas as pd
+def _headers(spark: SparkSession, path: str, pattern: str, hashes: bool = True) -> DataFrame:
+    """One row per file: path, hash, header fields, and ``error`` for files that cannot be read.
 
+    The header takes a few reads at the start; the hash reads the file once, block by block.
+    """
     names = ["format_code", "channels", "samplerate", "bits", "data_bytes", "data_start"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    form, error = parse_wav(content), None
-                except ValueError as wrong:
-                    form, error = None, str(wrong)
-                fields = [getattr(form, n) if form else -1 for n in names]
-                rows.append((name, hashlib.md5(content).hexdigest(), *fields, error))
+            for name, length in zip(batch["path"], batch["length"].tolist()):
+                with open_file(name) as file:
+                    try:
+                        form, error = parse_wav(file, length), None
+                    except ValueError as wrong:
+                        form, error = None, str(wrong)
+                    digest = hashlib.md5()
+                    file.seek(0)
+                    while hashes and (block := file.read(BLOCK)):
+                        digest.update(block)
+                rows.append((name, digest.hexdigest(), *[getattr(form, n) if form else -1 for n in names], error))
             yield pd.DataFrame(rows, columns=["path", "hash", *names, "error"])
 
     schema = "path string, hash string, " + ", ".join(
         f"{n} {'bigint' if n.startswith('data') else 'int'}" for n in names) + ", error string"
-    return audio_files(spark, path, pattern).select("path", "content").mapInPandas(run, schema)
+    return spread_rows(list_files(spark, path, pattern)).mapInPandas(run, schema)
 
 
 def catalogue(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> tuple[DataFrame, DataFrame]:
     """(recordings, unreadable files with their ``error``).
 
-    The bytes of a file are read where they lie and never shuffled. Whatever
+    Nothing but the header and the hash of a file leaves the task that reads it. Whatever
     ``sample_chunks`` cannot decode is in the second table.
     """
     rows = _headers(spark, path, pattern).dropDuplicates(["path"])
@@ -138,30 +150,45 @@ def catalogue(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> tuple
 
 
 def sample_chunks(
-    spark: SparkSession, path: str, chunk_seconds: float = 1.0, pattern: str = WAV_FILES
+    spark: SparkSession, path: str, chunk_seconds: float = 1.0, pattern: str = WAV_FILES, range_bytes: int = RANGE_BYTES
 ) -> DataFrame:
     """Channel 0 as float32 chunks: (recording_id = path, chunk_idx, samplerate, samples).
 
-    Files are the unit of reading; a chunk is the unit of everything after it, and is
-    decoded by itself. Files that do not decode give no rows; ``catalogue`` lists them.
+    The unit of reading is a run of chunks of about ``range_bytes``: a task seeks to it and reads it chunk by
+    chunk, so a recording of any length is read by many tasks. Files that do not decode give no rows; ``catalogue`` lists them.
     """
-    import pandas as pd
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    good = _headers(spark, path, pattern, hashes=False).where(F.col("error").isNull()).dropDuplicates(["path"])
+    frame = F.floor(F.col("channels") * F.col("bits") / 8).cast("long")
+    step = F.greatest(F.floor(F.col("samplerate") * F.lit(float(chunk_seconds))), F.lit(1)).cast("long")
+    sized = good.withColumns({"frame": frame, "step": step}).withColumn("n", F.floor(F.col("data_bytes") / F.col("frame")))
+    run_chunks = F.greatest(F.floor(F.lit(range_bytes) / (F.col("step") * F.col("frame"))), F.lit(1)).cast("long")
+    chunks = F.ceil(F.col("n") / F.col("step"))
+    runs = sized.withColumn("run", run_chunks).where("n > 0").withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1, F.col("run")))).withColumn(
+        "last", F.least(F.col("first") + F.col("run"), chunks))
+    fields = ["path", "format_code", "channels", "samplerate", "bits", "data_bytes", "data_start", "step", "first", "last"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    form = parse_wav(content)
-                except ValueError:
-                    continue
-                step = max(1, int(form.samplerate * chunk_seconds))
-                for number, begin in enumerate(range(0, form.n_samples, step)):
-                    samples = first_channel(content, form, begin, min(begin + step, form.n_samples))
-                    yield pd.DataFrame({
-                        "recording_id": [name], "chunk_idx": [number], "samplerate": [form.samplerate], "samples": [samples],
-                    })
-
-    return audio_files(spark, path, pattern).select("path", "content").mapInPandas(run, CHUNKS)
+            for name, *numbers in batch.itertuples(index=False):
+                *head, step, first, last = map(int, numbers)
+                form = WavFormat(*head)
+                with open_file(name) as file:
+                    for k in range(first, last):
+                        file.seek(form.data_start + k * step * form.frame)
+                        count = min(step, form.n_samples - k * step)
+                        samples = first_channel(file.read(count * form.frame), form)
+                        yield pd.DataFrame({
+                            "recording_id": [name], "chunk_idx": [k], "samplerate": [form.samplerate], "samples": [samples]})
+
+    return spread_rows(cut_lineage(runs.select(*fields))).mapInPandas(read, CHUNKS)
+
+
+def as_waves(chunks: DataFrame, samplerate: int, chunk_seconds: float = 1.0) -> Waves:
+    """Chunks of recordings of one sample rate as ``Waves`` (key ``recording_id``)."""
+    rows = chunks.where(F.col("samplerate") == samplerate).select(
+        "recording_id", F.col("chunk_idx").alias("chunk"), F.col("samples").cast("array<double>").alias("samples"))
+    return Waves(rows, max(1, int(samplerate * chunk_seconds)), "recording_id")
 
 
 def chunk_samples(chunks: DataFrame, chunk_seconds: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from chirpframe.functions import coords
-from chirpframe.operators import augment, signal
+from chirpframe.operators import augment, signal, waves
 
 from .base import pair
 from .dataset_checks import duck_draw
@@ -23,46 +23,66 @@ def resized(n_in: str, n_out: str, axis: str) -> str:
 
 # --- waveform --------------------------------------------------------------
 
-@pair("sig01_center", "select clip_id, idx, round(x - avg(x) over (partition by clip_id), 6) as x from samples", "samples")
+SAMPLES = """samples as (select clip_id, chunk*64 + i as idx, cast(samples[i + 1] as double) as x from waves, (select unnest(range(64)) as i) r),
+    sz as (select clip_id, count(*) as n from samples group by clip_id)"""
+
+
+def chunked(i) -> waves.Waves:
+    return waves.Waves(i.waves.withColumn("samples", F.col("samples").cast("array<double>")), 64)
+
+
+def rows_of(found: waves.Waves):
+    return six(waves.to_samples(found), "x")
+
+
+@pair("sig01_center", f"with {SAMPLES} select clip_id, idx, round(x - avg(x) over (partition by clip_id), 6) as x from samples", "waves")
+def _(i):
+    return rows_of(waves.center(chunked(i)))
+
+
+@pair("sig01_center_rows", "select clip_id, idx, round(x - avg(x) over (partition by clip_id), 6) as x from samples", "samples")
 def _(i):
-    return six(signal.center(i.samples), "x").select("clip_id", "idx", "x")
+    """From one row per sample, cut into chunks first."""
+    return rows_of(waves.center(waves.from_samples(i.samples, 300)))
 
 
 @pair(
     "sig02_peak_normalize",
-    """select clip_id, idx, round(x / max(abs(x)) over (partition by clip_id), 6) as x from samples""",
-    "samples",
+    f"""with {SAMPLES} select clip_id, idx, round(x / max(abs(x)) over (partition by clip_id), 6) as x from samples""",
+    "waves",
 )
 def _(i):
-    return six(signal.peak_normalize(i.samples), "x").select("clip_id", "idx", "x")
+    return rows_of(waves.peak_normalize(chunked(i)))
 
 
 @pair(
     "sig03_fix_duration",
-    """select clip_id, idx, x from samples where clip_id%2 = 1 and idx < 1200
-    union all select clip_id, cast(k as bigint), 0 from (select distinct clip_id from samples where clip_id%2 = 1), (select unnest(range(1000, 1200)) as k) r
-    union all select clip_id, idx, x from samples where clip_id%2 = 0 and idx < 700""",
-    "samples",
+    f"""with {SAMPLES} select clip_id, idx, round(x, 6) as x from samples where clip_id%2 = 1 and idx < 1200
+    union all select clip_id, cast(k as bigint), 0 from sz, (select unnest(range(1200)) as k) r where clip_id%2 = 1 and k >= n
+    union all select clip_id, idx, round(x, 6) from samples where clip_id%2 = 0 and idx < 700
+    union all select clip_id, cast(k as bigint), 0 from sz, (select unnest(range(700)) as k) r where clip_id%2 = 0 and k >= n""",
+    "waves",
 )
 def _(i):
-    longer = signal.fix_duration(i.samples.where("clip_id % 2 = 1"), 1000, 1.2)
-    return longer.unionByName(signal.fix_duration(i.samples.where("clip_id % 2 = 0"), 1000, 0.7))
+    every = chunked(i)
+    odd, even = (every.with_rows(every.rows.where(f"clip_id % 2 = {k}")) for k in (1, 0))
+    return rows_of(waves.fix_duration(odd, 1000, 1.2)).unionByName(rows_of(waves.fix_duration(even, 1000, 0.7)))
 
 
-STFT = f"""placed as (select clip_id, idx + 16 as spot, x from samples union all select clip_id, 16 - idx, x from samples where idx between 1 and 16
-      union all select clip_id, 2*999 - idx + 16, x from samples where idx between 983 and 998),
-    fr as (select clip_id, t, spot - t*8 as n, x from placed, (select unnest(range(0, 126)) as t) r where spot >= t*8 and spot < t*8 + 32),
+STFT = f"""placed as (select clip_id, n, idx + 16 as spot, x from samples join sz using (clip_id) union all select clip_id, n, 16 - idx, x from samples join sz using (clip_id) where idx between 1 and 16
+      union all select clip_id, n, 2*(n - 1) - idx + 16, x from samples join sz using (clip_id) where idx between n - 17 and n - 2),
+    fr as (select clip_id, t, spot - t*8 as n, x from placed, (select unnest(range(0, 129)) as t) r where t*8 <= placed.n and spot >= t*8 and spot < t*8 + 32),
     sp as (select clip_id, k as f, t, sum(x * (0.5 - 0.5*cos({2 * math.pi!r}*n/32)) * cos({2 * math.pi!r}*k*n/32)) as re, sum(x * (0.5 - 0.5*cos({2 * math.pi!r}*n/32)) * sin({2 * math.pi!r}*k*n/32)) as im
       from fr, (select unnest(range(0, 17)) as k) q group by all)"""
 
 
 @pair(
     "sig04_stft",
-    f"""with {STFT} select clip_id, f, t, round(sqrt(re*re + im*im), 5) as value from sp""",
-    "samples",
+    f"""with {SAMPLES}, {STFT} select clip_id, f, t, round(sqrt(re*re + im*im), 5) as value from sp""",
+    "waves",
 )
 def _(i):
-    cells = signal.to_cells(signal.magnitude_stft(i.samples, 32, 8))
+    cells = signal.to_cells(waves.magnitude_stft(chunked(i), 32, 8))
     return cells.withColumn("value", F.round("value", 5))
 
 
@@ -137,23 +157,24 @@ CHAIN = STFT.replace("from samples", "from centred")
 
 @pair(
     "sig11_preprocess",
-    f"""with centred as (select clip_id, idx, x - avg(x) over (partition by clip_id) as x from samples), {CHAIN},
+    f"""with {SAMPLES}, centred as (select clip_id, idx, x - avg(x) over (partition by clip_id) as x from samples), {CHAIN},
     cr as (select clip_id, f - 2 as f, t, sqrt(re*re + im*im) * 2147483648 as s from sp where f >= 2 and f < 14),
     m as (select a.clip_id, a.f, a.t, max(a.s) as s, sum(cast({SMOOTH!r} as double) * pow(cast({(1 - SMOOTH)!r} as double), a.t - b.t) * b.s) as m
       from cr a join cr b on b.clip_id = a.clip_id and b.f = a.f and b.t <= a.t group by all),
     pc as (select clip_id, f, t, sqrt(cast(2 as double)) * (sqrt(1 + s * exp(-0.98 * (ln(cast(1e-6 as double)) + ln(1 + m / cast(1e-6 as double)))) / 2) - 1) as v from m),
     ms as (select clip_id, f, t, greatest(v - avg(v) over (partition by clip_id, f), 0) as value from pc),
-    g as (select clip_id, a.f, b.t from (select distinct clip_id from ms), (select unnest(range(0, 16)) as f) a, (select unnest(range(0, 63)) as t) b),
-    sg as (select *, {resized('12', '16', 'f')} as sf, {resized('126', '63', 't')} as st from g),
-    w as (select *, cast(floor(sf) as bigint) as f0, least(cast(floor(sf) as bigint) + 1, 11) as f1, cast(floor(st) as bigint) as t0, least(cast(floor(st) as bigint) + 1, 125) as t1 from sg)
+    wd as (select clip_id, max(t) + 1 as w0, cast(floor((max(t) + 1) * cast(0.5 as double)) as bigint) as w from ms group by clip_id),
+    g as (select clip_id, w0, w, a.f, b.t from wd, (select unnest(range(0, 16)) as f) a, (select unnest(range(0, 65)) as t) b where b.t < w),
+    sg as (select *, {resized('12', '16', 'f')} as sf, {resized('w0', 'w', 't')} as st from g),
+    w as (select *, cast(floor(sf) as bigint) as f0, least(cast(floor(sf) as bigint) + 1, 11) as f1, cast(floor(st) as bigint) as t0, least(cast(floor(st) as bigint) + 1, w0 - 1) as t1 from sg)
     select w.clip_id, w.f, w.t, round((1-(sf-f0))*((1-(st-t0))*a.value + (st-t0)*b.value) + (sf-f0)*((1-(st-t0))*c.value + (st-t0)*d.value), 4) as value
     from w join ms a on a.clip_id = w.clip_id and a.f = f0 and a.t = t0 join ms b on b.clip_id = w.clip_id and b.f = f0 and b.t = t1
     join ms c on c.clip_id = w.clip_id and c.f = f1 and c.t = t0 join ms d on d.clip_id = w.clip_id and d.f = f1 and d.t = t1""",
-    "samples",
+    "waves",
 )
 def _(i):
     """Whole chain on a small window (16 kHz, n_fft 32): centre, STFT, crop, PCEN, mean subtraction, resize."""
-    out = signal.preprocess(i.samples, 16000, [signal.center], min_freq=1000, max_freq=7000, height=16)
+    out = signal.preprocess(chunked(i), 16000, [waves.center], min_freq=1000, max_freq=7000, height=16)
     return out.withColumn("value", F.round("value", 4))
 
 
@@ -216,39 +237,55 @@ def _(i):
 
 
 def _mix_pairs(i):
-    return augment.mix_weights(augment.partners(i.samples.select("clip_id").distinct()))
+    return augment.mix_weights(augment.partners(i.waves.select("clip_id").distinct()))
 
 
 @pair(
     "aug02_mix_samples",
-    f"""with {PARTNER} select s.clip_id, s.idx, round(weight * s.x + (1 - weight) * coalesce(o.x, 0), 6) as x
+    f"""with {SAMPLES}, {PARTNER} select s.clip_id, s.idx, round(weight * s.x + (1 - weight) * coalesce(o.x, 0), 6) as x
     from samples s join pt using (clip_id) left join (select * from samples where idx < 900) o on o.clip_id = partner_id and o.idx = s.idx""",
-    "samples",
+    "waves",
 )
 def _(i):
     """Partners end after 900 samples; the rest mixes with silence."""
-    return six(augment.mix_samples(i.samples, _mix_pairs(i), i.samples.where("idx < 900")), "x")
+    own = chunked(i)
+    return rows_of(waves.mix(own, _mix_pairs(i), waves.pad_to(own, F.least(F.col("n_samples"), F.lit(900)))))
 
 
 @pair(
     "aug02_mix_whole",
-    f"""with {PARTNER} select s.clip_id, s.idx, round(weight * s.x + (1 - weight) * o.x, 6) as x
-    from samples s join pt using (clip_id) join samples o on o.clip_id = partner_id and o.idx = s.idx""",
-    "samples",
+    f"""with {SAMPLES}, {PARTNER} select s.clip_id, s.idx, round(weight * s.x + (1 - weight) * coalesce(o.x, 0), 6) as x
+    from samples s join pt using (clip_id) left join samples o on o.clip_id = partner_id and o.idx = s.idx""",
+    "waves",
 )
 def _(i):
-    return six(augment.mix_samples(i.samples, _mix_pairs(i)), "x")
+    return rows_of(waves.mix(chunked(i), _mix_pairs(i)))
+
+
+ECHO = f"""select clip_id, cast(floor({duck_draw('echo-delay', 'clip_id')} * {{}}) as integer) as delay, {duck_draw('echo-weight', 'clip_id')} as weight from (select distinct clip_id from samples)"""
 
 
 @pair(
     "aug03_echo",
-    f"""with st as (select clip_id, cast(floor({duck_draw('echo-delay', 'clip_id')} * 50) as integer) as delay, {duck_draw('echo-weight', 'clip_id')} as weight from (select distinct clip_id from samples))
+    f"""with {SAMPLES}, st as ({ECHO.format(50)})
+    select s.clip_id, s.idx, round(weight * s.x + (1 - weight) * coalesce(o.x, 0), 6) as x from samples s join st using (clip_id) left join samples o on o.clip_id = s.clip_id and o.idx = s.idx - delay""",
+    "waves",
+)
+def _(i):
+    settings = augment.echo_settings(i.waves.select("clip_id").distinct(), 10000)
+    return rows_of(waves.echo(chunked(i), settings))
+
+
+@pair(
+    "aug03_long_echo",
+    f"""with {SAMPLES}, st as ({ECHO.format(400)})
     select s.clip_id, s.idx, round(weight * s.x + (1 - weight) * coalesce(o.x, 0), 6) as x from samples s join st using (clip_id) left join samples o on o.clip_id = s.clip_id and o.idx = s.idx - delay""",
-    "samples",
+    "waves",
 )
 def _(i):
-    settings = augment.echo_settings(i.samples.select("clip_id").distinct(), 10000)
-    return six(augment.add_echo(i.samples, settings), "x")
+    """Delays of several chunks."""
+    settings = augment.echo_settings(i.waves.select("clip_id").distinct(), 10000, max_delay=0.04)
+    return rows_of(waves.echo(chunked(i), settings))
 
 
 @pair(

@@ -51,6 +51,9 @@ from events""",
     "samples": """select cast(floor(event_id/1000) as bigint) as clip_id, event_id%1000 as idx,
  cast((event_id*31)%2001-1000 as double)/1000 as x
 from events""",
+    # waveforms as chunks of 64 samples, sixteen to a clip
+    "waves": """select cast(floor(vec_id/16) as bigint) as clip_id, vec_id%16 as chunk, embedding as samples
+from embeddings""",
     "recordings": """select c_custkey as recording_id, cast(10+(c_custkey*37)%300 as double)/10 as duration,
  case when c_nationkey%3=0 then 192000 when c_nationkey%3=1 then 256000 else 384000 end as samplerate,
  concat('site', cast(c_nationkey as varchar(10)), '/rec', cast(c_custkey as varchar(20)), '.wav') as path

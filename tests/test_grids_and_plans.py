@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from chirpframe import plugins, streaming
 from chirpframe.functions import coords
-from chirpframe.operators import augment, clips, detections, features, filters, labels, matching, signal, transforms
-from chirpframe.plans import ordered
+from chirpframe.operators import augment, clips, detections, features, filters, labels, matching, signal, transforms, waves
+from chirpframe.plans import ordered, scan
 
 
 def cells_of(spark, grid, clip=1):
@@ -26,6 +26,17 @@ def grid_of(frame, h, w, clip=1):
     return out
 
 
+def wave_of(spark, x, size, clip=1):
+    rows = [(clip, k, [float(v) for v in x[k * size:(k + 1) * size]]) for k in range(-(-len(x) // size))]
+    return waves.Waves(spark.createDataFrame(rows, "clip_id int, chunk bigint, samples array<double>"), size)
+
+
+def samples_of(found, clip=1):
+    rows = waves.to_samples(found).where(F.col("clip_id") == clip).orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(len(rows)))
+    return np.array([r["x"] for r in rows])
+
+
 def brute_nms(grid, k=9):
     r = (k - 1) // 2
     out = np.zeros_like(grid)
@@ -68,15 +79,38 @@ def test_resize_any_ratio(spark, h, factor):
 @pytest.mark.parametrize("window", ["hann", "hamming", "blackman", "bartlett", "kaiser"])
 def test_stft_against_numpy(spark, window):
     x = np.random.default_rng(3).standard_normal(203)
-    samples = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "clip_id int, idx bigint, x double")
     n, hop = 32, 8
     padded = np.pad(x, n // 2, mode="reflect")
     frames = np.stack([padded[s : s + n] for s in range(0, len(x) // hop * hop + 1, hop)])
-    want = np.abs(np.fft.rfft(frames * signal.window_values(window, n), axis=1)).T
-    got = grid_of(signal.to_cells(signal.magnitude_stft(samples, n, hop, window)), *want.shape)
-    assert np.allclose(got, want)
+    want = np.abs(np.fft.rfft(frames * waves.window_values(window, n), axis=1)).T
+    for size in (64, 100, 101, 203, 1000):  # last chunks of many lengths, also one chunk only
+        got = grid_of(signal.to_cells(waves.magnitude_stft(wave_of(spark, x, size), n, hop, window)), *want.shape)
+        assert np.allclose(got, want)
     with pytest.raises(NotImplementedError):
-        signal.window_values("boxcar", 8)
+        waves.window_values("boxcar", 8)
+    with pytest.raises(ValueError):
+        waves.magnitude_stft(wave_of(spark, x, 40), n, hop)
+
+
+def test_frames_of_chunks_and_joints():
+    """Every frame comes from exactly one chunk or joint, whatever the sizes."""
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        n_fft = int(rng.choice([2, 4, 6, 7, 16]))
+        hop, size = int(rng.integers(1, n_fft + 1)), int(rng.integers(2 * n_fft, 5 * n_fft))
+        n = int(rng.integers(n_fft // 2 + 1, 6 * size))
+        x, ones = rng.standard_normal(n), np.ones(n_fft)
+        padded = np.pad(x, n_fft // 2, mode="reflect")
+        want = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop], axis=1))
+        found = []
+        for k in range(-(-n // size)):
+            found.append(waves.chunk_spectra(x[k * size:(k + 1) * size], k, n, size, n_fft, hop, ones))
+            if k:
+                head = x[k * size:(k + 1) * size][:n_fft + 1]
+                found += waves.joint_spectra(x[k * size - n_fft - 1:k * size], head, k, n, size, n_fft, hop, ones)
+        places = np.concatenate([np.arange(first, first + len(v)) for first, v in found])
+        assert sorted(places) == list(range(len(want)))
+        assert np.allclose(np.concatenate([v for _, v in found])[np.argsort(places)], want)
 
 
 @pytest.mark.parametrize("s", [0.04877, 0.3, 0.9])
@@ -86,14 +120,14 @@ def test_smoothing_over_many_blocks(spark, s):
     for t in range(v.shape[1]):
         want[:, t] = (1 - s) * (want[:, t - 1] if t else 0) + s * v[:, t]
     out = signal.smooth(cells_of(spark, v), s, F.col("value")).withColumn("value", F.col("_m"))
-    assert np.allclose(grid_of(out, *v.shape), want, rtol=1e-9)
+    assert np.allclose(grid_of(out, *v.shape), want, rtol=1e-12)
 
 
 def test_preprocess_shape_and_rate(spark):
     rate = 16000
     x = np.sin(2 * math.pi * 3000 * np.arange(1600) / rate)
-    samples = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "clip_id int, idx bigint, x double")
-    spec = signal.preprocess(samples, rate, [signal.center, signal.peak_normalize], min_freq=1000, max_freq=7000, height=24)
+    samples = wave_of(spark, x, 500)
+    spec = signal.preprocess(samples, rate, [waves.center, waves.peak_normalize], min_freq=1000, max_freq=7000, height=24)
     size = spec.agg(F.max("f"), F.max("t"), F.min("value")).first()
     frames = 1600 // 8 + 1
     assert (size[0], size[1]) == (23, int(frames * 0.5) - 1) and size[2] >= 0
@@ -111,11 +145,65 @@ def test_arrays_fix_length(spark):
 
 
 def test_padding_for_network(spark):
-    samples = spark.range(1000).select(F.lit(1).alias("clip_id"), F.col("id").alias("idx"), F.lit(1.0).alias("x"))
-    out = signal.pad_for_network(samples)
-    length = out.count()
-    width = spark.range(1).select(coords.spectrogram_width(F.lit(float(length)))).first()[0]
-    assert width % 32 == 0 and out.where("x = 1").count() == 1000
+    out = samples_of(waves.pad_for_network(wave_of(spark, np.ones(1000), 300)))
+    width = spark.range(1).select(coords.spectrogram_width(F.lit(float(len(out))))).first()[0]
+    assert width % 32 == 0 and (out == 1).sum() == 1000
+
+
+def test_waves_against_numpy(spark):
+    x = np.random.default_rng(7).standard_normal(230)
+    one = wave_of(spark, x, 64)
+    assert np.allclose(samples_of(waves.center(one)), x - x.mean())
+    assert np.allclose(samples_of(waves.peak_normalize(one)), x / np.abs(x).max())
+    assert (samples_of(waves.peak_normalize(wave_of(spark, np.zeros(70), 64))) == 0).all()
+    for n in (0, 1, 64, 129, 230, 256, 257, 700):
+        want = np.pad(x, (0, max(0, n - 230)))[:n]
+        assert np.allclose(samples_of(waves.pad_to(one, F.lit(n).cast("bigint"))), want)
+    for delay in (0, 1, 63, 64, 65, 128, 200, 300):
+        settings = spark.createDataFrame([(1, delay, 0.25)], "clip_id int, delay int, weight double")
+        late = np.concatenate([np.zeros(delay), x])[:230]
+        assert np.allclose(samples_of(waves.echo(one, settings)), 0.25 * x + 0.75 * late), delay
+    other = np.random.default_rng(8).standard_normal(100)
+    both = one.with_rows(one.rows.unionByName(wave_of(spark, other, 64, clip=2).rows))
+    pairs = spark.createDataFrame([(1, 2, 0.3), (2, 1, 0.6)], "clip_id int, partner_id int, weight double")
+    mixed = waves.mix(both, pairs)
+    assert np.allclose(samples_of(mixed), 0.3 * x + 0.7 * np.pad(other, (0, 130)))
+    assert np.allclose(samples_of(mixed, 2), 0.6 * other + 0.4 * x[:100])
+    with pytest.raises(ValueError):
+        waves.mix(one, pairs, wave_of(spark, other, 65))
+    pieces = [(1, a, [float(v) for v in x[a:b]]) for a, b in ((0, 5), (5, 5), (5, 150), (150, 151), (151, 230))]
+    cut = waves.join_pieces(spark.createDataFrame(pieces, "clip_id int, start bigint, samples array<double>"), 40)
+    assert np.allclose(samples_of(cut), x) and {r["n"] for r in cut.rows.select(F.size("samples").alias("n")).collect()} == {40, 30}
+
+
+def test_waves_do_not_move_samples(spark):
+    """No row per sample, no gathered lists; only halos are exchanged for a spectrum."""
+    spark.range(30).selectExpr("id % 3 as clip_id", "id div 3 as chunk", "array_repeat(cast(id as double), 64) as samples").createOrReplaceTempView("w")
+    one = waves.Waves(spark.table("w"), 64)
+    settings = spark.createDataFrame([(k, 9, 0.5) for k in range(3)], "clip_id long, delay int, weight double")
+    for found in (waves.center(one), waves.peak_normalize(one)):
+        text = plan(found.rows)
+        assert "Exchange hash" not in text and "collect_list" not in text and "Generate" not in text
+    assert "collect_list" not in plan(waves.pad_to(one, F.lit(700).cast("bigint")).rows)
+    text = plan(waves.magnitude_stft(one, 32, 8))
+    assert "collect_list" not in text and text.count("Exchange hashpartitioning") <= 2  # tails and heads
+    assert "collect_list" not in plan(waves.echo(one, settings).rows)
+
+
+@pytest.mark.parametrize("width", [2, 3, 64])
+def test_affine_scan(spark, width):
+    rng = np.random.default_rng(width)
+    rows, want = [], {}
+    for key in range(3):
+        m = 0.0
+        for place in sorted(rng.choice(200, 90, replace=False).tolist()):
+            a, b = rng.random(), rng.standard_normal()
+            rows.append((key, place, a, b))
+            want[key, place] = m
+            m = a * m + b
+    frame = spark.createDataFrame(rows, "k int, place bigint, factor double, term double").repartition(5)
+    got = {(r["k"], r["place"]): r["carry"] for r in scan.affine_prefix(frame, ["k"], width=width).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
 def test_heatmap_is_the_exact_maximum(spark):
@@ -129,6 +217,46 @@ def test_heatmap_is_the_exact_maximum(spark):
     assert np.allclose(grid_of(layer("a"), 12, 30), np.maximum(blob(3, 5), blob(3, 9)), atol=1e-38)
 
 
+@pytest.mark.parametrize("tile", [7, 64, 256])
+def test_heatmap_over_tiles_and_dense_events(spark, tile):
+    rng = np.random.default_rng(tile)
+    spots = [(1, int(f), int(t), None) for f, t in zip(rng.integers(0, 40, 300), rng.integers(0, 130, 300))]
+    frame = spark.createDataFrame(spots, "clip_id int, f0 int, t0 int, class_name string")
+    got = grid_of(labels.heatmaps(frame, 40, 130, sigma=0.7, tile=tile), 40, 130)
+    f, t = np.mgrid[0:40, 0:130]
+    nearest = np.min([(f - a) ** 2 + (t - b) ** 2 for _, a, b, _ in spots], axis=0)
+    assert np.allclose(got, np.exp(-nearest / (2 * 0.7**2)), atol=1e-38)
+
+
+def test_lower_envelope():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 12))
+        at = np.sort(rng.choice(40, n, replace=False))
+        squares = rng.integers(0, 30, (n, 9)).astype(float) ** 2
+        rows = np.arange(0, 40)
+        want = np.min(squares[:, None, :] + (rows[None, :, None] - at[:, None, None]) ** 2, axis=0)
+        assert np.array_equal(labels.lower_envelope(squares, at, rows), want)
+
+
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_max_power_from_running_sums(spark, tile):
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 9, (6, 30)).astype(float)
+    grid[2] = 0  # a row without cells below
+    boxes = [(1, k, int(rng.integers(-2, 32)), int(rng.integers(0, 8)), int(rng.integers(0, 12)), int(rng.integers(0, 6))) for k in range(40)]
+    dets = spark.createDataFrame(boxes, "clip_id int, det_id int, x_pos int, y_pos int, bb_width int, bb_height int")
+    got = {r["det_id"]: r for r in features.max_power(dets, cells_of(spark, grid).where("value > 0"), tile=tile).collect()}
+    hertz = lambda row: int(round((6 - row) / 6 * 110000 + 10000, 2))
+    for _, k, x, y, w, h in boxes:
+        x0, x1, y1, y0 = max(x, 0), min(29, x + w), min(5, y), max(y - h, 0)
+        half = x0 + max(x1 - x0, 0) // 2
+        spans = [grid[:, a:max(a, b)].sum(axis=1) for a, b in ((x0, x1), (x0, half), (half, x1))]
+        want = [hertz(int(np.argmax(s))) for s in spans]
+        assert [got[k]["max_power"], got[k]["max_power_first"], got[k]["max_power_second"]] == want
+        assert got[k]["max_power_bb"] == (hertz(y0 + int(np.argmax(spans[0][y0:y1]))) if y1 > y0 else None)
+
+
 def test_tiling_and_subclips(spark):
     rec = spark.createDataFrame([("6ba7b811-9dad-11d1-80b4-00c04fd430c8", 2.0), ("6ba7b811-9dad-11d1-80b4-00c04fd430c9", 1.2)], "recording_id string, duration double")
     assert [r["count"] for r in clips.tile_recordings(rec, 0.5).groupBy("recording_id").count().orderBy("recording_id").collect()] == [4, 2]
@@ -194,13 +322,13 @@ def test_ordered_work_equals_one_window(spark):
 
 
 def test_augmentation_invariants(spark):
-    samples = spark.range(100).select(F.lit(1).alias("clip_id"), F.col("id").alias("idx"), (F.col("id") + 1.0).alias("x"))
     settings = spark.createDataFrame([(1, 3, 0.25)], "clip_id int, delay int, weight double")
-    got = {r["idx"]: r["x"] for r in augment.add_echo(samples, settings).collect()}
+    got = samples_of(waves.echo(wave_of(spark, np.arange(1.0, 101.0), 30), settings))
     assert got[0] == 0.25 and got[10] == pytest.approx(0.25 * 11 + 0.75 * 8)
     ring = augment.partners(spark.range(20).select(F.col("id").alias("clip_id"))).collect()
     assert {r["clip_id"] for r in ring} == {r["partner_id"] for r in ring} == set(range(20))
     assert all(r["clip_id"] != r["partner_id"] for r in ring)
+    samples = spark.range(100).select(F.lit(1).alias("clip_id"), F.col("id").alias("idx"), (F.col("id") + 1.0).alias("x"))
     same = augment.maybe_apply(samples, lambda d: d.withColumn("x", F.lit(0.0)), 0.0)
     assert same.agg(F.sum("x")).first()[0] == 5050.0
 
@@ -277,5 +405,5 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 
 def test_group_stats_use_partial_aggregation(spark):
-    text = plan(signal.center(spark.range(5).select(F.lit(1).alias("clip_id"), F.col("id").alias("idx"), F.lit(1.0).alias("x"))))
+    text = plan(signal.spectral_mean_subtraction(cells_of(spark, np.zeros((2, 3)))))
     assert "partial_avg" in text and "Window" not in text

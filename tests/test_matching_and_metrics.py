@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chirpframe.functions import geometry as g
 from chirpframe.functions.polygons import pair_iou
+from chirpframe.plans import clusters
 from chirpframe.operators import curves, legacy, matching, reports
 
 BOX = "start_time double, end_time double, low_freq double, high_freq double"
@@ -150,6 +151,70 @@ def test_matching_equals_sequential_scan(spark, strict, kind):
     assert rows.count() == len(dets) + len(gts) - len(got)
 
 
+@pytest.mark.parametrize("most", [10**7, 0, 30])
+def test_equal_boxes_and_large_clusters(spark, monkeypatch, most):
+    """Many equal boxes and scores; clusters scanned in tasks, all in rounds, or both."""
+    monkeypatch.setattr(matching, "SCAN_ROWS", most)
+    rng = random.Random(4)
+    dets, gts = [], []
+    for clip in range(5):
+        for k in range(25):
+            t = rng.choice([0.1, 0.13, 0.18, 0.5, 0.9])
+            dets.append((clip, len(dets), t, t + 0.05, 1e4, 3e4, rng.choice([0.2, 0.5, 0.5, 0.7])))
+            if k % 2:
+                t = rng.choice([0.12, 0.14, 0.16, 0.5, 2.0])
+                gts.append((clip, len(gts), t, t + 0.05, 1e4, 3e4, "a"))
+    d = spark.createDataFrame(dets, f"clip_id int, det_id int, {BOX}, detection_score double")
+    t = spark.createDataFrame(gts, f"clip_id int, ann_id int, {BOX}, class_name string")
+    rows = matching.detection_matches(d, t, g.TimeAffinity(0.1), strict=False)
+    got = {(r["det_id"], r["ann_id"]) for r in rows.where("is_prediction and is_ground_truth").collect()}
+    assert got == sequential(dets, gts, closeness, False)
+    keyed = matching.free_choice_pairs(
+        d.withColumnRenamed("detection_score", "score").withColumn("task", F.lit("x")),
+        t.withColumn("task", F.lit("x")), g.TimeAffinity(0.1), ["task", "clip_id"])
+    assert {(r["det_id"], r["ann_id"]) for r in keyed.collect()} == got
+
+
+def test_free_choice_takes_a_fixed_number_of_jobs(spark):
+    """A chain in which every detection takes its neighbour's ground truth, short and long."""
+    jobs = {}
+    for n in (20, 2000):
+        d = spark.range(n).select(
+            F.lit(1).alias("clip_id"), F.col("id").alias("det_id"), (F.col("id") * 0.01).alias("start_time"),
+            (F.col("id") * 0.01 + 0.005).alias("end_time"), (1 - F.col("id") / n).alias("detection_score"))
+        t = d.select("clip_id", F.col("det_id").alias("ann_id"), (F.col("start_time") - 0.0051).alias("start_time"), "end_time")
+        spark.sparkContext.setJobGroup(f"chain-{n}", "free choice")
+        rows = matching.detection_matches(d, t, g.TimeAffinity(0.02), strict=False)
+        assert rows.where("is_prediction and is_ground_truth").count() == n - 1  # the last one finds its own taken
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[20] == jobs[2000]
+
+
+def test_hot_clip_of_many_boxes(spark):
+    """100 000 boxes in one clip, half of them in one place: equal boxes are not paired out."""
+    n = 50_000
+    at = F.when(F.col("id") % 2 == 0, F.lit(0.5)).otherwise(F.col("id") * 0.001)
+    boxes = spark.range(n).select(F.lit(1).alias("clip_id"), F.col("id"), at.alias("start_time"), (at + 0.01).alias("end_time"))
+    d = boxes.withColumnRenamed("id", "det_id").withColumn("detection_score", F.rand(1))
+    t = boxes.withColumnRenamed("id", "ann_id").withColumn("start_time", F.col("start_time") + 0.0001)
+    rows = matching.detection_matches(d, t, g.TimeAffinity(0.0005), strict=False)
+    assert rows.where("is_prediction and is_ground_truth").count() == n
+
+
+def test_interval_clusters(spark):
+    rng = random.Random(2)
+    rows = [(k, i, a := rng.random() * 50, a + rng.random() * 0.3) for k in "xy" for i in range(150)]
+    frame = spark.createDataFrame(rows, "k string, i int, a double, b double").repartition(7)
+    found = {(r["k"], r["i"]): r["cluster"] for r in clusters.interval_clusters(frame, ["k"], F.col("a"), F.col("b")).collect()}
+    for key in "xy":
+        top, number = None, 0
+        for _, i, a, b in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            number += top is None or a > top
+            top = b if top is None else max(top, b)
+            assert found[key, i] == number
+
+
 def test_one_hot_clip_and_position(spark):
     """All detections in one place: the best-scored wins, the rest are false positives."""
     d = spark.range(3000).select(

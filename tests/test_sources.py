@@ -1,6 +1,8 @@
 """Files in and out, on documents written by the tests."""
 
+import io
 import json
+import random
 import struct
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from chirpframe.functions import ids
 from chirpframe.functions.conditions import HasTag
 from chirpframe.operators import dataset, filters, projections, splits
-from chirpframe.sources import annotations, audio, predictions, tables
+from chirpframe.sources import annotations, audio, predictions, ranges, tables
 
 
 def event(**changes):
@@ -351,3 +353,69 @@ def test_source_choice_prunes_scans(spark):
     config = dataset.DatasetConfig("d", [good, dataset.Source("b", broken)])
     assert dataset.load_dataset(spark, config, include_sources=["a"]).count() == 1
     assert not filters.source_selected("b", exclude=["b"])
+
+
+def test_large_lists_are_cut_at_element_borders(spark, tmp_path):
+    rng = random.Random(1)
+    odd = ['quote " and \\ back', "\\\\", "{[,]}", "é😀", "", 'end\\"']
+    docs = [dict(document(f"{k}.wav"), notes=rng.choice(odd) * rng.randrange(4)) for k in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(docs[:40], indent=1))
+    (tmp_path / "b.json").write_bytes(b"\xef\xbb\xbf \n" + json.dumps(docs[40:], ensure_ascii=False).encode() + b"\n")
+    (tmp_path / "none.json").write_text(" [ ] ")
+    for size in (7, 100, 1 << 20):
+        got = annotations.read_merged(spark, str(tmp_path), range_bytes=size)
+        assert sorted((r["id"], r["notes"]) for r in got.collect()) == sorted((d["id"], d["notes"]) for d in docs)
+    assert ranges.list_elements(spark, str(tmp_path), range_bytes=100).rdd.getNumPartitions() > 50
+
+
+def test_structural_scan_of_any_cut():
+    rng = random.Random(3)
+
+    def value(depth=0):
+        kind = rng.randrange(6 if depth < 3 else 3)
+        if kind == 0:
+            return "".join(rng.choice('a"\\[]{},: \né😀') for _ in range(rng.randrange(9)))
+        if kind == 3:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {f"k{n}": value(depth + 1) for n in range(rng.randrange(4))} if kind > 3 else rng.choice([None, 17, True])
+
+    for _ in range(300):
+        doc = [value() for _ in range(rng.randrange(8))]
+        raw = json.dumps(doc, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5).encode()
+        size, state, depth, got = rng.randrange(1, 20), 0, 0, []
+        for a in range(0, len(raw), size):
+            b = min(a + size, len(raw))
+            got += ranges.elements(io.BytesIO(raw), a, b, len(raw), state, depth, step=rng.choice([1, 3, 64]))
+            state, change = ranges.summary(np.frombuffer(raw[a:b], np.uint8), state)
+            depth += change
+        assert (state, depth) == (0, 0) and [json.loads(g) for g in got] == doc
+
+
+def test_recording_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse RF64 file: headers by seeking, chunks by many tasks, no file in one piece."""
+    n = (5 << 30) // 2
+    rate, path = 48000, tmp_path / "long.wav"
+    with open(path, "wb") as out:
+        fmt = struct.pack("<HHIIHH", 1, 1, rate, 2 * rate, 2, 16)
+        out.write(b"RF64" + b"\xff" * 4 + b"WAVEds64" + struct.pack("<IQQQI", 28, 0, 2 * n, n, 0))
+        out.write(b"fmt " + struct.pack("<I", 16) + fmt + b"data" + b"\xff" * 4)
+        start = out.tell()
+        out.seek(start + 2 * (n - 3))
+        out.write(struct.pack("<hhh", 0, -(1 << 14), 1 << 14))
+    form = audio.parse_wav(open(path, "rb"), path.stat().st_size)
+    assert (form.n_samples, form.data_start) == (n, start)
+    chunks = audio.sample_chunks(spark, str(tmp_path), 1000.0, range_bytes=512 << 20)
+    assert chunks.rdd.getNumPartitions() >= 10
+    last = chunks.where(F.col("chunk_idx") == n // (rate * 1000)).select(F.slice("samples", -3, 3).alias("s"), F.size("samples").alias("n")).first()
+    assert last["s"] == [0.0, -0.5, 0.5] and last["n"] == n % (rate * 1000)
+
+
+def test_recordings_as_waves(spark, tmp_path):
+    from chirpframe.operators import waves
+
+    x = np.round(np.sin(np.arange(2500) / 7) * 2**14)
+    riff(tmp_path / "a.wav", (1, 16), x.astype("<i2").tobytes())
+    rate = audio.catalogue(spark, str(tmp_path))[0].first()["samplerate"]
+    one = audio.as_waves(audio.sample_chunks(spark, str(tmp_path), 1000 / rate), rate, 1000 / rate)
+    rows = waves.to_samples(waves.center(one)).orderBy("idx").collect()
+    assert np.allclose([r["x"] for r in rows], x / 2**15 - (x / 2**15).mean(), atol=1e-7)
