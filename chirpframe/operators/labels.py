@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..plans.tiles import spread
 # exp(-d²/2σ²) is 0 in single precision beyond this many sigmas.
 REACH_SIGMAS = 14.43
 DETECTION = "__detection__"
+#: Cells of the grids that are worked on at a time.
+GRID_CELLS = 1_000_000
 
 
 def event_cells(
@@ -39,11 +42,11 @@ def event_cells(
     )
 
 
-def lower_envelope(squares: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """min over i of ``squares[i] + (row - at[i])^2`` for every column of ``squares`` and every row.
+def lower_envelope(squares: np.ndarray) -> np.ndarray:
+    """min over i of ``squares[i] + (row - i)^2`` for every row and every column, in place of the rows.
 
     The lower envelope of parabolas, for all columns at once: one pass over the
-    (ascending) places ``at`` builds it, one over the (ascending) ``rows`` reads it.
+    rows builds it, one reads it.
     """
     count, width = squares.shape
     every = np.arange(width)
@@ -52,35 +55,34 @@ def lower_envelope(squares: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.
     begin[0] = -np.inf
     top = np.zeros(width, np.int64)
     for i in range(1, count):
-        open_ = np.ones(width, bool)
-        cross = np.empty(width)
-        while True:
-            last = owner[top, every]
-            meet = (squares[i] + at[i] ** 2 - squares[last, every] - at[last] ** 2) / (2.0 * (at[i] - at[last]))
-            cross[open_] = meet[open_]
-            open_ &= meet <= begin[top, every]
-            if not open_.any():
-                break
-            top[open_] -= 1
+        columns, cross = every, np.empty(width)
+        while len(columns):
+            last = owner[top[columns], columns]
+            meet = (squares[i, columns] + i * i - squares[last, columns] - last * last) / (2.0 * (i - last))
+            cross[columns] = meet
+            columns = columns[meet <= begin[top[columns], columns]]  # hidden by the new one
+            top[columns] -= 1
         top += 1
         owner[top, every], begin[top, every], begin[top + 1, every] = i, cross, np.inf
-    out = np.empty((len(rows), width))
+    out = np.empty((count, width))
     here = np.zeros(width, np.int64)
-    for k, row in enumerate(rows):
-        while (ahead := begin[here + 1, every] < row).any():
-            here += ahead
+    for row in range(count):
+        columns = every
+        while len(columns):
+            columns = columns[begin[here[columns] + 1, columns] < row]
+            here[columns] += 1
         lowest = owner[here, every]
-        out[k] = squares[lowest, every] + (row - at[lowest]) ** 2
+        out[row] = squares[lowest, every] + (row - lowest) ** 2
     return out
 
 
 def nearest_along(marks: np.ndarray) -> np.ndarray:
-    """Distance of every entry to the nearest true entry of its row (a large number if there is none)."""
-    width = marks.shape[1]
+    """Distance of every entry to the nearest true entry along the last axis (a large number if there is none)."""
+    width = marks.shape[-1]
     far = 4 * width + 4
     place = np.arange(width)
-    before = np.maximum.accumulate(np.where(marks, place, -far), axis=1)
-    after = np.minimum.accumulate(np.where(marks, place, width + far)[:, ::-1], axis=1)[:, ::-1]
+    before = np.maximum.accumulate(np.where(marks, place, -far), axis=-1)
+    after = np.minimum.accumulate(np.where(marks, place, width + far)[..., ::-1], axis=-1)[..., ::-1]
     return np.minimum(place - before, after - place)
 
 
@@ -91,8 +93,8 @@ def heatmaps(
 
     The maximum of Gaussians is the Gaussian of the nearest event: an exact distance
     transform on time tiles, to which the events within reach are copied. Along
-    time, every row with events has its distance to the nearest one; along frequency the lower
-    envelope of parabolas takes O(height + events) steps a column. Cells whose
+    time, every row has its distance to the nearest event; along frequency the lower
+    envelope of parabolas takes O(height) steps a column, many grids at a time. Cells whose
     value is 0 in single precision are not emitted; all others are exact.
     """
     reach = int(math.ceil(REACH_SIGMAS * sigma))
@@ -100,24 +102,49 @@ def heatmaps(
     spots = cells.select(key, F.explode(layers).alias("layer"), F.col("f0").cast("long"), F.col("t0").cast("long")).distinct()
     seen = spread(spots, "_tile", F.floor(F.greatest(F.col("t0") - reach, F.lit(0)) / tile),
                   F.floor(F.least(F.col("t0") + reach, F.lit(width - 1)) / tile))
-
-    def paint(events: pd.DataFrame) -> pd.DataFrame:
-        first = int(events["_tile"].iloc[0]) * tile
-        last = min(first + tile, width)
-        at, row = np.unique(events["f0"].to_numpy(), return_inverse=True)
-        marks = np.zeros((len(at), last - first + 2 * reach), bool)  # the tile and the border on both sides
-        marks[row, events["t0"].to_numpy() - first + reach] = True
-        along = nearest_along(marks)[:, reach:reach + last - first].astype(float)
-        rows = np.arange(max(0, at[0] - reach), min(height - 1, at[-1] + reach) + 1)
-        squares = lower_envelope(along * along, at, rows)
-        f, t = np.nonzero(squares <= reach * reach)
-        return pd.DataFrame({
-            key: events[key].iloc[0], "layer": events["layer"].iloc[0], "f": rows[f], "t": t + first,
-            "value": np.exp(-squares[f, t] / (2.0 * sigma * sigma))})
+    far = float(reach + 1)  # beyond reach all distances are alike: none is emitted
+    span = min(tile, width)
+
+    def paint(keys: list, events: np.ndarray, type_: pa.DataType) -> pa.RecordBatch:
+        """Columns of squared distances of grids (clip, layer, tile); ``events`` is (number of the grid, f0, t0 in the tile)."""
+        marks = np.zeros((height, len(keys), span + 2 * reach), bool)
+        marks[events[:, 1], events[:, 0], events[:, 2]] = True
+        along = np.minimum(nearest_along(marks)[..., reach:reach + span], far)
+        squares = lower_envelope((along * along).reshape(height, -1)).astype(np.int32)
+        grid, t = np.divmod(np.arange(squares.shape[1]), span)
+        t = t + np.array([k[2] for k in keys])[grid] * tile
+        used = np.flatnonzero((squares.min(axis=0) <= reach * reach) & (t < width))
+        owner = pa.array(grid[used])
+        offsets = pa.array(np.arange(len(used) + 1, dtype=np.int32) * height)
+        return pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in keys], type_).take(owner), pa.array([k[1] for k in keys], pa.string()).take(owner),
+            pa.array(t[used]), pa.ListArray.from_arrays(offsets, pa.array(squares[:, used].T.ravel())),
+        ], names=[key, "layer", "t", "squares"])
+
+    most = max(1, GRID_CELLS // (height * (span + 2 * reach)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        held: list = []
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            for clip, layer, number, f0, t0 in zip(*(column.to_pylist() for column in batch.columns)):
+                if not keys or keys[-1] != (clip, layer, number):
+                    if len(keys) == most:
+                        yield paint(keys, np.array(held), type_)
+                        keys, held = [], []
+                    keys.append((clip, layer, number))
+                held.append((len(keys) - 1, f0, t0 - number * tile + reach))
+        if keys:
+            yield paint(keys, np.array(held), type_)
 
     kind = cells.schema[key].dataType.simpleString()
-    return seen.groupBy(key, "layer", "_tile").applyInPandas(
-        paint, f"`{key}` {kind}, layer string, f int, t int, value double")
+    grids = seen.select(key, "layer", "_tile", "f0", "t0").repartition(key, "layer", "_tile").sortWithinPartitions(
+        key, "layer", "_tile")
+    columns = grids.mapInArrow(run, f"`{key}` {kind}, layer string, t long, squares array<int>")
+    found = columns.select(key, "layer", F.posexplode("squares").alias("f", "d"), F.col("t").cast("int").alias("t"))
+    return found.where(F.col("d") <= reach * reach).select(
+        key, "layer", "f", "t", F.exp(-F.col("d") / F.lit(2.0 * sigma * sigma)).alias("value"))
 
 
 def size_maps(cells: DataFrame, key: str = "clip_id", order: str = "ann_id", dimensions=("width", "height")) -> DataFrame:
