@@ -149,28 +149,30 @@ def catalogue(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> tuple
     return good, rows.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def sample_chunks(
+RUN = ["path", "format_code", "channels", "samplerate", "bits", "data_bytes", "data_start", "step", "first", "last"]
+
+
+def sample_runs(
     spark: SparkSession, path: str, chunk_seconds: float = 1.0, pattern: str = WAV_FILES, range_bytes: int = RANGE_BYTES
 ) -> DataFrame:
-    """Channel 0 as float32 chunks: (recording_id = path, chunk_idx, samplerate, samples).
-
-    The unit of reading is a run of chunks of about ``range_bytes``: a task seeks to it and reads it chunk by
-    chunk, so a recording of any length is read by many tasks. Files that do not decode give no rows; ``catalogue`` lists them.
-    """
+    """What to read: runs of chunks [first, last) of ``step`` samples, about ``range_bytes`` each, with the header of their file."""
     good = _headers(spark, path, pattern, hashes=False).where(F.col("error").isNull()).dropDuplicates(["path"])
     frame = F.floor(F.col("channels") * F.col("bits") / 8).cast("long")
     step = F.greatest(F.floor(F.col("samplerate") * F.lit(float(chunk_seconds))), F.lit(1)).cast("long")
     sized = good.withColumns({"frame": frame, "step": step}).withColumn("n", F.floor(F.col("data_bytes") / F.col("frame")))
     run_chunks = F.greatest(F.floor(F.lit(range_bytes) / (F.col("step") * F.col("frame"))), F.lit(1)).cast("long")
     chunks = F.ceil(F.col("n") / F.col("step"))
-    runs = sized.withColumn("run", run_chunks).where("n > 0").withColumn(
+    return sized.withColumn("run", run_chunks).where("n > 0").withColumn(
         "first", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1, F.col("run")))).withColumn(
-        "last", F.least(F.col("first") + F.col("run"), chunks))
-    fields = ["path", "format_code", "channels", "samplerate", "bits", "data_bytes", "data_start", "step", "first", "last"]
+        "last", F.least(F.col("first") + F.col("run"), chunks)).select(*RUN)
+
+
+def read_runs(runs: DataFrame) -> DataFrame:
+    """Channel 0 of each run, chunk by chunk; a task seeks to its runs."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, *numbers in batch.itertuples(index=False):
+            for name, *numbers in batch[RUN].itertuples(index=False):
                 *head, step, first, last = map(int, numbers)
                 form = WavFormat(*head)
                 with open_file(name) as file:
@@ -181,7 +183,18 @@ def sample_chunks(
                         yield pd.DataFrame({
                             "recording_id": [name], "chunk_idx": [k], "samplerate": [form.samplerate], "samples": [samples]})
 
-    return spread_rows(cut_lineage(runs.select(*fields))).mapInPandas(read, CHUNKS)
+    return spread_rows(cut_lineage(runs)).mapInPandas(read, CHUNKS)
+
+
+def sample_chunks(
+    spark: SparkSession, path: str, chunk_seconds: float = 1.0, pattern: str = WAV_FILES, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """Channel 0 as float32 chunks: (recording_id = path, chunk_idx, samplerate, samples).
+
+    A recording of any length is read by many tasks, none of which holds more than a
+    chunk. Files that do not decode give no rows; ``catalogue`` lists them.
+    """
+    return read_runs(sample_runs(spark, path, chunk_seconds, pattern, range_bytes))
 
 
 def as_waves(chunks: DataFrame, samplerate: int, chunk_seconds: float = 1.0) -> Waves:

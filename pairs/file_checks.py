@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chirpframe import plugins
 from chirpframe.operators import filters, projections
 from chirpframe.plans.session import shared_path
-from chirpframe.sources import annotations, audio, predictions, tables
+from chirpframe.sources import annotations, audio, documents, predictions, tables
 
 from .base import CLASSES, pair, scored, tagged
 from .dataset_checks import LONG, _nested
@@ -164,14 +164,49 @@ def _(i):
 
 @pair(
     "snk09_annotation_set",
-    """select event_id as clip_id, event_id * 2 + k as ann_id, event_type as value from events, (select unnest([0, 1]) as k) x""",
+    """select cast(event_id as varchar) as clip_id, cast(event_id * 2 + k as varchar) as ann_id, event_type as value, cast(user_id as varchar) as clip_tag,
+    round(cast(0.1 as double) + k, 6) as start_time, round(cast(0.2 as double) + k, 6) as end_time, cast(20000 + event_id%9*1000 + k as double) as low_freq,
+    cast(60000 as double) as high_freq, 'BoundingBox' as geom_type, cast(event_id as varchar) || '.wav' as path, cast(3 as double) as clip_end, 'n' || cast(event_id as varchar) as note
+    from events, (select unnest([0, 1]) as k) x""",
 )
 def _(i):
-    path = shared_path(i.spark, "set")
-    annotations.save_annotation_set(_nested(0)(i).unionByName(_nested(1)(i)), path, name="events")
-    back = annotations.read_saved_set(i.spark, path).select("clip_id", F.explode("events").alias("e"))
-    name = F.get(F.filter("e.tags", lambda t: t["key"] == "class"), F.lit(0))["value"]
-    return back.select("clip_id", "e.ann_id", name.alias("value"))
+    """Written as one document of collections and read back through the scan of projects."""
+    path = f"{shared_path(i.spark, 'set')}/events.json"
+    clips = _nested(0)(i).unionByName(_nested(1)(i)).withColumns({
+        "path": F.concat(F.col("clip_id").cast("string"), F.lit(".wav")), "duration": F.lit(3.0), "samplerate": F.lit(8000),
+        "clip_start": F.lit(0.0), "clip_end": F.lit(3.0), "notes": F.array(F.concat(F.lit("n"), F.col("clip_id").cast("string")))})
+    annotations.save_annotation_set(clips, path, name="events")
+    back = annotations.load_project_clips(i.spark, path).withColumn("e", F.explode("events"))
+    name = lambda tags, key: F.get(F.filter(tags, lambda t: t["key"] == key), F.lit(0))["value"]
+    return back.select(
+        "clip_id", "e.ann_id", name("e.tags", "class").alias("value"), name("tags", "user").alias("clip_tag"),
+        F.round("e.start_time", 6).alias("start_time"), F.round("e.end_time", 6).alias("end_time"), "e.low_freq", "e.high_freq",
+        "e.geom_type", "path", "clip_end", F.get("notes", F.lit(0)).alias("note"))
+
+
+@pair(
+    "snk06_prediction_set",
+    f"""with {LONG}, cl as (select det_id, class_name, score, row_number() over (partition by det_id order by score desc, class_idx) as r from lng)
+    select d.det_id, path, cast(d.clip_id as varchar) as clip_id, round(d.start_time, 6) as start_time, d.high_freq, round(detection_score, 6) as score, r, class_name as tag, round(cl.score, 6) as tag_score
+    from det d join recordings on recording_id = d.clip_id join cl on cl.det_id = d.det_id and r <= 2
+    union all select d.det_id, path, cast(d.clip_id as varchar), round(d.start_time, 6), d.high_freq, round(detection_score, 6), 0, 'Echolocation', round(detection_score, 6)
+    from det d join recordings on recording_id = d.clip_id""",
+    "det recordings",
+)
+def _(i):
+    """Scored tags of every detection, through the written document and back."""
+    path = f"{shared_path(i.spark, 'predictions')}/set.json"
+    dets = predictions.prediction_tags(
+        scored(i.det), CLASSES, {c: [("class", c)] for c in CLASSES}, [("event", "Echolocation")], top_k=2)
+    clips = i.clips.withColumn("recording_id", F.col("clip_id"))
+    numbered = dets.withColumn("high_freq", F.col("high_freq") + F.col("det_id") / 1e7)  # the id travels in the box
+    documents.save_prediction_set(numbered, clips.join(i.recordings.select("recording_id"), "recording_id"), i.recordings, path)
+    back = documents.read_prediction_set(i.spark, path).select("*", F.posexplode("tags").alias("r", "t"))
+    high = F.get("box", F.lit(3))
+    return back.select(
+        F.round((high - F.floor(high)) * 1e7).cast("bigint").alias("det_id"), "path", "clip_id", F.round(F.get("box", F.lit(0)), 6).alias("start_time"),
+        F.floor(high).cast("double").alias("high_freq"), F.round("score", 6).alias("score"), F.col("r").cast("bigint").alias("r"),
+        F.col("t.value").alias("tag"), F.round("t.score", 6).alias("tag_score"))
 
 
 @pair(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chirpframe.functions import ids
 from chirpframe.functions.conditions import HasTag
 from chirpframe.operators import dataset, filters, projections, splits
-from chirpframe.sources import annotations, audio, predictions, ranges, tables
+from chirpframe.sources import annotations, audio, documents, predictions, ranges, tables
 
 
 def event(**changes):
@@ -130,9 +130,11 @@ def test_dataset_round_trip(spark, tmp_path):
     path.write_text(json.dumps(project("annotation_set")))
     config = dataset.DatasetConfig("d", [dataset.Source("s", lambda s: annotations.load_project_clips(s, str(path)))], event_filter=HasTag("class", "None"))
     clips = dataset.load_dataset(spark, config)
-    annotations.save_annotation_set(clips, str(tmp_path / "out"), name="n")
-    back = annotations.read_saved_set(spark, str(tmp_path / "out"))
-    assert back.schema.simpleString() == clips.schema.simpleString()
+    annotations.save_annotation_set(clips, str(tmp_path / "out" / "set.json"), name="n", created="2024-01-01")
+    saved = json.loads((tmp_path / "out" / "set.json").read_text())["data"]
+    assert saved["name"] == "n" and list(saved)[3:] == list(documents.ANNOTATION_SECTIONS[:-1])
+    assert [t["id"] for t in saved["tags"]] == list(range(len(saved["tags"])))
+    back = annotations.load_project_clips(spark, str(tmp_path / "out" / "set.json"))
     assert names(back, "clip_id") == ["clip0", "clip1", "clip2", "clip3"]  # empty clips stay
     assert back.where(F.size("events") > 0).count() == 0
     assert all(r["tags"][-1]["value"] == "s" for r in back.collect())
@@ -324,8 +326,16 @@ def test_class_labels():
 def test_prediction_set_and_metrics(spark, tmp_path):
     dets, _, _ = tables_for_output(spark)
     tagged = predictions.prediction_tags(dets, ["A", "B"], {"A": [("class", "a")], "B": [("class", "b")]}, [("event", "E")], top_k=1)
-    predictions.save_prediction_set(tagged, str(tmp_path / "set"))
-    assert spark.read.json(str(tmp_path / "set")).count() == 2
+    dets, clips, recordings = tables_for_output(spark)
+    documents.save_prediction_set(tagged, clips, recordings, str(tmp_path / "set.json"), name="p")
+    saved = json.loads((tmp_path / "set.json").read_text())["data"]
+    assert saved["collection_type"] == "prediction_set" and list(saved)[3:] == list(documents.PREDICTION_SECTIONS)
+    assert len(saved["clip_predictions"]) == 3 and sorted(len(c["sound_events"]) for c in saved["clip_predictions"]) == [0, 1, 1]
+    numbers = {t["id"]: (t["key"], t["value"]) for t in saved["tags"]}
+    got = {p["score"]: [(*numbers[n], s) for n, s in p["tags"]] for p in saved["sound_event_predictions"]}
+    assert got == {0.5: [("event", "E", 0.5), ("class", "b", 0.6)], 0.9: [("event", "E", 0.9), ("class", "a", 0.7)]}
+    back = {r["score"]: (r["path"], r["box"]) for r in documents.read_prediction_set(spark, str(tmp_path / "set.json")).collect()}
+    assert back[0.9] == ("/data/s/a.wav", [1.1, 1e4, 1.2, 2e4])
     metrics = spark.createDataFrame([("detection/average_precision", 0.5)], "name string, value double")
     predictions.save_metrics(metrics, str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).first()["value"] == 0.5
@@ -404,10 +414,12 @@ def test_recording_beyond_two_gigabytes(spark, tmp_path):
         out.write(struct.pack("<hhh", 0, -(1 << 14), 1 << 14))
     form = audio.parse_wav(open(path, "rb"), path.stat().st_size)
     assert (form.n_samples, form.data_start) == (n, start)
-    chunks = audio.sample_chunks(spark, str(tmp_path), 1000.0, range_bytes=512 << 20)
-    assert chunks.rdd.getNumPartitions() >= 10
-    last = chunks.where(F.col("chunk_idx") == n // (rate * 1000)).select(F.slice("samples", -3, 3).alias("s"), F.size("samples").alias("n")).first()
-    assert last["s"] == [0.0, -0.5, 0.5] and last["n"] == n % (rate * 1000)
+    runs = audio.sample_runs(spark, str(tmp_path), range_bytes=64 << 20)
+    assert runs.count() >= 80 and runs.agg(F.sum(F.col("last") - F.col("first"))).first()[0] == -(-n // rate)
+    assert audio.read_runs(runs).rdd.getNumPartitions() == runs.count()
+    last = audio.read_runs(runs.orderBy(F.desc("first")).limit(1)).where(F.col("chunk_idx") == n // rate)
+    row = last.select(F.slice("samples", -3, 3).alias("s"), F.size("samples").alias("n")).first()
+    assert row["s"] == [0.0, -0.5, 0.5] and row["n"] == n % rate
 
 
 def test_recordings_as_waves(spark, tmp_path):
