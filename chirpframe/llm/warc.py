@@ -62,6 +62,12 @@ def revisits(pages: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def utc_text(seconds: str) -> Column:
+    """Seconds since 1970 as a date in UTC, whatever the session's time zone."""
+    plain = f"cast(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}) as string)"
+    return F.concat(F.replace(F.expr(plain), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def write_archives(pages: DataFrame, path: str, captured: Column | None = None) -> None:
     """One record per page under ``path``: responses with their payload, revisits with its digest only."""
     when = captured if captured is not None else F.coalesce(F.col("page_id"), F.lit(0)) + FIRST_CAPTURE
@@ -86,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, captured: Column | None = None)
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(repeat, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), page, F.lit(">\r\nWARC-Date: "),
-        F.date_format(F.timestamp_seconds("captured"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        utc_text("captured"),
         F.when(uri == "", "").otherwise(F.concat(F.lit("\r\nWARC-Target-URI: "), uri)),
         F.when(repeat, F.concat(
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
