@@ -1,17 +1,16 @@
 """Shards by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters rows into buckets by seeded hashes of the id: the shard is the
-one with the highest hash among all shards (so one more shard takes rows only
-into itself), the bucket is a second hash modulo the number of buckets that
+Pass one scatters rows into buckets by seeded hashes: the shard is the
+one with the highest hash of the id among all shards (so one more shard takes rows only
+into itself), the bucket is a hash of the id, the text and the row's number, modulo the number of buckets that
 keeps a bucket near ``bucket_bytes``. Pass two collects each bucket, puts it in
 a fixed order, shuffles it with Spark's own Fisher-Yates ``shuffle`` and writes
 it. Buckets are bounded by their mean size plus the spread of a hash, so no
 task ever holds a shard.
 
 Defined cases: a null id hashes like any other value, so all rows without an id
-share a shard (law ``key``); they are still spread over its buckets by their
-text. Null text has size 8 and the checksum of an empty text. Repeated rows are
-written each. Columns of the input travel inside a struct, so their names
+share a shard (law ``key``), as do the rows of a repeated id; they are spread over its buckets. Null text has size 8 and the checksum of an empty text. Repeated rows are
+written each. A text longer than ``bucket_bytes`` makes its bucket as much larger. Columns of the input travel inside a struct, so their names
 cannot clash. An empty table writes nothing and gives no rows.
 """
 
@@ -48,10 +47,10 @@ def write_shards(
     total = docs.agg(F.sum(size_of("text"))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / (n_shards * bucket_bytes)))
     record = F.struct(*[docs[c] for c in docs.columns])
-    spare = F.when(F.col("doc_id").isNull(), F.col("text"))
+    spread = [F.col("doc_id"), F.col("text"), F.monotonically_increasing_id()]  # rows of one id or one text part, too
     placed = docs.select(
         shard_of(F.col("doc_id"), n_shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", spare), F.lit(n_buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), *spread), F.lit(n_buckets)).cast("int").alias("bucket"),
         F.struct(F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"), record.alias("record")).alias("item"),
     )
     buckets = placed.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
