@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, SPACES, keep_decided, numbered, stored, text_of
+from .common import SALTS, SPACES, join_checked, keep_decided, numbered, stored, text_of
 
 SLOTS = 4
 KICKS = 200
@@ -190,22 +190,30 @@ def build_index(rows: DataFrame) -> DataFrame:
     return local.repartition("digest").mapInPandas(_collapse, _PARTIAL)
 
 
-def update_index(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+def update_index(
+    index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, remaining: DataFrame | None = None
+) -> DataFrame:
     """The index after adding and removing rows (as from ``digest_rows``).
 
-    Additions come before removals; removing an unknown digest does nothing. The best row of a group is
-    not revised when that very row goes; rebuild the group if it matters.
+    Additions come before removals; removing an unknown digest does nothing. Where the best row of a group
+    goes, its entry is made anew from ``remaining``, the rows that are left, which removals need.
     """
     changes = index
     if added is not None:
         changes = changes.unionByName(build_index(added))
-    if removed is not None:
-        gone = removed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-        zero = F.lit(0).cast("long")
-        changes = changes.unionByName(gone.select(
-            "digest", zero.alias("cp"), zero.alias("doc_id"), zero.alias("row"), (-F.col("n")).alias("n"), zero.alias("salts")
-        ))
-    return changes.repartition("digest").sortWithinPartitions(F.col("n") < 0).mapInPandas(_collapse, _PARTIAL)
+    if removed is None:
+        return changes.repartition("digest").mapInPandas(_collapse, _PARTIAL)
+    if remaining is None:
+        raise ValueError("Removals need the rows that remain.")
+    gone = removed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("long")
+    changes = changes.unionByName(gone.select(
+        "digest", zero.alias("cp"), zero.alias("doc_id"), zero.alias("row"), (-F.col("n")).alias("n"), zero.alias("salts")
+    ))
+    kept = stored(changes.repartition("digest").sortWithinPartitions(F.col("n") < 0).mapInPandas(_collapse, _PARTIAL), "index")
+    stale = stored(kept.join(removed.select("digest", "row"), ["digest", "row"], "left_semi").select("digest"), "stale")
+    fresh = build_index(join_checked(remaining, stale, "digest", "left_semi"))
+    return join_checked(kept, stale, "digest", "left_anti").unionByName(fresh)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

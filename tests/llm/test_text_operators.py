@@ -96,7 +96,40 @@ def test_index_update(docs):
     index = exact_dedup.build_index(rows)
     double = exact_dedup.update_index(index, added=rows)
     assert double.agg(F.sum("n")).first()[0] == 2 * rows.count()
-    assert exact_dedup.update_index(index, removed=rows).count() == 0
+    assert exact_dedup.update_index(index, removed=rows, remaining=rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.update_index(index, removed=rows)
+    best = index.where("n > 1").select("row")  # the best row of every group goes
+    gone, left = rows.join(best, "row", "left_semi"), rows.join(best, "row", "left_anti")
+    assert gone.count() > 1
+    entry = lambda r: (bytes(r.digest), r.cp, r.doc_id, r.row, r.n)
+    got = exact_dedup.update_index(index, removed=gone, remaining=left).collect()
+    assert set(map(entry, got)) == set(map(entry, exact_dedup.build_index(left).collect()))
+
+
+def test_capture_times_in_any_time_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    autumn = 1_604_210_000  # around the repeated hour
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "x", autumn + 1800 * k) for k in range(8)],
+                                  "page_id long, url string, html string, at long")
+    try:
+        for name in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            path = str(tmp_path / name.replace("/", "-"))
+            warc.write_archives(pages, path, F.col("at"))
+            got = {r.page_id: r.captured for r in warc.read_archives(spark, path).collect()}
+            assert got == {k: autumn + 1800 * k for k in range(8)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_one_hot_id_is_spread_over_buckets(spark, tmp_path):
+    """Rows of one id, or without id and all alike, share a shard but not a bucket."""
+    for id in (7, None):
+        docs = spark.range(2000).select(F.lit(id).cast("long").alias("doc_id"), F.lit("x" * 2000).alias("text"))
+        written = sharding.write_shards(docs, str(tmp_path / f"s{id}"), n_shards=4, bucket_bytes=100_000)
+        sizes = written.groupBy("shard", "bucket").agg(F.sum(sharding.size_of("record.text")).alias("b")).collect()
+        assert len({r.shard for r in sizes}) == 1 and len(sizes) >= 10 and max(r.b for r in sizes) < 800_000
 
 
 def test_bpe(docs, empty):
@@ -493,7 +526,7 @@ def test_sharding(spark, docs, empty):
 
 
 def test_every_operator_has_a_query():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 def test_pipeline(spark, tmp_path):
