@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain, groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators.aggregates import recording_class
 from ..operators.detections import best_class_rows
 from ..plans.ordered import order_rows, with_rank
 from ..schemas import DETECTION_ROW, RECORDING_INFO
+from .ranges import write_file
 
 BOX = ("start_time", "low_freq", "end_time", "high_freq")
 # Texts and columns of result documents.
@@ -214,9 +217,43 @@ def save_documents(lines: DataFrame, path: str, key: str = "recording_id") -> No
         key).text(path)
 
 
+def save_files(lines: DataFrame, path: str, name: str, head: str, order: Sequence[Column]) -> None:
+    """One finished file per ``name`` under ``path``: ``head``, then its ``line`` values in ``order``.
+
+    The lines of a file meet in one task, which streams them; a file appears under its name when
+    it is whole, so a task that fails or is killed leaves none, and its second try replaces nothing but its own.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((n, line) for batch in batches for n, line in zip(batch[name].tolist(), batch["line"].tolist()))
+        for number, group in groupby(rows, key=lambda row: row[0]):
+            text = chain([head], (line for _, line in group))
+            yield pd.DataFrame({"name": [str(number)], "bytes": [write_file(f"{path}/{number}", (f"{t}\n".encode() for t in text))]})
+
+    sorted_ = lines.repartition(name).sortWithinPartitions(name, *order).select(F.col(name).cast("string"), "line")
+    sorted_.mapInPandas(run, "name string, bytes long").write.format("noop").mode("overwrite").save()
+
+
+def _csv(values: Sequence[Column | str]) -> Column:
+    """A line of comma-separated values; texts with commas, quotes or line ends are quoted, null is empty."""
+    def field(value: Column) -> Column:
+        text = F.coalesce(value.cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return F.concat_ws(",", *[field(F.col(v) if isinstance(v, str) else v) for v in values])
+
+
 def save_detection_csv(rows: DataFrame, path: str, key: str = "recording_id") -> None:
-    """Fixed column order under one folder per recording."""
-    rows.select(key, *CSV_COLUMNS).repartition(key).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+    """``<recording>.csv`` under ``path`` for every recording with detections: an index column, then the fixed columns.
+
+    Rows (``document_rows``) come in falling order of score and bounds. The index is
+    a rank over ranges, so that a recording's order is not made in one task.
+    """
+    order = [("det_prob", True), *[(c, False) for c in BOX], ("class", False)]
+    ranked = with_rank(order_rows(rows.select(key, *CSV_COLUMNS), [key], order), "_index").clean()
+    named = ranked.select(
+        F.concat(F.col(key).cast("string"), F.lit(".csv")).alias("name"), "_index",
+        _csv([F.col("_index") - 1, *CSV_COLUMNS]).alias("line"))
+    save_files(named, path, "name", ",".join(["", *CSV_COLUMNS]), [F.col("_index")])
 
 
 def feature_rows(dets: DataFrame, n_features: int, features: str = "features") -> DataFrame:
@@ -227,9 +264,13 @@ def feature_rows(dets: DataFrame, n_features: int, features: str = "features") -
     )
 
 
-def save_feature_csv(dets: DataFrame, n_features: int, path: str, key: str = "recording_id") -> None:
-    rows = feature_rows(dets, n_features)
-    rows.select(key, *[str(i) for i in range(n_features)]).repartition(key).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+def save_feature_csv(dets: DataFrame, n_features: int, path: str, key: str = "recording_id", order: str = "det_id") -> None:
+    """``<recording>_cnn_features.csv`` under ``path``: a column per feature, five decimals, no index."""
+    names = [str(i) for i in range(n_features)]
+    rows = dets.select(key, F.col(order).alias("_order"), *[
+        F.format_string("%.5f", F.get(F.col("features"), i).cast("double")).alias(str(i)) for i in range(n_features)])
+    named = rows.select(F.concat(F.col(key).cast("string"), F.lit("_cnn_features.csv")).alias("name"), "_order", _csv(names).alias("line"))
+    save_files(named, path, "name", ",".join(names), [F.col("_order")])
 
 
 # --- prediction sets -------------------------------------------------------

@@ -229,11 +229,11 @@ def _(i):
 
 @pair(
     "snk05_feature_rows",
-    """select vec_id, printf('%.5f', cast(embedding[1] as double)) as "0", printf('%.5f', cast(embedding[3] as double)) as "2" from embeddings""",
+    """select vec_id, printf('%.5f', cast(embedding[1] as double)) as "0", printf('%.5f', cast(embedding[2] as double)) as "1", printf('%.5f', cast(embedding[3] as double)) as "2" from embeddings""",
 )
 def _(i):
     rows = i.embeddings.select(F.col("vec_id").alias("det_id"), F.col("embedding").alias("features"))
-    return predictions.feature_rows(rows, 3).select(F.col("det_id").alias("vec_id"), "0", "2")
+    return predictions.feature_rows(rows, 3).select(F.col("det_id").alias("vec_id"), "0", "1", "2")
 
 
 __all__ = ["scored"]

@@ -18,12 +18,8 @@ AFFINITY = g.TimeAffinity(max_distance=0.05)
 
 # --- inputs ----------------------------------------------------------------
 
-def targets_in_bounds(i, only: str | None = None):
-    """Targets inside their clip; those that miss ``only`` are moved behind the clip's end first."""
-    targets = i.ann.where("is_target")
-    if only:
-        targets = targets.withColumn("start_time", F.col("start_time") + F.when(F.expr(only), 0.0).otherwise(100.0))
-    return filters.in_bounds(targets, i.clips)
+def targets_in_bounds(i):
+    return filters.in_bounds(i.ann.where("is_target"), i.clips)
 
 
 def detections_in_bounds(i):
@@ -428,15 +424,24 @@ def _(i):
     return curves.roc_curve(obs).select(*[F.round(n, 6).alias(n) for n in ("threshold", "fpr", "tpr")])
 
 
-CLIP_SCORE = """cs as (select c.clip_id as row_id, coalesce(max(d.detection_score), 0) as score, c.clip_id in (select clip_id from a where clip_id%3 = 0) as is_true
-      from clips c left join (select * from d where detection_score < 0.9 - (clip_id%5)*0.01) d on d.clip_id = c.clip_id group by c.clip_id)"""
+# clips of one second: clip_id * 10 + second, so that some have no event of a class
+PART = "clip_id*10 + cast(floor(start_time) as bigint) as part"
+CLIP_SCORE = f"""dp as (select *, {PART} from d), apt as (select *, {PART} from a),
+    cp as (select clip_id*10 + s as part from clips, (select unnest(range(10)) as s) r),
+    cs as (select cp.part as row_id, coalesce(max(q.detection_score), 0) as score, cp.part in (select part from apt where class_name = 'purchase') as is_true
+      from cp left join (select * from dp where detection_score < 0.9 - (part%5)*0.01) q on q.part = cp.part group by cp.part)"""
+
+
+def by_second(frame):
+    return frame.withColumn("clip_id", F.col("clip_id") * 10 + F.floor("start_time"))
 
 
 def _clip_scored(i):
+    """Which seconds hold a purchase; the score is the best detection below a bar."""
     bar = F.lit(0.9) - (F.col("clip_id") % 5) * F.lit(0.01)
-    return reports.clip_detection_scores(
-        i.clips, targets_in_bounds(i, "clip_id % 3 = 0"), detections_in_bounds(i).where(F.col("detection_score") < bar)
-    )
+    seconds = i.clips.select(F.explode(F.sequence(F.col("clip_id") * 10, F.col("clip_id") * 10 + 9)).alias("clip_id"))
+    truth = by_second(targets_in_bounds(i)).where("class_name = 'purchase'")
+    return reports.clip_detection_scores(seconds, truth, by_second(detections_in_bounds(i)).where(F.col("detection_score") < bar))
 
 
 @pair(
@@ -448,15 +453,15 @@ def _(i):
     return _clip_scored(i).withColumn("score", F.round("score", 6))
 
 
-CLIP_CLASS = """cc as (select clip_id, 'click' as class_name, max(s_click) as score from d group by 1 union all select clip_id, 'purchase', max(s_purchase) from d group by 1
-      union all select clip_id, 'signup', max(s_signup) from d group by 1),
-    ct as (select distinct clip_id, class_name from a where (ann_id + clip_id)%37 = 0 and class_name is not null),
+CLIP_CLASS = f"""dp as (select *, {PART} from d), apt as (select *, {PART} from a),
+    cc as (select part as clip_id, 'click' as class_name, max(s_click) as score from dp group by 1 union all select part, 'purchase', max(s_purchase) from dp group by 1
+      union all select part, 'signup', max(s_signup) from dp group by 1),
+    ct as (select distinct part as clip_id, class_name from apt where class_name is not null),
     cb as (select cc.*, ct.clip_id is not null as is_true from cc left join ct on ct.clip_id = cc.clip_id and ct.class_name = cc.class_name)"""
 
 
 def _clip_classes(i):
-    truth = targets_in_bounds(i, "(ann_id + clip_id) % 37 = 0")
-    return reports.clip_class_scores(truth, detections_in_bounds(i), CLASSES)
+    return reports.clip_class_scores(by_second(targets_in_bounds(i)), by_second(detections_in_bounds(i)), CLASSES)
 
 
 @pair(
@@ -549,8 +554,7 @@ def _(i):
 )
 def _(i):
     clips = i.customer.select(F.col("c_custkey").alias("clip_id"))
-    truth = targets_in_bounds(i, "(ann_id + clip_id) % 37 = 0")
-    obs = reports.clip_class_observations(clips, _clip_classes(i), truth, CLASSES)
+    obs = reports.clip_class_observations(clips, _clip_classes(i), by_second(targets_in_bounds(i)), CLASSES)
     out = curves.pr_curve(obs, ["task_class"])
     return out.select(
         "task_class", F.col("row_id").alias("clip_id"), "rank", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")

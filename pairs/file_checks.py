@@ -133,33 +133,58 @@ def _(i):
 
 @pair(
     "snk02_group_by_clip",
-    """select cast(clip_id as varchar) as clip_uuid, count(*) as n, round(max(detection_score), 6) as best from det group by clip_id""",
-    "det",
+    """select cast(clip_id as varchar) as clip_uuid, cast(count(*) over (partition by clip_id) as bigint) as n,
+    cast(row_number() over (partition by clip_id order by detection_score desc, start_time desc, low_freq desc, end_time desc, high_freq desc) - 1 as integer) as place,
+    round(detection_score, 6) as score, round(start_time, 6) as start_time, low_freq, round(end_time, 6) as end_time, high_freq, cast(0 as double) as class_sum, path
+    from det join recordings on recording_id = clip_id""",
+    "det recordings",
 )
 def _(i):
+    """Every detection at its place in the nested list of its clip."""
     clips = i.clips.withColumn("recording_id", F.col("clip_id"))
     rows = predictions.detection_rows(scored(i.det), clips, i.recordings, include_class_scores=False, include_features=False)
     path = shared_path(i.spark, "slim")
     predictions.save_rows(rows, path)
     nested = predictions.group_by_clip(predictions.load_rows(i.spark, path, 3))
-    best = F.get("detections", F.lit(0))["detection_score"]
-    return nested.select("clip_uuid", F.size("detections").cast("bigint").alias("n"), F.round(best, 6).alias("best"))
+    each = nested.select("clip_uuid", F.size("detections").cast("bigint").alias("n"), "recording.path", F.posexplode("detections").alias("place", "d"))
+    return each.select(
+        "clip_uuid", "n", "place", F.round("d.detection_score", 6).alias("score"), F.round("d.start_time", 6).alias("start_time"), "d.low_freq",
+        F.round("d.end_time", 6).alias("end_time"), "d.high_freq",
+        F.aggregate("d.class_scores", F.lit(0.0), lambda a, x: a + x).alias("class_sum"), "path")
 
 
 @pair(
     "snk04_detection_csv",
-    f"""with {LONG}, top as (select det_id, class_name, score, row_number() over (partition by det_id order by score desc, class_idx) as r from lng)
-    select d.clip_id as recording_id, round(detection_score, 3) as det_prob, round(start_time, 4) as start_time, round(end_time, 4) as end_time,
-    cast(high_freq as integer) as high_freq, cast(low_freq as integer) as low_freq, class_name as class, round(score, 3) as class_prob
-    from det d join top on top.det_id = d.det_id and r = 1""",
+    f"""with {LONG}, top as (select det_id, class_name, score, row_number() over (partition by det_id order by score desc, class_idx) as r from lng),
+    cs as (select cast(d.clip_id as varchar) || '.csv' as file, round(detection_score, 3) as det_prob, round(start_time, 4) as start_time, round(end_time, 4) as end_time,
+      cast(high_freq as integer) as high_freq, cast(low_freq as integer) as low_freq, class_name as class, round(score, 3) as class_prob
+      from det d join top on top.det_id = d.det_id and r = 1)
+    select *, row_number() over (partition by file order by det_prob desc, start_time, low_freq, end_time, high_freq, class) - 1 as "index" from cs""",
     "det",
 )
 def _(i):
+    """A file per recording with an index column."""
     path = shared_path(i.spark, "csv")
     rows = predictions.document_rows(scored(i.det).withColumnRenamed("clip_id", "recording_id"), CLASSES)
     predictions.save_detection_csv(rows, path)
-    schema = "det_prob double, start_time double, end_time double, high_freq int, low_freq int, `class` string, class_prob double, recording_id bigint"
-    return i.spark.read.schema(schema).option("header", True).csv(path)
+    schema = "index bigint, det_prob double, start_time double, end_time double, high_freq int, low_freq int, `class` string, class_prob double"
+    back = i.spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    return back.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
+@pair(
+    "snk05_feature_csv",
+    """select 'rec' || cast(label as varchar) || '_cnn_features.csv' as file, printf('%.5f', cast(embedding[1] as double)) as "0",
+    printf('%.5f', cast(embedding[2] as double)) as "1", printf('%.5f', cast(embedding[3] as double)) as "2", count(*) as n from embeddings group by all""",
+)
+def _(i):
+    path = shared_path(i.spark, "features")
+    rows = i.embeddings.select(
+        F.concat(F.lit("rec"), F.col("label").cast("string")).alias("recording_id"), F.col("vec_id").alias("det_id"), F.col("embedding").alias("features"))
+    predictions.save_feature_csv(rows, 3, path)
+    back = i.spark.read.schema("`0` string, `1` string, `2` string").option("header", True).csv(path)
+    return back.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).groupBy("file", "0", "1", "2").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @pair(

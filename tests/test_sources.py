@@ -309,10 +309,28 @@ def test_result_documents_and_csv(spark, tmp_path):
     written = {f.parent.name: json.loads(f.read_text()) for f in (tmp_path / "docs").rglob("*.txt")}
     assert written == {f"recording_id={r['recording_id']}": json.loads(r["document"]) for r in both.collect()}
     predictions.save_detection_csv(predictions.document_rows(merged, ["A", "B"]), str(tmp_path / "csv"))
-    header = next((tmp_path / "csv").rglob("*.csv")).read_text().splitlines()[0]
-    assert header == ",".join(predictions.CSV_COLUMNS)
+    lines = (tmp_path / "csv" / "1.csv").read_text().splitlines()
+    assert sorted(f.name for f in (tmp_path / "csv").iterdir()) == ["1.csv"]
+    assert lines[0] == "," + ",".join(predictions.CSV_COLUMNS) and lines[1].startswith("0,0.9,") and lines[2].startswith("1,0.5,")
     predictions.save_feature_csv(merged, 2, str(tmp_path / "feats"))
-    assert "1.00000,2.00000" in "".join(f.read_text() for f in (tmp_path / "feats").rglob("*.csv"))
+    assert (tmp_path / "feats" / "1_cnn_features.csv").read_text() == "0,1\n1.00000,2.00000\n3.00000,4.00000\n"
+
+
+def test_failed_writer_leaves_no_file(spark, tmp_path):
+    """A file is there whole or not at all."""
+    from chirpframe.sources.ranges import write_file
+
+    def blocks():
+        yield b"half"
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        write_file(str(tmp_path / "x.csv"), blocks())
+    assert list(tmp_path.iterdir()) == []
+    lines = spark.createDataFrame([("a", 1, "one"), ("a", 0, 'say "x", y'), ("b", 0, "two")], "name string, at int, line string")
+    predictions.save_files(lines, str(tmp_path), "name", "head", [F.col("at")])
+    assert {f.name: f.read_text() for f in tmp_path.iterdir()} == {"a": 'head\nsay "x", y\none\n', "b": "head\ntwo\n"}
+    assert spark.range(1).select(predictions._csv([F.lit('say "x", y'), F.lit(None), F.lit(1.5)])).first()[0] == '"say ""x"", y",,1.5'
 
 
 def test_class_labels():
