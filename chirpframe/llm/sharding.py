@@ -25,6 +25,8 @@ from ..plans.session import shared_path
 from .common import join_checked, text_of
 
 BUCKET_BYTES = 8 << 20
+#: Bytes of records that one task of the second pass reads, whatever the size of the table.
+TASK_BYTES = 16 << 20
 
 
 def size_of(text: str | Column) -> Column:
@@ -53,6 +55,8 @@ def write_shards(
         F.pmod(F.xxhash64(F.lit(seed + 1), *spread), F.lit(n_buckets)).cast("int").alias("bucket"),
         F.struct(F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"), record.alias("record")).alias("item"),
     )
+    tasks = max(1, math.ceil(total / max(TASK_BYTES, bucket_bytes)))
+    placed = placed.repartition(tasks, "shard", "bucket")  # a count that follows the data: a task holds few buckets
     buckets = placed.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     dealt = buckets.select("shard", "bucket", F.posexplode(F.shuffle("items", seed)).alias("pos", "item"))
     dealt.select("shard", "bucket", "pos", F.col("item.record").alias("record")).write.parquet(path)
