@@ -188,7 +188,8 @@ def test_free_choice_takes_a_fixed_number_of_jobs(spark):
         assert rows.where("is_prediction and is_ground_truth").count() == n - 1  # the last one finds its own taken
         jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
     spark.sparkContext.setJobGroup("rest", "")
-    assert jobs[20] == jobs[2000]
+    # adaptive planning may add a job or two for larger tables; rounds would add one for every link of the chain
+    assert jobs[2000] <= jobs[20] + 4
 
 
 def test_hot_clip_of_many_boxes(spark):
