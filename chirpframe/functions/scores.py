@@ -62,7 +62,7 @@ def tag_map(decoding: Mapping[str, Sequence[Tag]]) -> Column:
 def decode_class(name: Column, decoding: Mapping[str, Sequence[Tag]], raise_on_unknown: bool = False) -> Column:
     tags = F.element_at(tag_map(decoding), name)
     if raise_on_unknown:
-        return F.coalesce(tags, F.raise_error(F.lit("Invalid class name")).cast(TAG_TYPE))
+        return F.coalesce(tags, F.raise_error(F.concat(F.lit("no class is called "), F.coalesce(name, F.lit("null")))).cast(TAG_TYPE))
     return F.coalesce(tags, F.array().cast(TAG_TYPE))
 
 
