@@ -109,5 +109,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             rows.append((len(words), sum(map(known.__getitem__, words))))
         return pd.DataFrame(rows, columns=["n_words", "n_tokens"], dtype="int64")
 
-    both = docs.withColumn("_counts", counts.asNondeterministic()("text"))
-    return both.withColumns({"n_words": F.col("_counts.n_words"), "n_tokens": F.col("_counts.n_tokens")}).drop("_counts")
+    free = "_counts"
+    while free.lower() in [c.lower() for c in docs.columns]:
+        free += "_"
+    both = docs.withColumn(free, counts.asNondeterministic()("text"))
+    return both.withColumns({"n_words": F.col(f"{free}.n_words"), "n_tokens": F.col(f"{free}.n_tokens")}).drop(free)

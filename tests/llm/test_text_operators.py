@@ -184,6 +184,13 @@ def test_piece_counts(docs, empty):
     assert piece_counts.count_tokens(empty, path).count() == 0
 
 
+def test_piece_counts_keep_clashing_columns(spark):
+    path, _ = vocabulary("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, _counts int, _COUNTS_ int")
+    row = piece_counts.count_tokens(docs, path).first()
+    assert (row["_counts"], row["_COUNTS_"], row["n_words"]) == (7, 8, 2)
+
+
 def test_piece_counter_unknown_and_backtracking():
     entries = [b"ab", b"abcd", b"c", b"d", b"a", b"cde", b"e"]
     counter = piece_counts.PieceCounter(entries)
