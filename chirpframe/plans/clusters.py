@@ -16,7 +16,7 @@ def interval_clusters(rows: DataFrame, keys: Sequence[str], low: Column, high: C
 
     Rows are ordered by (key, low) once, over ranges. Where a span starts beyond
     the running maximum of all ends before it, a new cluster begins. Unlike the propagation of
-    labels along links, this takes the same number of jobs however long the chains are. Edges of
+    labels along links, this takes no more jobs for longer chains. Edges of
     any graph whose nodes have a place on the axis can be given as spans between their two
     places: edges that share a node touch there, so no component is cut.
     """
