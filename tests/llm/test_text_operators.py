@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from chirpframe.llm import (
     bpe, components, exact_dedup, fingerprints, jaccard_join, mixing, passages, piece_counts, quality, sharding, warc,
 )
+from chirpframe.llm import words as words_module
 from chirpframe.llm.queries import QUERIES, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -486,17 +487,58 @@ def test_near_passages_at_the_limit(spark):
     assert all(r.with_doc == r.doc_id ^ 1 for r in got)
 
 
-def test_open_pairs_agree_over_blocks():
-    """Rows in two blocks meet in the unit of the pair; covered rows are partners only."""
-    passage = np.arange(46, dtype=np.uint32)
-    other = np.concatenate([passage[:30], np.arange(100, 116, dtype=np.uint32)])
-    tokens = [x.tobytes() for x in (other, passage, passage, passage)]
-    node = np.arange(4)
-    fresh = [np.full(46, x).tobytes() for x in (True, True, True, False)]
-    find = lambda block, every: passages.open_pairs(node, np.array(block), tokens, fresh, 0.8, 46, every)
-    assert find([0, 0, 0, 0], True) == [(1, 2), (1, 3), (2, 1), (2, 3)]
-    assert find([0, 0, 1, 1], True) == [(1, 2), (1, 3), (2, 1)]
-    assert {q for q, _ in find([0, 0, 0, 0], False)} == {1, 2}
+def test_passages_mark_every_equal_word(spark):
+    """Every word of a 50-word sequence that another document has is marked, runs of one word too."""
+    rng = random.Random(5)
+    line, frequent = words(rng, 30, 10**7), words(rng, 12, 10**7)
+    made = []
+    for i in range(60):
+        w = words(rng, rng.randrange(0, 60), 10**7) + line[:rng.randrange(5, 30)] + frequent * 2
+        for _ in range(rng.randrange(0, 3)):
+            if made:
+                other = rng.choice(made)
+                a = rng.randrange(0, max(1, len(other) - 49))
+                w += words(rng, 3, 10**7) + other[a:a + rng.randrange(40, 120)]
+        made.append(w + words(rng, 30, 10**7))
+    made += [words(rng, 30, 10**7) + ["same"] * n + words(rng, 30, 10**7) for n in (120, 120, 75)]
+    want = [set() for _ in made]
+    seen = defaultdict(list)
+    for i, w in enumerate(made):
+        for a in range(len(w) - 49):
+            seen[tuple(w[a:a + 50])].append((i, a))
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, a in places:
+                want[i] |= set(range(a, a + 50))
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    got = [set() for _ in made]
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert all(x <= y for x, y in zip(want, got))
+    assert [(min(x), max(x)) for x in got[-3:]] == [(30, 149), (30, 149), (30, 104)]
+    assert sum(map(len, got)) <= 1.25 * sum(map(len, want))  # a similarity of 0.8 lets a passage outgrow its equal part by that
+
+
+def test_pieces_hold_the_minima_of_every_start():
+    """Trees of a run of texts equal those of each text; each start is in one piece a pair, with both its minima."""
+    rng = np.random.default_rng(2)
+    h = words_module.mix(rng.integers(0, 200, 900).astype(np.uint64))
+    h[300:420] = h[300]
+    first, last = np.array([0, 250, 296]), np.array([249, 295, 899])
+    brute = {(a + x, a + c, a + y) for a, b in zip(first.tolist(), last.tolist())
+             for x, c, y in passages.compact_windows(h[a:b + 1], 46)}
+    assert {tuple(x) for x in passages.run_windows(h, first, last, 46).tolist()} == brute
+    value, text, a, b, c = passages.pieces(h, first, last, 46)
+    by_start, starts = defaultdict(list), Counter()
+    for v, t, x, y, m in zip(value.tolist(), text.tolist(), a.tolist(), b.tolist(), c.tolist()):
+        assert first[t] <= x <= m <= x + 45 and y + 45 <= last[t]
+        for s in range(x, y + 1):
+            starts[s] += 1
+            by_start[tuple(h[s:s + 46].tolist())].append(v)
+    assert starts == {s: 6 for f, e in zip(first.tolist(), last.tolist()) for s in range(f, e - 44)}
+    assert all(len(set(v)) == 6 for v in by_start.values())
+    same = passages.content_hashes(h, 46)
+    assert len(same) == 855 and len(set(same.tolist())) == len({tuple(h[s:s + 46].tolist()) for s in range(855)})
 
 
 def test_compact_windows():
