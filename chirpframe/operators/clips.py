@@ -82,11 +82,16 @@ def select_events(events: DataFrame, clips: DataFrame, min_overlap: float = 0.0,
 def events_in_clips(
     events: DataFrame, clips: DataFrame, min_overlap: float = 0.0, key: str = "recording_id", slot: float = 1.0,
 ) -> DataFrame:
-    """Interval join of a recording's events with its clips, each overlapping pair once."""
+    """Interval join of a recording's events with its clips, each overlapping pair once.
+
+    Clips of recordings without events are left out before they are copied into slots.
+    """
     from ..plans.intervals import overlap_join
+    from ..plans.stats import attach
 
+    near = attach(clips, events.select(key).distinct(), [key])
     pairs = overlap_join(
-        events, clips, [key], (F.col("start_time"), F.col("end_time")),
+        events, near, [key], (F.col("start_time"), F.col("end_time")),
         (F.col("clip_start"), F.col("clip_end")), slot,
     )
     shared = F.least("end_time", "clip_end") - F.greatest("start_time", "clip_start")

@@ -279,3 +279,14 @@ def test_balanced_accuracy_and_confusion_small(spark):
     assert reports.balanced_accuracy(rows).first()[0] == pytest.approx((0.5 + 0 + 0) / 3)
     cm = {(r[0], r[1]): r[2] for r in reports.confusion_matrix(rows, ["b", "a"], normalize="none").collect()}
     assert cm == {("a", "a"): 1.0, ("a", "b"): 1.0, ("b", "a"): 0.0, ("b", "b"): 0.0}
+
+
+def test_clips_of_recordings_without_events_are_not_copied_into_slots(spark):
+    from chirpframe.operators import clips
+
+    events = spark.createDataFrame([(7, 0.2, 1.4)], "recording_id long, start_time double, end_time double")
+    tiles = clips.tile_recordings(
+        spark.range(100).select(F.col("id").alias("recording_id"), F.lit(3.0).alias("duration")), 0.5, with_ids=False)
+    found = clips.events_in_clips(events, tiles.drop("duration"), 0.05)
+    assert sorted(r["clip_index"] for r in found.collect()) == [0, 1, 2]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2  # the known recordings first
