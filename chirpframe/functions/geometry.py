@@ -62,6 +62,10 @@ class TimeAffinity:
     def column(self, det: Row, gt: Row) -> Column:
         return self.from_distance(point_in_time(det, self.ratio) - point_in_time(gt, self.ratio))
 
+    def distance(self, det: Row, gt: Row) -> Column:
+        """What the affinity falls with; it keeps apart what rounding makes equal in the affinity."""
+        return F.abs(point_in_time(det, self.ratio) - point_in_time(gt, self.ratio))
+
     def span(self, row: Row, side: str) -> tuple[Column, Column]:
         """Time span such that two events with positive affinity have touching spans."""
         point = point_in_time(row, self.ratio)

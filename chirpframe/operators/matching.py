@@ -127,7 +127,8 @@ def candidate_pairs(
     return (
         pairs.withColumn("affinity", affinity.column(F.col, gt_row))
         .where(F.col("affinity") > F.lit(float(threshold)))
-        .select(*keys, "det_id", "ann_id", "affinity", score, *keep)
+        .withColumn("closeness", -affinity.distance(F.col, gt_row) if hasattr(affinity, "distance") else F.col("affinity"))
+        .select(*keys, "det_id", "ann_id", "affinity", "closeness", score, *keep)
     )
 
 
@@ -282,14 +283,17 @@ def serial_choice(
 def box_pairs(
     left: DataFrame, right: DataFrame, affinity, keys: Sequence[str], threshold: float, slot: float,
 ) -> DataFrame:
-    """Which boxes of ``left`` (det_id side) and ``right`` (ann_id side) meet: (keys, det_box, ann_box, affinity, low, high)."""
+    """Which boxes of ``left`` (det_id side) and ``right`` (ann_id side) meet: (keys, det_box, ann_box, affinity, low, high).
+
+    ``affinity`` is the closeness that ranks them: minus the distance where the affinity has one.
+    """
     ours = left.select(*keys, box_id(left).alias("det_id"), *_box_columns(left)).dropDuplicates([*keys, "det_id"])
     theirs = right.select(*keys, box_id(right).alias("ann_id"), *_box_columns(right)).dropDuplicates([*keys, "ann_id"])
     met = candidate_pairs(
         ours.withColumn("score", F.col("start_time")), theirs.withColumn("_at", F.col("start_time")), affinity, keys,
         threshold, "score", slot, keep=["_at"])
     return met.select(
-        *keys, F.col("det_id").alias("det_box"), F.col("ann_id").alias("ann_box"), "affinity",
+        *keys, F.col("det_id").alias("det_box"), F.col("ann_id").alias("ann_box"), F.col("closeness").alias("affinity"),
         F.least("score", "_at").alias("low"), F.greatest("score", "_at").alias("high"))
 
 
@@ -303,6 +307,8 @@ def free_choice_pairs(
         met.withColumnsRenamed({"det_box": "proposer_box", "ann_box": "receiver_box"}),
         dets.select(*keys, box_id(dets).alias("proposer_box"), F.col("det_id").alias("proposer"), (-F.col(score)).alias("turn")),
         gts.select(*keys, box_id(gts).alias("receiver_box"), F.col("ann_id").alias("receiver")), keys)
+    if hasattr(affinity, "distance"):
+        found = found.withColumn("affinity", affinity.from_distance(F.col("affinity")))
     return found.withColumnsRenamed({"proposer": "det_id", "receiver": "ann_id"})
 
 

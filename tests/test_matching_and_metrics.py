@@ -290,3 +290,12 @@ def test_clips_of_recordings_without_events_are_not_copied_into_slots(spark):
     found = clips.events_in_clips(events, tiles.drop("duration"), 0.05)
     assert sorted(r["clip_index"] for r in found.collect()) == [0, 1, 2]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2  # the known recordings first
+
+
+def test_free_choice_takes_the_nearest_where_affinities_round_to_one(spark):
+    d = spark.createDataFrame([(1, 0, 0.0, 0.1, 0.5)], "clip_id int, det_id int, start_time double, end_time double, detection_score double")
+    t = spark.createDataFrame([(1, 0, 2e-18, 0.1), (1, 1, 1e-18, 0.1)], "clip_id int, ann_id int, start_time double, end_time double")
+    rows = matching.detection_matches(d, t, g.TimeAffinity(0.05), strict=False)
+    assert [r["ann_id"] for r in rows.where("is_prediction").collect()] == [1]
+    pairs = matching.free_choice_pairs(d.withColumnRenamed("detection_score", "score"), t, g.TimeAffinity(0.05))
+    assert [(r["ann_id"], r["affinity"]) for r in pairs.collect()] == [(1, 1.0)]
