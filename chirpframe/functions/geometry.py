@@ -156,14 +156,13 @@ class GeometricIOU(BBoxIOU):
 
 
 def scaled_box_iou(det: Row, gt: Row) -> Column:
-    """Box IoU with frequency in units of 10 MHz, as the older evaluation scales it."""
-    unit = F.lit(10000000.0)
+    """Box IoU of the older evaluation. It scales frequencies to 10 MHz, which cancels out but for its rounding, so they stay as they are."""
     shared = overlap(det("start_time"), det("end_time"), gt("start_time"), gt("end_time")) * overlap(
-        det("low_freq") / unit, det("high_freq") / unit, gt("low_freq") / unit, gt("high_freq") / unit
+        det("low_freq"), det("high_freq"), gt("low_freq"), gt("high_freq")
     )
 
     def area(row: Row) -> Column:
-        return F.abs((row("end_time") - row("start_time")) * (row("high_freq") - row("low_freq")) / unit)
+        return F.abs((row("end_time") - row("start_time")) * (row("high_freq") - row("low_freq")))
 
     return F.when(shared == 0, zero()).otherwise(shared / (area(det) + area(gt) - shared))
 

@@ -299,3 +299,20 @@ def test_free_choice_takes_the_nearest_where_affinities_round_to_one(spark):
     assert [r["ann_id"] for r in rows.where("is_prediction").collect()] == [1]
     pairs = matching.free_choice_pairs(d.withColumnRenamed("detection_score", "score"), t, g.TimeAffinity(0.05))
     assert [(r["ann_id"], r["affinity"]) for r in pairs.collect()] == [(1, 1.0)]
+
+
+def test_scaled_box_iou_has_no_rounding_of_its_own(spark):
+    rng = random.Random(8)
+
+    def box():
+        s, low = rng.randrange(100) / 1000, rng.randrange(20, 30) * 1e3
+        return [s, s + rng.randrange(1, 100) / 1000, low, low + rng.randrange(1, 20) * 1e3]
+
+    boxes = [box() + box() for _ in range(300)]
+    df = spark.createDataFrame(boxes, ", ".join(f"{side}{n} double" for side in ("", "g_") for n in ("start_time", "end_time", "low_freq", "high_freq")))
+    got = [r["v"] for r in df.select(g.scaled_box_iou(F.col, lambda n: F.col(f"g_{n}")).alias("v")).collect()]
+    want = []
+    for a, b, c, d, e, f, h, k in boxes:
+        shared = max(min(b, f) - max(a, e), 0) * max(min(d, k) - max(c, h), 0)
+        want.append(shared / ((b - a) * (d - c) + (f - e) * (k - h) - shared))
+    assert got == want
