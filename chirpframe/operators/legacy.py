@@ -17,6 +17,8 @@ from .curves import nan, ratio
 from .matching import nearest_pairs
 from .reports import union_all
 
+#: Means and sums that differ by less than this share are equal: their last digits depend on the order of addition.
+EQUAL = 1e-12
 THRESHOLDS = tuple(round(0.1 * i, 1) for i in range(1, 10))
 
 
@@ -111,6 +113,13 @@ def operating_points(gts, dets, files, mode, num_classes, **kwargs) -> DataFrame
 
 # --- file accuracy ---------------------------------------------------------
 
+def _best_class(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, pred_class): the class ``_c`` of the largest ``_v`` (not negative), the smallest class of equal ones."""
+    best = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_v"))).alias("_l"))  # a row per class
+    enough = F.array_max(F.transform("_l", lambda x: x["_v"])) * (1 - EQUAL)
+    return best.select(*keys, F.get(F.filter("_l", lambda x: x["_v"] >= enough), F.lit(0))["_c"].alias("pred_class"))
+
+
 def single_class_files(gts: DataFrame) -> DataFrame:
     """Files whose events all have the same known class: (file_id, true_class)."""
     return gts.groupBy("file_id").agg(
@@ -120,9 +129,7 @@ def single_class_files(gts: DataFrame) -> DataFrame:
 
 def _file_class(files: DataFrame, dets: DataFrame, num_classes: int, value, extra: Sequence[str] = ()) -> DataFrame:
     long = dets.select("file_id", F.posexplode(F.slice("class_probs", 1, num_classes)).alias("_c", "_p"))
-    scored = value(long).groupBy("file_id", *extra).agg(
-        F.min_by("_c", F.struct(-F.col("_v"), F.col("_c"))).alias("pred_class")
-    )
+    scored = _best_class(value(long), ["file_id", *extra])
     return files.join(scored, "file_id", "left").withColumn("pred_class", F.coalesce("pred_class", F.lit(0)))
 
 
@@ -160,9 +167,7 @@ def file_accuracy(gts: DataFrame, dets: DataFrame, num_classes: int) -> DataFram
 
     steps10 = files.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(9))))
     long = dets.select("file_id", F.posexplode(F.slice("class_probs", 1, num_classes)).alias("_c", "_p"))
-    best = sums(long).groupBy("file_id", "_step").agg(
-        F.min_by("_c", F.struct(-F.col("_v"), F.col("_c"))).alias("pred_class")
-    )
+    best = _best_class(sums(long), ["file_id", "_step"])
     called = steps10.join(best, ["file_id", "_step"], "left").withColumn(
         "pred_class", F.coalesce("pred_class", F.lit(0))
     )

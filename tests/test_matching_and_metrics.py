@@ -316,3 +316,12 @@ def test_scaled_box_iou_has_no_rounding_of_its_own(spark):
         shared = max(min(b, f) - max(a, e), 0) * max(min(d, k) - max(c, h), 0)
         want.append(shared / ((b - a) * (d - c) + (f - e) * (k - h) - shared))
     assert got == want
+
+
+def test_file_class_does_not_depend_on_the_order_of_addition(spark):
+    gts = spark.createDataFrame([(1, 0)], "file_id int, class_id int")
+    rows = [(1, [a, b]) for a, b in ((0.3, 0.1), (0.2, 0.2), (0.1, 0.3))]  # 0.6 and 0.6000000000000001
+    dets = spark.createDataFrame(rows, "file_id int, class_probs array<double>").coalesce(1)
+    assert [r["pred_class"] for r in legacy.file_accuracy_simple(gts, dets, 2).collect()] == [0]
+    low = spark.createDataFrame([(1, [0.0, 0.0])], "file_id int, class_probs array<double>")
+    assert [r["pred_class"] for r in legacy.file_accuracy_simple(gts, low, 2).collect()] == [0]
