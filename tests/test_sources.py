@@ -449,3 +449,25 @@ def test_recordings_as_waves(spark, tmp_path):
     one = audio.as_waves(audio.sample_chunks(spark, str(tmp_path), 1000 / rate), rate, 1000 / rate)
     rows = waves.to_samples(waves.center(one)).orderBy("idx").collect()
     assert np.allclose([r["x"] for r in rows], x / 2**15 - (x / 2**15).mean(), atol=1e-7)
+
+
+def test_document_is_cut_anywhere(spark, tmp_path):
+    """Brackets, quotes and backslashes in texts, nested lists, other members and ranges of any length."""
+    odd = ['a]b', 'c"[{', "d\\", '\\"}', "é,", "x" * 70]
+    data = {
+        "uuid": "u", "collection_type": "prediction_set", "extra": {"tags": [1, {"a": [2]}], "b": 3},
+        "tags": [{"id": n, "key": "k", "value": v} for n, v in enumerate(odd)], "recordings": [],
+        "clips": [{"uuid": v, "nested": [[1, [2]], {"z": ["]"]}]} for v in odd], "name": "na,me",
+    }
+    (tmp_path / "d.json").write_text(json.dumps({"version": "1", "other": {"tags": [{"id": 9}]}, "data": data, "tail": [[[1]], 2]}, indent=1))
+    want = sorted([("tags", json.dumps(t)) for t in data["tags"]] + [("clips", json.dumps(c)) for c in data["clips"]])
+    for size in (7, 64, 1 << 20):
+        rows = ranges.document_members(spark, str(tmp_path), range_bytes=size).collect()
+        assert sorted((r["name"], json.dumps(json.loads(r["value"]))) for r in rows if r["name"]) == want
+        plain = [json.loads("{" + r["value"] + "}") for r in rows if not r["name"]]
+        assert sorted(p for d in plain for p in d.items()) == [("collection_type", "prediction_set"), ("name", "na,me"), ("uuid", "u")]
+    dets, clips, recordings = tables_for_output(spark)
+    tagged = predictions.prediction_tags(dets, ["A", "B"], {"A": [("class", "a")], "B": [("class", "b")]}, [("event", "E")], top_k=1)
+    documents.save_prediction_set(tagged, clips, recordings, str(tmp_path / "out" / "set.json"))
+    whole, cut = (sorted(map(str, documents.read_prediction_set(spark, str(tmp_path / "out" / "set.json"), n).collect())) for n in (1 << 20, 50))
+    assert whole == cut and len(whole) == 2
