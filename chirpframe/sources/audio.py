@@ -130,7 +130,8 @@ def _headers(spark: SparkSession, path: str, pattern: str, hashes: bool = True)
 
     schema = "path string, hash string, " + ", ".join(
         f"{n} {'bigint' if n.startswith('data') else 'int'}" for n in names) + ", error string"
-    return spread_rows(list_files(spark, path, pattern)).mapInPandas(run, schema)
+    size = F.col("length") if hashes else F.least(F.col("length"), F.lit(BLOCK))
+    return spread_rows(cut_lineage(list_files(spark, path, pattern)), size).mapInPandas(run, schema)
 
 
 def catalogue(spark: SparkSession, path: str, pattern: str = WAV_FILES) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +184,8 @@ def read_runs(runs: DataFrame) -> DataFrame:
                         yield pd.DataFrame({
                             "recording_id": [name], "chunk_idx": [k], "samplerate": [form.samplerate], "samples": [samples]})
 
-    return spread_rows(cut_lineage(runs)).mapInPandas(read, CHUNKS)
+    size = (F.col("last") - F.col("first")) * F.col("step") * F.floor(F.col("channels") * F.col("bits") / 8)
+    return spread_rows(cut_lineage(runs), size).mapInPandas(read, CHUNKS)
 
 
 def sample_chunks(

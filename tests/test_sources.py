@@ -471,3 +471,10 @@ def test_document_is_cut_anywhere(spark, tmp_path):
     documents.save_prediction_set(tagged, clips, recordings, str(tmp_path / "out" / "set.json"))
     whole, cut = (sorted(map(str, documents.read_prediction_set(spark, str(tmp_path / "out" / "set.json"), n).collect())) for n in (1 << 20, 50))
     assert whole == cut and len(whole) == 2
+
+
+def test_short_files_share_tasks_and_long_ones_do_not(spark):
+    files = spark.range(2000).select(F.col("id").alias("path"), F.lit(100).cast("long").alias("length"))
+    assert ranges.spread_rows(files, F.col("length")).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert ranges.spread_rows(files.limit(3), F.col("length")).rdd.getNumPartitions() == 3
+    assert ranges.spread_rows(files, F.col("length") * 100_000).rdd.getNumPartitions() == 2000  # more bytes than a range each
