@@ -172,6 +172,7 @@ def read_runs(runs: DataFrame) -> DataFrame:
     """Channel 0 of each run, chunk by chunk; a task seeks to its runs."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0  # short chunks leave the task together
         for batch in batches:
             for name, *numbers in batch[RUN].itertuples(index=False):
                 *head, step, first, last = map(int, numbers)
@@ -181,8 +182,13 @@ def read_runs(runs: DataFrame) -> DataFrame:
                         file.seek(form.data_start + k * step * form.frame)
                         count = min(step, form.n_samples - k * step)
                         samples = first_channel(file.read(count * form.frame), form)
-                        yield pd.DataFrame({
-                            "recording_id": [name], "chunk_idx": [k], "samplerate": [form.samplerate], "samples": [samples]})
+                        held.append((name, k, form.samplerate, samples))
+                        size += samples.nbytes
+                        if size >= BLOCK or len(held) == 4096:
+                            yield pd.DataFrame(held, columns=["recording_id", "chunk_idx", "samplerate", "samples"])
+                            held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["recording_id", "chunk_idx", "samplerate", "samples"])
 
     size = (F.col("last") - F.col("first")) * F.col("step") * F.floor(F.col("channels") * F.col("bits") / 8)
     return spread_rows(cut_lineage(runs), size).mapInPandas(read, CHUNKS)
