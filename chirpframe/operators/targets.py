@@ -180,6 +180,10 @@ def encoded_targets(events: DataFrame, targets: Targets, mapping: BoxMapping) ->
     return encode_boxes(rows, mapping)
 
 
+#: Columns of a grid whose cells are joined as one list.
+BLOCK = 16
+
+
 def with_peaks(
     events: DataFrame,
     cells: DataFrame,
@@ -190,25 +194,35 @@ def with_peaks(
     """Loudest cell inside each event box, as ``peak_time`` and ``peak_freq``.
 
     ``grid`` has one row per clip: clip_start, clip_end, n_time, min_freq,
-    max_freq, n_freq. Each event is copied to the columns it covers, which
-    turns the range join into an equi-join on (clip, column). Ties go to the
-    earliest column, then the lowest row.
+    max_freq, n_freq. The cells of ``BLOCK`` columns are one list, and each event is copied to
+    the blocks it reaches, so the range join is an equi-join on (clip, block) that makes one row
+    per event and block, not one per cell. Ties go to the earliest column, then the lowest row.
     """
     step = (F.col("clip_end") - F.col("clip_start")) / F.col("n_time")
     spans = events.select(event_key, clip_key, "start_time", "end_time", "low_freq", "high_freq").join(
         grid, clip_key
-    )
-    first = F.greatest(F.floor((F.col("start_time") - F.col("clip_start")) / step), F.lit(0))
-    last = F.least(F.ceil((F.col("end_time") - F.col("clip_start")) / step), F.col("n_time").cast("bigint") - 1)
-    columns = spread(spans, "t", first, last).withColumn(
-        "_time", coords.axis_value(F.col("t"), F.col("clip_start"), F.col("clip_end"), F.col("n_time"))
-    ).where(F.col("_time").between(F.col("start_time"), F.col("end_time")))
-    hits = columns.join(cells.select(clip_key, "t", "f", "value"), [clip_key, "t"]).withColumn(
-        "_freq", coords.axis_value(F.col("f"), F.col("min_freq"), F.col("max_freq"), F.col("n_freq"))
-    ).where(
-        F.col("_freq").between(F.greatest("low_freq", "min_freq"), F.least("high_freq", "max_freq"))
-    )
-    best = hits.groupBy(event_key).agg(
-        F.min_by(F.struct("_time", "_freq"), F.struct(-F.col("value"), F.col("t"), F.col("f"))).alias("_p")
-    ).select(event_key, F.col("_p._time").alias("peak_time"), F.col("_p._freq").alias("peak_freq"))
+    ).select(
+        event_key, clip_key, "start_time", "end_time",
+        F.greatest("low_freq", "min_freq").alias("_low"), F.least("high_freq", "max_freq").alias("_high"),
+        F.greatest(F.floor((F.col("start_time") - F.col("clip_start")) / step), F.lit(0)).alias("_first"),
+        F.least(F.ceil((F.col("end_time") - F.col("clip_start")) / step), F.col("n_time").cast("bigint") - 1).alias("_last"),
+    ).where("_first <= _last")
+    reached = spread(spans, "_block", F.floor(F.col("_first") / BLOCK), F.floor(F.col("_last") / BLOCK))
+    lists = cells.groupBy(clip_key, F.floor(F.col("t") / BLOCK).alias("_block")).agg(
+        F.collect_list(F.struct("t", "f", "value")).alias("_all")).join(grid, clip_key)
+
+    def column(t: Column) -> Column:
+        time = coords.axis_value(t, F.col("clip_start"), F.col("clip_end"), F.col("n_time"))
+        mine = F.transform(F.filter("_all", lambda c: c["t"] == t), lambda c: F.struct(
+            (-c["value"]).alias("cost"), t.alias("t"), c["f"].alias("f"), time.alias("peak_time"),
+            coords.axis_value(c["f"], F.col("min_freq"), F.col("max_freq"), F.col("n_freq")).alias("peak_freq")))
+        return F.struct(t.alias("t"), time.alias("time"), mine.alias("cells"))
+
+    blocks = lists.select(clip_key, "_block", F.transform(F.array_distinct("_all.t"), column).alias("_columns"))
+    beside = F.filter("_columns", lambda c: (c["time"] >= F.col("start_time")) & (c["time"] <= F.col("end_time"))
+                      & (c["t"] >= F.col("_first")) & (c["t"] <= F.col("_last")))
+    inside = F.transform(beside, lambda c: F.array_min(F.filter(
+        c["cells"], lambda x: (x["peak_freq"] >= F.col("_low")) & (x["peak_freq"] <= F.col("_high")))))
+    found = reached.join(blocks, [clip_key, "_block"]).select(event_key, F.array_min(inside).alias("_p"))
+    best = found.groupBy(event_key).agg(F.min("_p").alias("_p")).select(event_key, "_p.peak_time", "_p.peak_freq")
     return events.join(best, event_key, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chirpframe import plugins, streaming
 from chirpframe.functions import coords
-from chirpframe.operators import augment, clips, detections, features, filters, labels, matching, signal, transforms, waves
+from chirpframe.operators import augment, clips, detections, features, filters, labels, matching, signal, targets, transforms, waves
 from chirpframe.plans import ordered, scan
 
 
@@ -410,3 +410,22 @@ def test_filters_reach_the_scan(spark, tmp_path):
 def test_group_stats_use_partial_aggregation(spark):
     text = plan(signal.spectral_mean_subtraction(cells_of(spark, np.zeros((2, 3)))))
     assert "partial_avg" in text and "Window" not in text
+
+
+def test_peaks_join_blocks_of_columns_not_cells(spark):
+    rng = np.random.default_rng(5)
+    loud = rng.integers(0, 9, (40, 6)).astype(float)  # many equal cells; 40 columns are three blocks
+    cells = spark.createDataFrame(
+        [(1, t, f, float(loud[t, f])) for t in range(40) for f in range(6)], "clip_id long, t long, f long, value double")
+    grid = spark.createDataFrame([(1, 0.0, 40.0, 40, 0.0, 60.0, 6)], "clip_id long, clip_start double, clip_end double, n_time int, min_freq double, max_freq double, n_freq int")
+    boxes = [(k, 1, float(a), float(a + w), float(b), float(b + 25)) for k, (a, w, b) in enumerate(
+        zip(rng.integers(-3, 42, 60), rng.integers(0, 38, 60), rng.integers(-5, 55, 60)))]
+    events = spark.createDataFrame(boxes, "ann_id long, clip_id long, start_time double, end_time double, low_freq double, high_freq double")
+    found = targets.with_peaks(events, cells, grid)
+    got = {r["ann_id"]: (r["peak_time"], r["peak_freq"]) for r in found.collect()}
+    for k, _, start, end, low, high in boxes:
+        inside = [(-loud[t, f], t, f) for t in range(40) for f in range(6) if start <= t <= end and low <= 10 * f <= high]
+        want = (float(min(inside)[1]), 10.0 * min(inside)[2]) if inside else (None, None)
+        assert got[k] == want, k
+    joined = [x for x in plan(found).splitlines() if "Join" in x]
+    assert any("_block" in x for x in joined) and not any("min_by" in x for x in plan(found).splitlines())
