@@ -606,3 +606,17 @@ def test_pipeline_stages_take_odd_rows(spark, docs, empty):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
         # the labels are those of other texts, so the classifier may reject anything here
         assert stage(spark, rows, "/root/testdata/sf0.001").count() > 0 or name == "quality_classifier"
+
+
+def test_rows_of_a_text_are_listed_before_they_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SPANS", 4)
+    nodes = spark.createDataFrame([(7, 70), (8, 80), (9, None)], "node long, id long")
+    wanted = spark.createDataFrame([(n, k, -k) for n, size in ((7, 9), (8, 4), (9, 1)) for k in range(size)], "node long, pair long, start long")
+    found = passages.lists_by_text(nodes, wanted, ["pair", "start"])
+    got = found.collect()
+    assert sorted((r["node"], r["_id"], len(r["pair"])) for r in got if r["node"] != 9) == [(7, 70, 1), (7, 70, 4), (7, 70, 4), (8, 80, 4)]
+    assert sorted(k for r in got if r["node"] == 7 for k in r["pair"]) == list(range(9))
+    assert all(s == -k for r in got for k, s in zip(r["pair"], r["start"])) and [r["_id"] for r in got if r["node"] == 9] == [None]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [n for n, line in enumerate(lines) if "Join" in line]
+    assert len(joins) == 1 and any("Aggregate" in line for line in lines[joins[0]:])
