@@ -75,12 +75,12 @@ def _(i):
 
 @pair("src02_read_merged", f"with {DOCS} select id, issues from doc where annotated and not broken")
 def _(i):
-    path = shared_path(i.spark, "merged")
     whole = F.struct(*[c for c in _supplier_documents(i).columns if c != "k"])
     lists = _supplier_documents(i).groupBy(F.floor(F.col("k") / 50).alias("part")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(whole)), ","), F.lit("]")).alias("value")
     )
-    lists.repartition("part").write.partitionBy("part").text(path)  # one list of 50 documents per file
+    # one list of 50 documents per file
+    path = _file_each(lists.select(F.col("part").alias("k"), "value"), shared_path(i.spark, "merged"), "json")
     # ranges far shorter than a list, so that lists are cut
     return annotations.read_merged(i.spark, path, exclude_issues=False, range_bytes=4096).select("id", "issues")
 

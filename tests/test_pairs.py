@@ -37,3 +37,12 @@ def test_contract(spark):
     frame = contract.entry(spark)
     assert frame.columns == ["average_precision"]
     assert frame.count() == 1
+
+
+def test_merged_lists_are_written_by_tasks(spark):
+    frame = pairs.QUERIES["src02_read_merged"](spark, SF_DIR)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    newest = max((os.path.join(folder, n) for n in os.listdir(folder) if n.startswith("merged-")), key=os.path.getmtime)
+    files = [n for _, _, names in os.walk(newest) for n in names if not n.startswith(".")]
+    assert files and all(n.endswith(".json") for n in files)  # no marker of a commit by the driver
+    assert frame.count() > 0
