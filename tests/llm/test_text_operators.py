@@ -487,6 +487,26 @@ def test_near_passages_at_the_limit(spark):
     assert all(r.with_doc == r.doc_id ^ 1 for r in got)
 
 
+def test_near_passages_beside_partial_overlaps(spark, monkeypatch):
+    """Documents with a part of a passage, first in its groups, hide no pair that is similar on the whole."""
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    rng = random.Random(13)
+    rows, whole = [], set()
+    for n in range(20):
+        passage = words(rng, 50, 10**7)
+        near = passage[:]
+        near[20 + n % 10] = "changed"
+        whole |= {len(rows), len(rows) + 1}
+        made = [passage, near]
+        for k in range(12):
+            made += [passage[:39] + words(rng, 11, 10**7), words(rng, 11, 10**7) + passage[11:]]
+        for text in made:
+            rows.append((len(rows), " ".join(words(rng, 20, 10**7) + text + words(rng, 20, 10**7))))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == whole
+    assert all(r.with_doc == r.doc_id + (1, -1)[r.doc_id % 26] for r in got)
+
+
 def test_passages_mark_every_equal_word(spark):
     """Every word of a 50-word sequence that another document has is marked, runs of one word too."""
     rng = random.Random(5)
