@@ -507,6 +507,19 @@ def test_near_passages_beside_partial_overlaps(spark, monkeypatch):
     assert all(r.with_doc == r.doc_id + (1, -1)[r.doc_id % 26] for r in got)
 
 
+def test_near_copies_are_not_paired_out(spark):
+    """Copies of a passage with one changed word are all found, with a few partners each, beside parts that come first."""
+    rng = random.Random(17)
+    passage = words(rng, 50, 10**7)
+    made = [passage[:25] + words(rng, 1, 10**7) + passage[26:] for _ in range(30)]
+    for _ in range(100):
+        made += [passage[:39] + words(rng, 11, 10**7), words(rng, 11, 10**7) + passage[11:]]
+    rows = [(i, " ".join(words(rng, 20, 10**7) + w + words(rng, 20, 10**7))) for i, w in enumerate(made)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert set(range(30)) <= {r.doc_id for r in got}
+    assert sum(r.partners for r in got if r.doc_id < 30) <= 8 * 30
+
+
 def test_passages_mark_every_equal_word(spark):
     """Every word of a 50-word sequence that another document has is marked, runs of one word too."""
     rng = random.Random(5)
