@@ -652,7 +652,7 @@ def _file_inputs(i):
         F.col("user_id").alias("file_id"),
         F.when(F.col("user_id") % 4 == 0, F.col("event_id") % 3).otherwise(F.col("user_id") % 3).cast("int").alias("class_id"),
     )
-    dets = scored(i.det).select(F.col("clip_id").alias("file_id"), F.col("class_scores").alias("class_probs"))
+    dets = scored(i.det).select(F.col("clip_id").alias("file_id"), "det_id", F.col("class_scores").alias("class_probs"))
     return gts, dets
 
 
@@ -663,7 +663,8 @@ def _file_inputs(i):
     "det",
 )
 def _(i):
-    return legacy.file_accuracy_simple(*_file_inputs(i), 3)
+    """Means of an addition in the order of events, as one thread of the SQL adds them."""
+    return legacy.file_accuracy_simple(*_file_inputs(i), 3, order="det_id")
 
 
 FILE_BEST = f"""{FILE_GT}, bd as (select min(p) as lo, max(p) as hi from fp), th as (select s, lo + s*((hi - lo)/10) as cut from bd, (select unnest(range(0, 10)) as s) q),

@@ -325,3 +325,13 @@ def test_file_class_does_not_depend_on_the_order_of_addition(spark):
     assert [r["pred_class"] for r in legacy.file_accuracy_simple(gts, dets, 2).collect()] == [0]
     low = spark.createDataFrame([(1, [0.0, 0.0])], "file_id int, class_probs array<double>")
     assert [r["pred_class"] for r in legacy.file_accuracy_simple(gts, low, 2).collect()] == [0]
+
+
+def test_file_class_by_means_added_in_an_order(spark):
+    gts = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "file_id int, class_id int")
+    rows = [(1, n, [a, b]) for n, (a, b) in enumerate(((0.3, 0.1), (0.2, 0.2), (0.1, 0.3)))]  # 0.6 and 0.6000000000000001
+    rows += [(2, 0, [None, None]), (2, 1, [0.25, None])]
+    for parts in (1, 3):  # whatever the partitions
+        dets = spark.createDataFrame(rows[::-1], "file_id int, at int, class_probs array<double>").repartition(parts)
+        got = {r["file_id"]: r["pred_class"] for r in legacy.file_accuracy_simple(gts, dets, 2, order="at").collect()}
+        assert got == {1: 1, 2: 0, 3: 0}
