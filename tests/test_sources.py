@@ -4,6 +4,7 @@ import io
 import json
 import random
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from chirpframe.functions import ids
 from chirpframe.functions.conditions import HasTag
 from chirpframe.operators import dataset, filters, projections, splits
+from chirpframe.plans.session import ensure_checkpoint_dir
 from chirpframe.sources import annotations, audio, documents, predictions, ranges, tables
 
 
@@ -478,3 +480,29 @@ def test_short_files_share_tasks_and_long_ones_do_not(spark):
     assert ranges.spread_rows(files, F.col("length")).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert ranges.spread_rows(files.limit(3), F.col("length")).rdd.getNumPartitions() == 3
     assert ranges.spread_rows(files, F.col("length") * 100_000).rdd.getNumPartitions() == 2000  # more bytes than a range each
+
+
+def test_a_written_set_leaves_little_on_the_way(spark, tmp_path):
+    n = 3000
+    clips = spark.range(n).select(
+        F.col("id").cast("string").alias("clip_id"), F.concat(F.col("id").cast("string"), F.lit(".wav")).alias("path"),
+        F.array(F.struct(F.lit("class").alias("key"), (F.col("id") % 7).cast("string").alias("value"))).alias("tags"), F.lit(None).alias("notes"),
+        F.array(F.struct(
+            F.concat(F.lit("e"), F.col("id").cast("string")).alias("ann_id"), F.lit(0.5).alias("start_time"), F.lit(20.0).alias("low_freq"),
+            F.lit(0.75).alias("end_time"), F.lit(30.0).alias("high_freq"), F.lit(None).alias("geometry"),
+            F.array(F.struct(F.lit("b").alias("key"), F.lit("1").alias("value")), F.struct(F.lit("a").alias("key"), F.lit(None).cast("string").alias("value"))).alias("tags"))).alias("events"))
+    ensure_checkpoint_dir(spark)
+    scratch = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def size() -> int:
+        return sum(f.stat().st_size for f in scratch.rglob("*") if f.is_file())
+
+    before, path = size(), tmp_path / "set.json"
+    annotations.save_annotation_set(clips, str(path))
+    assert size() - before < path.stat().st_size // 4
+    saved = json.loads(path.read_text())["data"]
+    assert [len(saved[s]) for s in documents.ANNOTATION_SECTIONS[:-1]] == [9, n, n, n, n, n]
+    tags = {t["id"]: (t["key"], t.get("value")) for t in saved["tags"]}
+    assert {tuple(tags[i] for i in a["tags"]) for a in saved["sound_event_annotations"]} == {(("b", "1"), ("a", None))}
+    assert {tuple(tags[i] for i in a["tags"]) for a in saved["clip_annotations"]} == {(("class", str(k)),) for k in range(7)}
+    assert saved["recordings"][0]["tags"] == []
