@@ -507,6 +507,56 @@ def test_near_passages_beside_partial_overlaps(spark, monkeypatch):
     assert all(r.with_doc == r.doc_id + (1, -1)[r.doc_id % 26] for r in got)
 
 
+def test_matching_parts_lose_no_similar_window():
+    """Every 46 tokens that are similar and end in common tokens are in a part, wherever the spans differ besides."""
+    rng = np.random.default_rng(23)
+    least, share = passages.WORDS - passages.SIZE + 1, 0.8
+    for trial in range(60):
+        n = int(rng.integers(46, 200))
+        one = rng.integers(2, 1 << 32, n).astype(np.uint32) if trial % 3 else rng.integers(2, 60, n).astype(np.uint32)
+        two = one.copy()
+        for at in rng.choice(n, int(rng.integers(0, n // 8)), replace=False):  # a changed word changes five tokens
+            two[at:at + 5] = rng.integers(2, 1 << 32, len(two[at:at + 5]))
+        parts = passages.matching_parts(one, two, least, share)
+        for s in range(n - least + 1):
+            mine = set(one[s:s + least].tolist())
+            there = [k for k in range(max(0, s - 16), min(n, s + least + 16)) if int(two[k]) in mine]
+            if not {int(one[s]), int(one[s + least - 1])} <= set(two.tolist()):
+                continue
+            yours = set(two[there[0]:there[-1] + 1].tolist()) if there else set()
+            if len(mine & yours) >= share * len(mine | yours) - 1e-9:
+                assert any(set(range(s, s + least)) <= covered for covered in joined(parts)), (trial, s)
+
+
+def joined(parts):
+    """The places of overlapping parts, together."""
+    out = []
+    for a, b, *_ in sorted(parts):
+        if out and a <= max(out[-1]) + 1:
+            out[-1] |= set(range(a, b + 1))
+        else:
+            out.append(set(range(a, b + 1)))
+    return out
+
+
+def test_a_passage_beside_text_that_differs_more(spark):
+    """The rest of the span has the longer gaps or as long ones, before and after: the passage is found all the same."""
+    rng = random.Random(29)
+    rows = []
+    for k in range(24):
+        one = words(rng, 150, 10**7)
+        two = one[:]
+        for at in (25, *range(52, 150, 6)):  # the first 50 words are similar, the rest is not
+            two[at] = f"new{at}"
+        if k % 2:
+            one, two = one[::-1], two[::-1]
+        for text in (one, two):
+            rows.append((len(rows), " ".join(words(rng, 20, 10**7) + text + words(rng, 20, 10**7))))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == set(range(len(rows)))
+    assert all(r.with_doc == r.doc_id ^ 1 for r in got)
+
+
 def test_near_copies_are_not_paired_out(spark):
     """Copies of a passage with one changed word are all found, with a few partners each, beside parts that come first."""
     rng = random.Random(17)
